@@ -2,7 +2,7 @@
 
 import importlib
 
-SECTIONS = ("windows",)
+SECTIONS = ("windows", "aggregates")
 
 
 def load():
