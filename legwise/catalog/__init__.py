@@ -2,7 +2,7 @@
 
 import importlib
 
-SECTIONS = ("windows", "aggregates")
+SECTIONS = ("tables", "joins", "windows", "aggregates")
 
 
 def load():

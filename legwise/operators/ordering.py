@@ -124,4 +124,5 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 def hashed_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows chosen by a seeded hash of the key: the same rows on any partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    return df.orderBy(digest, F.col(key)).limit(n)
