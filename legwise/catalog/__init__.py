@@ -2,7 +2,7 @@
 
 import importlib
 
-SECTIONS = ("tables", "joins", "windows", "aggregates")
+SECTIONS = ("tables", "joins", "windows", "aggregates", "scalars")
 
 
 def load():

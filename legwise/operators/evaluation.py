@@ -117,8 +117,9 @@ def reliability_curve(df: DataFrame, label: str, score: str,
     inner = {f"q{i}": i / bins for i in range(1, bins)}
     edges = exact_quantiles(df, [], F.col(score), inner).select(
         F.array(*inner)).scalar()
-    slot = F.size(F.filter(edges, lambda e: e < F.col(score)))
-    return df.where(F.col(score).isNotNull()).groupBy((slot + 1).alias("bin")).agg(
+    slot = F.size(F.filter("_edges", lambda e: e < F.col(score)))
+    edged = df.where(F.col(score).isNotNull()).withColumn("_edges", edges)
+    return edged.groupBy((slot + 1).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("observed"),
         F.avg(score).alias("predicted"))
 

@@ -66,10 +66,11 @@ def nearest_date_gap(dates: DataFrame, day: str, marks: DataFrame, mark: str) ->
     and each distinct day looks up its neighbours in it.
     """
     listed = marks.agg(F.array_sort(F.collect_set(mark))).scalar()
-    gaps = F.transform(listed, lambda m: F.struct(
+    gaps = F.transform("_marks", lambda m: F.struct(
         F.abs(F.date_diff(F.col(day), m)).alias("size"), m.alias("mark"),
         F.date_diff(F.col(day), m).alias("gap")))
-    return dates.select(day).where(F.col(day).isNotNull()).distinct().select(
+    distinct = dates.select(day).where(F.col(day).isNotNull()).distinct()
+    return distinct.withColumn("_marks", listed).select(
         day, F.array_min(gaps)["gap"].cast("double").alias("days_from_major_holiday"))
 
 

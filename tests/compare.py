@@ -59,8 +59,8 @@ def compare(spark, con, folder, name, run, sql):
     want = rows_of(names, cursor.fetchall())
     if got == want:
         return len(got) > 0, f"rows={len(got)} {took:.1f}s"
-    extra = [r for r in got if r not in set(want)][:3]
-    missing = [r for r in want if r not in set(got)][:3]
+    extra = list(set(got) - set(want))[:3]
+    missing = list(set(want) - set(got))[:3]
     return False, (f"rows {len(got)} vs {len(want)}; columns {sorted(names)}\n"
                    f"      spark only {extra}\n      sql only   {missing}")
 
