@@ -2,7 +2,7 @@
 
 import importlib
 
-SECTIONS = ("tables", "joins", "windows", "aggregates", "scalars")
+SECTIONS = ("tables", "joins", "windows", "aggregates", "scalars", "quality")
 
 
 def load():
