@@ -2,7 +2,7 @@
 
 import importlib
 
-SECTIONS = ("tables", "joins", "windows", "aggregates", "scalars", "quality")
+SECTIONS = ("tables", "joins", "windows", "aggregates", "scalars", "quality", "evaluation")
 
 
 def load():
