@@ -2,7 +2,7 @@
 
 import importlib
 
-SECTIONS = ("tables", "joins", "windows", "aggregates", "scalars", "quality", "evaluation")
+SECTIONS = ("tables", "joins", "windows", "aggregates", "scalars", "quality", "evaluation", "models", "serving")
 
 
 def load():

@@ -274,8 +274,7 @@ SELECT station, cell, ROUND(CASE WHEN temperature_c IS NOT NULL THEN temperature
 FROM near
 """)
 def interpolation(t):
-    filled = W.interpolated("station", "hour", "temperature_c")
-    return hourly_cells(t).withColumn("temperature_c", filled).select(
+    return W.interpolate_columns(hourly_cells(t), "station", "hour", ["temperature_c"]).select(
         "station", F.expr("unix_seconds(hour) div 3600").alias("cell"),
         F.round("temperature_c", 6).alias("temperature_c"))
 

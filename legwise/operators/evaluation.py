@@ -70,8 +70,8 @@ def top_fraction_lift(df: DataFrame, label: str, score: str, tie_break: str,
     n = df.agg(F.greatest(F.floor(F.count(F.lit(1)) * F.lit(fraction)), F.lit(1))).scalar()
     ranked = positions(df.withColumn("_down", -F.col(score)), ["_down", tie_break], "_place")
     y = F.col(label).cast("double")
-    return ranked.agg(
-        ratio(F.avg(F.when(F.col("_place") <= n, y)), F.avg(y)).alias("lift"))
+    marked = ranked.withColumn("_top", F.col("_place") <= n)
+    return marked.agg(ratio(F.avg(F.when(F.col("_top"), y)), F.avg(y)).alias("lift"))
 
 
 def best_f1(curve: DataFrame) -> DataFrame:

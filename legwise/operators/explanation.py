@@ -123,7 +123,7 @@ def dependence_curve(df: DataFrame, feature: str, contribution: str,
 def tree_nodes(spark: SparkSession, saved_model: str) -> DataFrame:
     """Node table of a saved boosted or bagged tree model."""
     nodes = spark.read.parquet(f"{saved_model}/data")
-    weights = spark.read.parquet(f"{saved_model}/treesMetadata").select("treeID", "weights")
+    weights = spark.read.parquet(f"{saved_model}/treesMetadata").toDF("treeID", "metadata", "weights")
     return nodes.join(weights, "treeID").select(
         "treeID", "weights", "nodeData.id", "nodeData.prediction", "nodeData.leftChild",
         "nodeData.rightChild", F.col("nodeData.split.featureIndex").alias("feature"),

@@ -18,7 +18,7 @@ from legwise.functions.text import code, is_station_code
 from legwise.operators.joins import attach, fill_from_group_median, keep_known, mark_known
 from legwise.operators.quantiles import exact_medians
 from legwise.operators.windows import (
-    UNKNOWN_CONDITION, first_rows, forward_fill, hourly_grid, interpolated,
+    UNKNOWN_CONDITION, first_rows, forward_fill, hourly_grid, interpolate_columns,
 )
 
 # Plausible delay, block time and distance ranges.
@@ -105,10 +105,11 @@ def complete_hours(df: DataFrame, key: str, ts: str, measures: list[str],
 def fill_short_gaps(df: DataFrame, key: str, ts: str, measures: list[str],
                     condition: str | None = None) -> DataFrame:
     """Bounded interpolation of measures and bounded carry-forward of the condition."""
-    fills = {m: interpolated(key, ts, m) for m in measures}
+    filled = df
     if condition:
-        fills[condition] = F.coalesce(forward_fill(key, ts, condition), F.lit(UNKNOWN_CONDITION))
-    return df.withColumns(fills)
+        filled = df.withColumn(
+            condition, F.coalesce(forward_fill(key, ts, condition), F.lit(UNKNOWN_CONDITION)))
+    return interpolate_columns(filled, key, ts, measures)
 
 
 def fill_key_medians(df: DataFrame, key: str, measures: list[str]) -> DataFrame:

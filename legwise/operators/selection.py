@@ -63,7 +63,7 @@ def correlation_prune(df: DataFrame, columns: list[str], gain: dict[str, float],
 
 def gain_importance(model, columns: list[str]) -> dict[str, float]:
     """Importances of a fitted tree model by source column, summing to one."""
-    values = list(model.featureImportances.toArray())
+    values = [float(v) for v in model.featureImportances.toArray()]
     total = sum(values) or 1.0
     return {c: v / total for c, v in zip(columns, values)}
 

@@ -192,18 +192,29 @@ def forward_fill(key: str, ts: str, column: str, limit: int = FILL_LIMIT) -> Col
     return F.last(column, ignorenulls=True).over(frame)
 
 
-def interpolated(key: str, ts: str, column: str, limit: int = FILL_LIMIT) -> Column:
+def interpolate_columns(df: DataFrame, key: str, ts: str, columns: list[str],
+                        limit: int = FILL_LIMIT) -> DataFrame:
     """Linear interpolation on a regular hourly grid, at most ``limit`` cells from a
-    known value on either side; the ends extend flat."""
+    known value on either side; the ends extend flat.
+
+    Both neighbours come from running frames, one per direction: a frame that ends
+    at the last row would be evaluated anew for every cell.
+    """
     back = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy(ts).rowsBetween(0, Window.unboundedFollowing)
-    cell = F.unix_seconds(ts) / 3600
-    known = F.when(F.col(column).isNotNull(), F.struct(cell.alias("at"), F.col(column).alias("v")))
-    left = F.last(known, ignorenulls=True).over(back)
-    right = F.first(known, ignorenulls=True).over(ahead)
-    slope = F.try_divide(right["v"] - left["v"], right["at"] - left["at"])
-    line = left["v"] + slope * (cell - left["at"])
-    near = F.coalesce(cell - left["at"] <= limit, F.lit(False)) | F.coalesce(
-        right["at"] - cell <= limit, F.lit(False))
-    return F.coalesce(
-        F.col(column), F.when(near, F.coalesce(line, left["v"], right["v"])))
+    ahead = Window.partitionBy(key).orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, 0)
+    celled = df.withColumn("_cell", F.unix_seconds(ts) / 3600)
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_cell").alias("at"), F.col(c).alias("v")))
+             for c in columns}
+    sided = celled.withColumns({f"_l_{c}": F.last(k, ignorenulls=True).over(back) for c, k in known.items()})
+    sided = sided.withColumns({f"_r_{c}": F.last(k, ignorenulls=True).over(ahead) for c, k in known.items()})
+
+    def fill(c: str) -> Column:
+        left, right, cell = F.col(f"_l_{c}"), F.col(f"_r_{c}"), F.col("_cell")
+        slope = F.try_divide(right["v"] - left["v"], right["at"] - left["at"])
+        line = left["v"] + slope * (cell - left["at"])
+        near = F.coalesce(cell - left["at"] <= limit, F.lit(False)) | F.coalesce(
+            right["at"] - cell <= limit, F.lit(False))
+        return F.coalesce(F.col(c), F.when(near, F.coalesce(line, left["v"], right["v"])))
+
+    return sided.withColumns({c: fill(c) for c in columns}).drop(
+        "_cell", *[f"_{side}_{c}" for side in "lr" for c in columns])

@@ -59,6 +59,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so later readers never recompute it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and go on from the written table.
+
+    This cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    Later readers still prune columns, and Spark knows the size of the table.
+    """
+    path = fresh_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,11 +23,12 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """CSV with header and a fixed schema; unreadable rows keep their text in ``_corrupt``.
 
     Missing-value texts become NULL, and ``_ingest`` records the file order.
     """
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     wide = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     df = (
         spark.read.schema(wide).option("header", True).option("mode", "PERMISSIVE")
@@ -45,6 +46,6 @@ def read_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             for name, schema in RAW_TABLES.items()}
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON lines with a fixed, possibly nested schema."""
     return spark.read.schema(schema).json(path)
