@@ -157,9 +157,10 @@ def requests_of(t):
 
 
 @query("V2_served_features", f"""
-WITH {FLIGHTS} SELECT flight_id::VARCHAR AS request_id, ROUND(hour(dep_ts) + minute(dep_ts) / 60.0::DOUBLE, 6) AS dep_time_decimal, (isodow(dep_ts) - 1)::INT AS day_of_week,
+SELECT flight_id::VARCHAR AS request_id, ROUND(hour(dep_ts) + minute(dep_ts) / 60.0::DOUBLE, 6) AS dep_time_decimal, (isodow(dep_ts) - 1)::INT AS day_of_week,
  ROUND(GREATEST(COALESCE(CASE WHEN flight_id % 4 = 0 THEN value END, CASE WHEN flight_id % 5 = 0 THEN value / 2 END, 0), 0), 6) AS upstream_delay_min, (flight_id % 4 = 0)::INT AS prev_leg_known
-FROM (SELECT event_id AS flight_id, ts AS dep_ts, value FROM events) WHERE flight_id % 6 <> 5 AND flight_id % 6 <> FLOOR(value)::BIGINT % 5
+FROM (SELECT event_id AS flight_id, ts AS dep_ts, value, (props::JSON->>'k')::INT AS k FROM events)
+WHERE flight_id % 6 <> 5 AND flight_id % 6 <> FLOOR(value)::BIGINT % 5 AND NOT (k > 80 AND (flight_id % 2 = 0 OR flight_id % 7 = 0))
 """)
 def v2(t):
     return served(t).select("request_id", F.round("dep_time_decimal", 6).alias("dep_time_decimal"), F.col("day_of_week").cast("int").alias("day_of_week"),

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from legwise.operators import evaluation as E
 from legwise.operators.projections import apply_codes, fit_codes
+from legwise.session import settle
 
 # Seed, pooling limit, candidate settings, search grid, calibration gain.
 SEED = 42
@@ -119,10 +120,12 @@ def fit_logistic(train: DataFrame, numeric: list[str], categorical: list[str], l
     """Ridge logistic regression; the penalty per row matches inverse strength C."""
     started = time.time()
     stages, prepare = linear_preprocessor(train, numeric, categorical)
-    n = train.count()
-    learner = LogisticRegression(labelCol=label, featuresCol="features", maxIter=200,
+    # every stage of the fit reads the prepared rows, so they are written once
+    rows = settle(prepare(train).select(*numeric, *categorical, label))
+    n = rows.count()
+    learner = LogisticRegression(labelCol=label, featuresCol="features", maxIter=200, tol=1e-5,
                                  regParam=1.0 / (LOGISTIC_C * max(n, 1)), elasticNetParam=0.0, standardization=False)
-    model = Pipeline(stages=[stages, learner]).fit(prepare(train))
+    model = Pipeline(stages=[stages, learner]).fit(rows)
     keep = lambda df: [*df.columns, "p"]
     return Fitted("logistic_regression", lambda df: _probability(model.transform(prepare(df))).select(*keep(df)),
                   model, [*numeric, *categorical], time.time() - started)
@@ -147,12 +150,13 @@ def _fit_trees(name: str, learner, train: DataFrame, valid: DataFrame | None, nu
                categorical: list[str]) -> Fitted:
     started = time.time()
     prepare = tree_vector(train, numeric, categorical)
-    rows = prepare(train)
+    label = learner.getLabelCol()
+    rows = prepare(train).select("features", label)
     if valid is not None:
         rows = rows.withColumn("_valid", F.lit(False)).unionByName(
-            prepare(valid).withColumn("_valid", F.lit(True)))
+            prepare(valid).select("features", label).withColumn("_valid", F.lit(True)))
         learner = learner.setParams(validationIndicatorCol="_valid", validationTol=0.001)
-    model = learner.fit(rows)
+    model = learner.fit(settle(rows))
     return Fitted(name, lambda df: _probability(model.transform(prepare(df))).drop("features"),
                   model, [*numeric, *categorical], time.time() - started)
 
@@ -244,7 +248,8 @@ def fit_minutes(train: DataFrame, numeric: list[str], categorical: list[str], ta
     started = time.time()
     prepare = tree_vector(train, numeric, categorical)
     model = GBTRegressor(labelCol=target, featuresCol="features", seed=SEED, lossType=loss,
-                         maxIter=rounds, maxDepth=depth).fit(prepare(train))
+                         maxIter=rounds, maxDepth=depth).fit(
+        settle(prepare(train).select("features", target)))
     return Fitted(f"minutes_{loss}", lambda df: model.transform(prepare(df)).drop("features"),
                   model, [*numeric, *categorical], time.time() - started)
 

@@ -44,21 +44,27 @@ def _slot_of(df: DataFrame, keys: list[str], cuts: list[tuple]) -> Column:
     points = F.array(*[
         F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, cut)]) for cut in cuts
     ])
-    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
 
-    def advance(found: Column, step: Column) -> Column:
-        ahead = found + step
-        return F.when((ahead <= len(cuts)) & (key >= F.get(points, ahead - 1)), ahead).otherwise(found)
+    def search(bound: Column) -> Column:
+        def advance(found: Column, step: Column) -> Column:
+            ahead = found + step
+            return F.when((ahead <= len(cuts)) & (bound >= F.get(points, ahead - 1)), ahead).otherwise(found)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+        return F.aggregate(steps, F.lit(0), advance)
+
+    # binding the key to a variable keeps it from being computed at every step
+    return F.get(F.transform(F.array(key), search), F.lit(0))
 
 
 def running_totals(df: DataFrame, keys: list[str], totals: dict[str, Column],
-                   slots: int | None = None) -> DataFrame:
+                   slots: int | None = None, grand: dict[str, str] | None = None) -> DataFrame:
     """Add inclusive running sums of ``totals`` along the ascending order of ``keys``.
 
-    The keys must be non-null and unique together.
+    The keys must be non-null and unique together. ``grand`` names columns for the
+    sums over the whole table, which the slot totals already hold.
     """
+    grand = grand or {}
     slots = slots or _slot_count(df)
     marked = df.withColumn("_slot", _slot_of(df, keys, _cut_points(df, keys, slots)))
     for name, expr in totals.items():
@@ -69,16 +75,16 @@ def running_totals(df: DataFrame, keys: list[str], totals: dict[str, Column],
         .agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
         .select("_slot", *[
             F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals
-        ])
+        ], *[F.sum(f"_s_{n}").over(Window.partitionBy()).alias(out) for n, out in grand.items()])
     )
     inside = (
         Window.partitionBy("_slot").orderBy(*keys)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     # at most MAX_SLOTS rows, so the broadcast is bounded
-    joined = marked.join(F.broadcast(offsets), "_slot")
+    joined = marked.join(F.broadcast(offsets), "_slot", "left")
     return joined.select(
-        *df.columns,
+        *df.columns, *grand.values(),
         *[(F.sum(f"_v_{n}").over(inside) + F.col(f"_o_{n}")).alias(n) for n in totals],
     )
 
@@ -95,11 +101,12 @@ def equal_frequency_bins(df: DataFrame, score: str, tie_break: str, bins: int,
     Bin edges are the interpolated quantiles of the ranks 1..n, intervals closed
     on the right. NULL scores stay out.
     """
-    ranked = positions(df.where(F.col(score).isNotNull()), [score, tie_break], "_position")
-    n = df.where(F.col(score).isNotNull()).agg(F.count(F.lit(1))).scalar()
-    bin_no = F.ceil((F.col("_position") - 1) * F.lit(bins) / F.greatest(n - 1, F.lit(1)))
+    ranked = running_totals(
+        df.where(F.col(score).isNotNull()), [score, tie_break],
+        {"_position": F.lit(1).cast("bigint")}, grand={"_position": "_rows"})
+    bin_no = F.ceil((F.col("_position") - 1) * F.lit(bins) / F.greatest(F.col("_rows") - 1, F.lit(1)))
     return ranked.withColumn(
-        out, F.greatest(F.lit(1), bin_no).cast("int")).drop("_position")
+        out, F.greatest(F.lit(1), bin_no).cast("int")).drop("_position", "_rows")
 
 
 def average_ranks(df: DataFrame, value: str, out: str, ascending: bool = True) -> DataFrame:
