@@ -20,6 +20,7 @@ RISK_WEIGHTS = {
     "dep_wx_severity": (0.5, 1.0), "carrier_delay_rate_7d": (1.5, 0.4),
     "origin_delay_rate_7d": (1.0, 0.4), "dep_time_decimal": (0.03, 12.0),
 }
+BASE_LOG_ODDS = -1.3  # of a base rate near 21 percent
 THRESHOLD = 0.53
 STORED = ["scheduled_turnaround_min", "aircraft_model", "seats", "aircraft_age_years",
           "carrier_share_at_origin", "carrier_delay_rate_7d", "carrier_volume_7d",
@@ -205,7 +206,7 @@ def v3(t):
 
 
 def probability(df):
-    z = F.lit(-0.4)
+    z = F.lit(BASE_LOG_ODDS)
     for name, (w, m) in RISK_WEIGHTS.items():
         z = z + F.lit(w) * (F.coalesce(F.col(name).cast("double"), F.lit(m)) - F.lit(m))
     return df.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
