@@ -21,7 +21,7 @@ def small_if_counted(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     Beyond the limit the side is returned as it is and the join shuffles. Meant
     for settled tables, whose count costs next to nothing.
     """
-    return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
+    return F.broadcast(side) if side.count() <= limit else side
 
 
 def attach(fact: DataFrame, dim: DataFrame, fact_keys: list[str], dim_keys: list[str],

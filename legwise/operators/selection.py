@@ -29,7 +29,8 @@ def mutual_information(df: DataFrame, features: list[str], label: str, bins: int
     inner = {f"q{i}": i / bins for i in range(1, bins)}
     edges = exact_quantiles(long, ["feature"], F.col("x"), inner).select(
         "feature", F.array_distinct(F.array(*inner)).alias("edges"))
-    slotted = attach(long, edges, ["feature"], ["feature"], {"edges": "edges"})
+    # one row per feature name, so the broadcast is bounded by the width of the table
+    slotted = attach(long, F.broadcast(edges), ["feature"], ["feature"], {"edges": "edges"})
     slot = F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter("edges", lambda e: e < F.col("x"))))
     cells = slotted.groupBy("feature", slot.alias("bin"), "y").agg(F.count(F.lit(1)).alias("n"))
     n = F.sum("n").over(Window.partitionBy("feature"))

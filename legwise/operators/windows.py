@@ -77,8 +77,25 @@ def centred_mean(daily: DataFrame, day: str, value: str, out: str, rows: int = 1
 
 
 # ---------------------------------------------------------------- previous leg
+HOT_SLOT_ROWS = 2_000_000
+
+
+def busy_slot(df: DataFrame, entity: str, ts: str, limit: int = HOT_SLOT_ROWS) -> str:
+    """The longest time slot that keeps every entity's slot within ``limit`` rows.
+
+    Rows are counted per entity and slot before the shuffle; only the largest
+    count comes back. Days do for ordinary fleets and keep the carry table small.
+    """
+    for slot in ("day", "hour"):
+        counts = df.where(F.col(entity).isNotNull()).groupBy(
+            entity, F.date_trunc(slot, F.col(ts))).agg(F.count(F.lit(1)).alias("n"))
+        if (counts.agg(F.max("n")).first()[0] or 0) <= limit:
+            return slot
+    return "minute"
+
+
 def previous_in_order(df: DataFrame, entity: str, ts: str, tie_break: str,
-                      carried: dict[str, str], slot: str = "day") -> DataFrame:
+                      carried: dict[str, str], slot: str | None = None) -> DataFrame:
     """Add columns of the entity's previous row in (ts, tie_break) order.
 
     Each entity's history is cut into time slots, so one busy entity spreads over
@@ -86,6 +103,7 @@ def previous_in_order(df: DataFrame, entity: str, ts: str, tie_break: str,
     over through a small (entity, slot) table. Rows without an entity get NULLs
     and never meet in one task.
     """
+    slot = slot or busy_slot(df, entity, ts)
     named = df.where(F.col(entity).isNotNull()).withColumn("_slot", F.date_trunc(slot, F.col(ts)))
     anonymous = df.where(F.col(entity).isNull())
     record = F.struct(*[F.col(c).alias(c) for c in carried])
@@ -107,17 +125,29 @@ def previous_in_order(df: DataFrame, entity: str, ts: str, tie_break: str,
 
 
 def earlier_delay_today(df: DataFrame, entity: str, day: str, ts: str, tie_break: str,
-                        delay: str, out: str) -> DataFrame:
+                        delay: str, out: str, slot: str | None = None) -> DataFrame:
     """Running delay of the entity's earlier rows of the same local day.
 
-    The row right after a missing delay gets 0; the sum resumes after it.
+    The row right after a missing delay gets 0; the sum resumes after it. A busy
+    day is cut into slots as in ``previous_in_order``, with the sum carried over.
     """
-    named = df.where(F.col(entity).isNotNull())
+    slot = slot or busy_slot(df, entity, ts)
+    named = df.where(F.col(entity).isNotNull()).withColumn("_slot", F.date_trunc(slot, F.col(ts)))
     anonymous = df.where(F.col(entity).isNull())
-    order = Window.partitionBy(entity, day).orderBy(ts, tie_break)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.when(F.lag(delay).over(order).isNull(), F.lit(0.0)).otherwise(F.sum(delay).over(before))
-    return named.withColumn(out, total).unionByName(anonymous.withColumn(out, F.lit(0.0)))
+    record = F.struct(F.col(delay).alias("d"))
+    ended = named.groupBy(entity, day, "_slot").agg(
+        F.sum(delay).alias("_sum"), F.max_by(record, F.struct(F.col(ts), F.col(tie_break))).alias("_last"))
+    over_day = Window.partitionBy(entity, day).orderBy("_slot")
+    carry = ended.select(
+        entity, day, "_slot", F.lag("_last").over(over_day).alias("_carry"),
+        F.sum("_sum").over(over_day.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
+    order = Window.partitionBy(entity, day, "_slot").orderBy(ts, tie_break)
+    before = F.sum(delay).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    previous = F.coalesce(F.lag(record).over(order), F.col("_carry"))
+    total = F.coalesce(before, F.lit(0.0)) + F.coalesce("_earlier", F.lit(0.0))
+    summed = named.join(carry, [entity, day, "_slot"], "left").select(
+        *df.columns, F.when(previous["d"].isNull(), F.lit(0.0)).otherwise(total).alias(out))
+    return summed.unionByName(anonymous.withColumn(out, F.lit(0.0)))
 
 
 def propagation_fields(departure: Column, origin: Column) -> dict[str, Column]:
@@ -152,7 +182,7 @@ def propagation_fields(departure: Column, origin: Column) -> dict[str, Column]:
 
 def add_propagation(df: DataFrame, entity: str, ts: str, arr: str, tie_break: str, origin: str,
                     destination: str, dep_delay: str, arr_delay: str, cancelled: str,
-                    slot: str = "day") -> DataFrame:
+                    slot: str | None = None) -> DataFrame:
     """Previous-leg link plus the upstream-delay features."""
     linked = previous_in_order(df, entity, ts, tie_break, {
         dep_delay: "prev_dep_delay", arr_delay: "prev_arr_delay", arr: "prev_sched_arr",

@@ -132,7 +132,7 @@ def _hour_tables(f: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
 
 
 def derive_features(integrated: DataFrame, until: str | None = None, settled: bool = True,
-                    slot: str = "day") -> DataFrame:
+                    slot: str | None = None) -> DataFrame:
     """All features next to the identifier columns, cancelled flights included.
 
     ``until`` keeps later days out of the station normals, carrier shares and the
@@ -175,11 +175,12 @@ def derive_features(integrated: DataFrame, until: str | None = None, settled: bo
         F.col("origin_hour_departures"), F.col("dest_hour_arrivals"), F.col("origin_hourly_capacity"),
         F.col("dest_hourly_capacity"), F.col("origin_num_runways"), F.col("origin")))
 
+    slot = slot or W.busy_slot(integrated, "tail_number", "scheduled_departure_utc")
     linked = W.add_propagation(
         wide, "tail_number", "scheduled_departure_utc", "scheduled_arrival_utc", "flight_id", "origin",
         "destination", "departure_delay_min", "arrival_delay_min", "cancelled", slot)
     done = W.earlier_delay_today(linked, "tail_number", "date", "scheduled_departure_utc", "flight_id",
-                                 "departure_delay_min", "aircraft_cum_delay_today")
+                                 "departure_delay_min", "aircraft_cum_delay_today", slot)
     absent = missing_columns(done, ALL_FEATURES)
     if absent:
         raise ValueError(f"declared but not built: {absent}")

@@ -115,12 +115,13 @@ def test_future_days_do_not_change_earlier_rates(spark):
     assert run(0) == run(9)
 
 
-def test_delay_so_far_restarts_after_a_missing_delay(spark):
+@pytest.mark.parametrize("slot", ["minute", "hour", "day", None])
+def test_delay_so_far_restarts_after_a_missing_delay(spark, slot):
     at = dt.datetime(2024, 1, 1, 6)
     data = [("n", at.date(), at + dt.timedelta(hours=i), i, d) for i, d in enumerate([5.0, None, 7.0, 2.0])]
     data.append((None, at.date(), at, 9, 4.0))
     df = spark.createDataFrame(data, "tail STRING, day DATE, ts TIMESTAMP, id INT, d DOUBLE")
-    got = rows(windows.earlier_delay_today(df, "tail", "day", "ts", "id", "d", "run").select("id", "run"), "id")
+    got = rows(windows.earlier_delay_today(df, "tail", "day", "ts", "id", "d", "run", slot).select("id", "run"), "id")
     assert got == [(0, 0.0), (1, 5.0), (2, 0.0), (3, 12.0), (9, 0.0)]
 
 
@@ -155,6 +156,13 @@ def test_previous_row_does_not_depend_on_the_slot(spark, slot):
     assert {r["id"]: r["prev"] for r in got.collect()} == want
 
 
+def test_busy_entities_get_shorter_slots(spark):
+    start = dt.datetime(2024, 1, 1)
+    data = [("hot", start + dt.timedelta(seconds=20 * i)) for i in range(1000)] + [("calm", start), (None, start)]
+    df = spark.createDataFrame(data, "tail STRING, ts TIMESTAMP")
+    assert [windows.busy_slot(df, "tail", "ts", n) for n in (1000, 200, 10)] == ["day", "hour", "minute"]
+
+
 # ---------------------------------------------------------------- cleaning
 def fixture_tables(spark):
     airports = spark.createDataFrame([("ORD", "America/Chicago"), ("ATL", "America/New_York")], "airport_code STRING, timezone STRING")
