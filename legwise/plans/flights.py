@@ -131,6 +131,25 @@ def _hour_tables(f: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
     }
 
 
+def _rotation(f: DataFrame, ready, slot: str | None) -> DataFrame:
+    """Previous-leg features per flight, from the few columns they need.
+
+    Only this narrow table is arranged by airframe; its result joins the wide
+    table on the flight id, which spreads evenly.
+    """
+    narrow = f.select("flight_id", "tail_number", "scheduled_departure_utc", "scheduled_arrival_utc",
+                      "origin", "destination", "departure_delay_min", "arrival_delay_min", "cancelled", "date")
+    slot = slot or W.busy_slot(narrow, "tail_number", "scheduled_departure_utc")
+    linked = ready(W.add_propagation(
+        narrow, "tail_number", "scheduled_departure_utc", "scheduled_arrival_utc", "flight_id", "origin",
+        "destination", "departure_delay_min", "arrival_delay_min", "cancelled", slot))
+    summed = W.earlier_delay_today(linked, "tail_number", "date", "scheduled_departure_utc", "flight_id",
+                                   "departure_delay_min", "aircraft_cum_delay_today", slot)
+    return summed.select("flight_id", *[
+        c for c in summed.columns if c not in narrow.columns and not c.startswith("prev_") or
+        c.startswith("prev_leg_")])
+
+
 def derive_features(integrated: DataFrame, until: str | None = None, settled: bool = True,
                     slot: str | None = None) -> DataFrame:
     """All features next to the identifier columns, cancelled flights included.
@@ -175,12 +194,7 @@ def derive_features(integrated: DataFrame, until: str | None = None, settled: bo
         F.col("origin_hour_departures"), F.col("dest_hour_arrivals"), F.col("origin_hourly_capacity"),
         F.col("dest_hourly_capacity"), F.col("origin_num_runways"), F.col("origin")))
 
-    slot = slot or W.busy_slot(integrated, "tail_number", "scheduled_departure_utc")
-    linked = W.add_propagation(
-        wide, "tail_number", "scheduled_departure_utc", "scheduled_arrival_utc", "flight_id", "origin",
-        "destination", "departure_delay_min", "arrival_delay_min", "cancelled", slot)
-    done = W.earlier_delay_today(linked, "tail_number", "date", "scheduled_departure_utc", "flight_id",
-                                 "departure_delay_min", "aircraft_cum_delay_today", slot)
+    done = wide.join(_rotation(f, ready, slot), "flight_id", "left")
     absent = missing_columns(done, ALL_FEATURES)
     if absent:
         raise ValueError(f"declared but not built: {absent}")
