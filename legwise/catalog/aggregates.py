@@ -324,18 +324,18 @@ def a28(t):
 
 @query("A29_station_and_route_geography", f"""
 WITH {PLACED}, x AS (SELECT *, (l_discount >= 0.06)::INT AS late FROM placed)
-SELECT 'station' AS level, origin, NULL::INT AS destination, ROUND(lat1, 4) AS latitude, ROUND(lon1, 4) AS longitude, ROUND(AVG(late), 6) AS rate, COUNT(*) AS n FROM x GROUP BY ALL
-UNION ALL SELECT 'route', origin, destination, NULL, NULL, ROUND(AVG(late), 6), COUNT(*) FROM x GROUP BY ALL
+SELECT 'station' AS level, origin, NULL::INT AS destination, ROUND(lat1, 4) AS latitude, ROUND(lon1, 4) AS longitude, ROUND(AVG(late) + 1e-9, 6) AS rate, COUNT(*) AS n FROM x GROUP BY ALL
+UNION ALL SELECT 'route', origin, destination, NULL, NULL, ROUND(AVG(late) + 1e-9, 6), COUNT(*) FROM x GROUP BY ALL
 """)
 def a29(t):
     x = t.placed_legs.withColumn("late", flag(F.col("l_discount") >= 0.06))
     stations = A.rate_by(x, ["origin", "origin_latitude", "origin_longitude"], "late").select(
         F.lit("station").alias("level"), "origin", F.lit(None).cast("int").alias("destination"),
         F.round("origin_latitude", 4).alias("latitude"), F.round("origin_longitude", 4).alias("longitude"),
-        *r6("rate"), "n")
+        F.round(F.col("rate") + 1e-9, 6).alias("rate"), "n")
     routes = A.rate_by(x, ["origin", "destination"], "late").select(
         F.lit("route").alias("level"), "origin", "destination", F.lit(None).cast("double").alias("latitude"),
-        F.lit(None).cast("double").alias("longitude"), *r6("rate"), "n")
+        F.lit(None).cast("double").alias("longitude"), F.round(F.col("rate") + 1e-9, 6).alias("rate"), "n")
     return stations.unionByName(routes)
 
 
