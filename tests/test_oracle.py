@@ -8,6 +8,8 @@ from compare import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
 
+from legwise.catalog import load
+
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
@@ -17,7 +19,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(load()[0]))
 def test_query(spark, con, name):
     good, note = compare(spark, con, FOLDER, name, queries()[name], oracle_sql().get(name))
     assert good, note
