@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from legwise.llm import near_dedup
-from legwise.llm.text import read
+from legwise.llm import language, mixing, near_dedup, packing, spans
+from legwise.llm.text import id_remainder, read
 
 QUERIES = {}
 SQL = {}
@@ -22,3 +23,32 @@ def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-copy component of every document."""
     found = near_dedup.near_groups(read(spark, folder, "documents"))
     return found.select("doc_id", near_dedup.fingerprint_text().alias("fingerprint"), "component_id")
+
+
+@query
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its sequence."""
+    return packing.pack(read(spark, folder, "documents"))
+
+
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the ids outside one residue class."""
+    docs = read(spark, folder, "documents")
+    model = language.train(docs.where(id_remainder(5) != 0))
+    named = language.predict(docs, model, keep=(F.col("doc_id"),))
+    return named.select("doc_id", (id_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every showing of every document in the mix."""
+    mixed = mixing.mix(read(spark, folder, "documents"), order=True)
+    return mixed.select("doc_id", "source", "n_tokens", "epoch", "block_order", "doc_order")
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages that an earlier one holds."""
+    cut = spans.drop_repeated(read(spark, folder, "documents"), counts=True)
+    return cut.select("doc_id", "text", "n_sentences", "n_removed")
