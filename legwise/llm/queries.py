@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legwise.llm import language, mixing, near_dedup, packing, spans
+from legwise.llm import language, mixing, near_dedup, ngrams, packing, spans
 from legwise.llm.text import id_remainder, read
 
 QUERIES = {}
@@ -25,6 +25,12 @@ def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", near_dedup.fingerprint_text().alias("fingerprint"), "component_id")
 
 
+@query
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document under a backoff automaton."""
+    return ngrams.score(read(spark, folder, "documents"))
+
+
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its sequence."""
