@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legwise.llm import language, mixing, near_dedup, ngrams, packing, spans
+from legwise.llm import binary_search, language, mixing, near_dedup, ngrams, packing, page_text, quality_rules, spans, toxicity
 from legwise.llm.text import id_remainder, read
 
 QUERIES = {}
@@ -25,12 +25,55 @@ def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", near_dedup.fingerprint_text().alias("fingerprint"), "component_id")
 
 
+@query
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return page_text.extract(read(spark, folder, "pages"))
+
+
 @query
 def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Log-probability of every document under a backoff automaton."""
     return ngrams.score(read(spark, folder, "documents"))
 
 
+@query
+def op4_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest sign codes of every fiftieth vector, among all vectors."""
+    vectors = read(spark, folder, "embeddings")
+    found = binary_search.search(vectors, vectors.where("vec_id % 50 = 0"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+SQL["op4_exact_topk"] = """
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+    list_sum(list_transform(generate_series(1, 64), i -> CASE
+      WHEN coalesce(q.embedding[i] > 0, false) <> coalesce(v.embedding[i] > 0, false) THEN 1 ELSE 0 END)) AS distance
+  FROM embeddings q, embeddings v
+  WHERE q.vec_id % 50 = 0 AND q.embedding IS NOT NULL AND v.embedding IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(distance AS INTEGER) AS distance
+FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality_rules.judge(read(spark, folder, "documents"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the ids outside one residue class."""
+    docs = read(spark, folder, "documents")
+    machine = toxicity.train(docs.where(id_remainder(5) != 0), read(spark, folder, "labels"))
+    scored = toxicity.predict(docs, machine)
+    return scored.select("doc_id", (id_remainder(5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its sequence."""
