@@ -48,7 +48,7 @@ def op4_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 SQL["op4_exact_topk"] = """
 WITH pairs AS (
   SELECT q.vec_id AS query_id, v.vec_id,
-    list_sum(list_transform(generate_series(1, 64), i -> CASE
+    list_sum(list_transform(generate_series(1, 64), lambda i: CASE
       WHEN coalesce(q.embedding[i] > 0, false) <> coalesce(v.embedding[i] > 0, false) THEN 1 ELSE 0 END)) AS distance
   FROM embeddings q, embeddings v
   WHERE q.vec_id % 50 = 0 AND q.embedding IS NOT NULL AND v.embedding IS NOT NULL),
@@ -101,3 +101,82 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the passages that an earlier one holds."""
     cut = spans.drop_repeated(read(spark, folder, "documents"), counts=True)
     return cut.select("doc_id", "text", "n_sentences", "n_removed")
+
+
+#: What both engines take as words; DuckDB's patterns have the same classes.
+_WORD = r"[^\x20\x09-\x0D]+"
+
+SQL["op5_quality_rules"] = rf"""
+WITH base AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+cut AS (
+  SELECT *, regexp_extract_all(text, '{_WORD}') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM base),
+win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+        FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM cut WHERE len(w) >= 3)),
+rep AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY r),
+measured AS (
+  SELECT c.r, doc_id, lang, source, len(w) AS n_words,
+    length(text) - length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM cut c LEFT JOIN covered USING (r)),
+binned AS (
+  SELECT *, least(n_symbols * 1000 // greatest(word_chars, 1), 2000) AS symbol_rate,
+    least(n_dup_lines * 1000 // greatest(n_lines, 1), 2000) AS line_rate,
+    least(n_repeat_words * 1000 // greatest(n_words, 1), 2000) AS repeat_rate,
+    least(word_chars * 10 // greatest(n_words, 1), 2000) AS word_length FROM measured),
+rates AS (
+  SELECT lang, source, unnest(['symbol_rate', 'line_rate', 'repeat_rate', 'word_length']) AS rate,
+    unnest([symbol_rate, line_rate, repeat_rate, word_length]) AS bin FROM binned),
+own AS (SELECT lang, source, rate, count(*) AS docs, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2,
+        quantile_disc(bin, 0.75) AS q3 FROM rates GROUP BY ALL),
+tongue AS (SELECT lang, rate, count(*) AS docs, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2,
+           quantile_disc(bin, 0.75) AS q3 FROM rates GROUP BY ALL),
+whole AS (SELECT rate, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2,
+          quantile_disc(bin, 0.75) AS q3 FROM rates GROUP BY ALL),
+picked AS (
+  SELECT o.lang, o.source, o.rate,
+    CASE WHEN o.docs >= 50 THEN o.q1 WHEN t.docs >= 50 THEN t.q1 ELSE w.q1 END AS q1,
+    CASE WHEN o.docs >= 50 THEN o.q2 WHEN t.docs >= 50 THEN t.q2 ELSE w.q2 END AS q2,
+    CASE WHEN o.docs >= 50 THEN o.q3 WHEN t.docs >= 50 THEN t.q3 ELSE w.q3 END AS q3
+  FROM own o JOIN tongue t ON o.lang IS NOT DISTINCT FROM t.lang AND o.rate = t.rate JOIN whole w ON o.rate = w.rate),
+bounds AS (
+  SELECT lang, source, rate, q2, 6 * greatest(q3 - q1, CASE rate WHEN 'symbol_rate' THEN 10 WHEN 'line_rate' THEN 100
+    WHEN 'repeat_rate' THEN 50 ELSE 5 END) AS reach FROM picked),
+pairs AS (
+  SELECT r, lang, source, unnest(['symbol_rate', 'line_rate', 'repeat_rate', 'word_length']) AS rate,
+    unnest([symbol_rate, line_rate, repeat_rate, word_length]) AS bin FROM binned),
+verdict AS (
+  SELECT p.r, bool_and(bin <= q2 + reach AND (p.rate <> 'word_length' OR bin >= q2 - reach)) AS fine
+  FROM pairs p JOIN bounds b ON p.lang IS NOT DISTINCT FROM b.lang AND p.source IS NOT DISTINCT FROM b.source
+    AND p.rate = b.rate GROUP BY p.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND fine AS kept
+FROM measured JOIN verdict USING (r)
+"""
+
+_SENTENCE = r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+"
+
+SQL["op10_substring_dedup"] = rf"""
+WITH base AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{_SENTENCE}') AS s FROM documents),
+sent AS (
+  SELECT doc_id, i, s[i] AS raw, trim(translate(s[i], chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ')) AS t,
+    len(regexp_extract_all(s[i], '{_WORD}')) AS n
+  FROM (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS i FROM base)),
+runs AS (
+  SELECT a.doc_id, a.i, a.t AS t1, b.t AS t2 FROM sent a JOIN sent b ON a.doc_id = b.doc_id AND b.i = a.i + 1
+  WHERE a.n + b.n >= 10),
+later AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY t1, t2 ORDER BY doc_id, i) AS k FROM runs) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest([i, i + 1]) AS i FROM later)),
+rest AS (
+  SELECT s.doc_id, string_agg(raw, '' ORDER BY s.i) FILTER (g.i IS NULL) AS text, count(g.i) AS n_removed
+  FROM sent s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.i = g.i GROUP BY s.doc_id)
+SELECT b.doc_id, CASE WHEN b.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text,
+  CAST(len(b.s) AS BIGINT) AS n_sentences, coalesce(r.n_removed, 0) AS n_removed
+FROM base b LEFT JOIN rest r USING (doc_id)
+"""
