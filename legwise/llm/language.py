@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from legwise.llm.text import LETTER, slices, table_batch
 
@@ -136,6 +137,8 @@ class Model:
 
 def _freeze(languages: list[str], counted: list[tuple]) -> Model:
     """Contexts, steps and code lengths from rows (order, lang, context, symbol, n)."""
+    if not languages:
+        return Model([], [], [], np.zeros((0, 0), np.float32))
     spot = {name: i for i, name in enumerate(languages)}
     per_order = [defaultdict(dict) for _ in range(ORDER + 1)]
     for order, name, context, symbol, n in counted:
@@ -201,8 +204,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[Colum
     """The ``keep`` columns of every row with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text_to_name"))
-    fields = [f for f in rows.schema.fields[:-1]]
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
+    shape = StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, BATCH_ROWS):
