@@ -4,26 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000
-
 
 def prefixed(df: DataFrame, prefix: str, keep: list[str] | None = None) -> DataFrame:
     """Same columns with a role prefix."""
     return df.select(*[F.col(c).alias(prefix + c) for c in (keep or df.columns)])
 
 
-def small_if_counted(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side for broadcast only after counting that it stays within the limit.
-
-    Beyond the limit the side is returned as it is and the join shuffles. Meant
-    for settled tables, whose count costs next to nothing.
-    """
-    return F.broadcast(side) if side.count() <= limit else side
-
-
 def attach(fact: DataFrame, dim: DataFrame, fact_keys: list[str], dim_keys: list[str],
            columns: dict[str, str], how: str = "left") -> DataFrame:
     """Equi-join that adds the chosen dimension columns under new names.
@@ -62,16 +51,22 @@ def attach_group(fact: DataFrame, keys: list[str], **aggregates: Column) -> Data
 def nearest_date_gap(dates: DataFrame, day: str, marks: DataFrame, mark: str) -> DataFrame:
     """Signed days from each distinct day to its nearest mark; ties go to the earlier.
 
-    The marks (holidays) form one sorted array, a scalar of a few hundred dates,
-    and each distinct day looks up its neighbours in it.
+    Days and marks stand in one calendar with a row per date; the last mark before and the
+    next one after a day are running values along it.
     """
-    listed = marks.agg(F.array_sort(F.collect_set(mark))).scalar()
-    gaps = F.transform("_marks", lambda m: F.struct(
-        F.abs(F.date_diff(F.col(day), m)).alias("size"), m.alias("mark"),
-        F.date_diff(F.col(day), m).alias("gap")))
-    distinct = dates.select(day).where(F.col(day).isNotNull()).distinct()
-    return distinct.withColumn("_marks", listed).select(
-        day, F.array_min(gaps)["gap"].cast("double").alias("days_from_major_holiday"))
+    days = dates.select(F.col(day).alias("_d"), F.lit(1).alias("_asked"), F.lit(0).alias("_mark")).where("_d IS NOT NULL")
+    marked = marks.select(F.col(mark).alias("_d"), F.lit(0), F.lit(1)).where("_d IS NOT NULL")
+    calendar = days.distinct().union(marked.distinct()).groupBy("_d").agg(
+        F.max("_asked").alias("_asked"), F.max("_mark").alias("_mark"))
+    own = F.when(F.col("_mark") == 1, F.col("_d"))
+    along = Window.orderBy("_d")  # one row per calendar date
+    gaps = calendar.select(
+        "_d", "_asked",
+        F.date_diff("_d", F.max(own).over(along.rowsBetween(Window.unboundedPreceding, 0))).alias("_since"),
+        F.date_diff(F.min(own).over(along.rowsBetween(0, Window.unboundedFollowing)), "_d").alias("_until"))
+    nearer = F.when(F.col("_until").isNull() | (F.col("_since") <= F.col("_until")), F.col("_since")).otherwise(-F.col("_until"))
+    return gaps.where("_asked = 1").select(
+        F.col("_d").alias(day), nearer.cast("double").alias("days_from_major_holiday"))
 
 
 def attach_holidays(fact: DataFrame, day: str, holidays: DataFrame) -> DataFrame:

@@ -3,36 +3,48 @@
 A window without PARTITION BY puts every row in a single task. Here the order is
 cut into slots at literal cut points, slot totals (a handful of rows) give each
 slot its starting offset, and the exact running value is computed per slot.
-The cut points come from the rows with the smallest hashes: a sample of bounded
-size that depends on the data alone, so a retried task finds the same slots.
-Ties are split too, because the cut points are taken on the whole key.
+
+The input is written once and read for each step. The number of slots follows from
+its row count. The cut points are quantiles of the leading key from a mergeable
+sketch, so one row comes back whatever the number of input partitions; a value that
+several quantiles hit is cut again along the next key, if that is a number or a time.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
+
+from legwise.session import settle
 
-MAX_SLOTS = 4096
-SAMPLES_PER_SLOT = 32
+SLOT_ROWS = 200_000
+LEAST_ACCURACY = 10_000
+HOT_SHARE = 1000
 
 
-def _slot_count(df: DataFrame) -> int:
-    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_SLOTS))
+def _quantiles(key: str, parts: int) -> Column:
+    """Values that cut the key into ``parts`` nearly equal parts."""
+    places = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    return F.percentile_approx(key, places, max(LEAST_ACCURACY, 10 * parts))
 
 
 def _cut_points(df: DataFrame, keys: list[str], slots: int) -> list[tuple]:
-    if slots == 1:
+    """Keys at which slots begin; NULL in a later key stands before all its values."""
+    if slots <= 1:
         return []
-    sample = (
-        df.select(*keys)
-        .orderBy(F.xxhash64(*keys), *keys)
-        .limit(slots * SAMPLES_PER_SLOT)
-        .collect()
-    )
-    ordered = sorted(tuple(row) for row in sample)
-    picks = {ordered[len(ordered) * i // slots] for i in range(1, slots)} if ordered else set()
-    return sorted(picks)
+    lead, rest = keys[0], (None,) * (len(keys) - 1)
+    found = df.agg(_quantiles(lead, slots).alias("q")).first()["q"] or []
+    cuts = {(v, *rest) for v in found}
+    shares = {v: found.count(v) for v in set(found)}
+    hot = [v for v, n in shares.items() if n > 1]
+    if hot and len(keys) > 1 and not isinstance(df.schema[keys[1]].dataType, (StringType, BinaryType)):
+        # at most ``slots`` values are hot, and together they are cut into at most as many parts
+        most = max(shares.values()) + 1
+        inner = df.where(F.col(lead).isin(hot)).groupBy(lead).agg(_quantiles(keys[1], most).alias("q"))
+        for row in inner.collect():
+            cuts |= {(row[lead], v, *rest[1:]) for v in row["q"] or []}
+    return sorted(cuts, key=lambda cut: tuple((v is not None, v if v is not None else 0) for v in cut))
 
 
 def _slot_of(df: DataFrame, keys: list[str], cuts: list[tuple]) -> Column:
@@ -65,10 +77,9 @@ def running_totals(df: DataFrame, keys: list[str], totals: dict[str, Column],
     sums over the whole table, which the slot totals already hold.
     """
     grand = grand or {}
-    slots = slots or _slot_count(df)
-    marked = df.withColumn("_slot", _slot_of(df, keys, _cut_points(df, keys, slots)))
-    for name, expr in totals.items():
-        marked = marked.withColumn(f"_v_{name}", expr)
+    valued = settle(df.withColumns({f"_v_{name}": expr for name, expr in totals.items()}))
+    slots = slots or -(-valued.count() // SLOT_ROWS)
+    marked = valued.withColumn("_slot", _slot_of(valued, keys, _cut_points(valued, keys, slots)))
     before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         marked.groupBy("_slot")
@@ -81,8 +92,8 @@ def running_totals(df: DataFrame, keys: list[str], totals: dict[str, Column],
         Window.partitionBy("_slot").orderBy(*keys)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # at most MAX_SLOTS rows, so the broadcast is bounded
-    joined = marked.join(F.broadcast(offsets), "_slot", "left")
+    # one row per slot, that is per SLOT_ROWS rows: settled, so Spark broadcasts it while it is small
+    joined = marked.join(settle(offsets), "_slot", "left")
     return joined.select(
         *df.columns, *grand.values(),
         *[(F.sum(f"_v_{n}").over(inside) + F.col(f"_o_{n}")).alias(n) for n in totals],
@@ -112,16 +123,26 @@ def equal_frequency_bins(df: DataFrame, score: str, tie_break: str, bins: int,
 def average_ranks(df: DataFrame, value: str, out: str, ascending: bool = True) -> DataFrame:
     """Rank of each row's value, ties sharing the mean of their positions, NULL unranked.
 
-    Values are counted first, so tied rows never travel together.
+    Values are counted first, so tied rows never travel together. The ranks of values
+    that hold more than one in ``HOT_SHARE`` rows, fewer than ``HOT_SHARE`` of them, are
+    broadcast; other values meet their rank in a join without hot keys.
     """
+    rows = settle(df)
+    known = rows.where(F.col(value).isNotNull())
     counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_ties"))
+        known.groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_ties"))
         .withColumn("_key", F.col("_value") if ascending else -F.col("_value"))
     )
-    ranked = running_totals(counted, ["_key"], {"_upto": F.col("_ties")}).select(
-        "_value", (F.col("_upto") - (F.col("_ties") - 1) / F.lit(2.0)).alias(out))
-    return df.join(ranked, F.col(value) == F.col("_value"), "left").drop("_value")
+    total = known.count()
+    ranked = settle(running_totals(counted, ["_key"], {"_upto": F.col("_ties")}).select(
+        "_value", "_ties", (F.col("_upto") - (F.col("_ties") - 1) / F.lit(2.0)).alias(out)))
+    hot = F.broadcast(ranked.where(F.col("_ties") * HOT_SHARE > total).drop("_ties"))
+    same = F.col(value) == F.col("_value")
+    cold = ranked.where(F.col("_ties") * HOT_SHARE <= total).drop("_ties")
+    plain = known.join(hot, same, "left_anti").join(cold, same, "left")
+    unranked = rows.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
+    kept = [*df.columns, out]
+    return known.join(hot, same).select(*kept).unionByName(plain.select(*kept)).unionByName(unranked.select(*kept))
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -130,6 +151,15 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def hashed_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows chosen by a seeded hash of the key: the same rows on any partitioning."""
-    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    return df.orderBy(digest, F.col(key)).limit(n)
+    """n rows chosen by a seeded hash of the key: the same rows on any partitioning.
+
+    Only rows whose hash can be among the n smallest are ordered, about n of them.
+    """
+    total = df.count()
+    hashed = df.withColumn("_digest", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
+    share = (n + 10 * n ** 0.5 + 10) / max(total, 1)
+    if share < 1:
+        near = hashed.where(F.col("_digest") < f"{int(share * (1 << 32)):08x}")
+        if near.limit(n).count() == n:
+            hashed = near
+    return hashed.orderBy("_digest", key).limit(n).drop("_digest")

@@ -1,8 +1,10 @@
-"""Exact interpolated quantiles, whole groups and hot groups alike.
+"""Exact interpolated quantiles in two narrow passes, whole groups and hot groups alike.
 
-The built-in exact percentile keeps every distinct value of a group in one
-task. Here equal values are counted first, the counts fall into order-preserving
-bins, and only the bins that hold a wanted position are ordered value by value.
+The built-in exact percentile keeps every distinct value of a group in one task. Here a
+mergeable sketch first brackets each wanted position; the error of the sketch is bounded,
+so a bracket holds a small share of the group's values. The second pass counts, with
+partial sums before the shuffle, what lies below each bracket, and only the distinct values
+inside it are ordered. Rows are neither shuffled as they are nor unfolded by column.
 """
 
 from __future__ import annotations
@@ -12,71 +14,81 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS_PER_DOUBLING = 64
-
-
-def _order_bin(x: Column) -> Column:
-    """Monotone bin of a number, about one percent wide at any magnitude."""
-    size = F.floor(F.log2(F.abs(x) + 1.0) * BINS_PER_DOUBLING)
-    return F.when(x < 0, -size - 1).otherwise(size)
+from legwise.session import settle
+
+ACCURACY = 10_000
+MARGIN = 3 / ACCURACY
+ALL = "_all"
+
+
+def _bracketed(rows: DataFrame, keys: list[str], values: list[str], wanted: list[tuple[str, str, float]]) -> DataFrame:
+    """One row per key: the count of each value column and the bracket of each wanted quantile."""
+    ends = []
+    for i, (_, value, p) in enumerate(wanted):
+        pair = F.percentile_approx(value, F.array(F.lit(max(0.0, p - MARGIN)), F.lit(min(1.0, p + MARGIN))), ACCURACY)
+        ends += [pair[0].alias(f"_lo{i}"), pair[1].alias(f"_hi{i}")]
+    return rows.groupBy(*keys).agg(*[F.count(v).alias(f"_n_{v}") for v in values], *ends)
+
+
+def _quantiles(df: DataFrame, keys: list[str], values: dict[str, Column],
+               wanted: list[tuple[str, str, float]]) -> DataFrame:
+    """Exact quantiles (name, value, probability) of every group that has a value."""
+    group = keys or [ALL]
+    named = {v: f"_x{i}" for i, v in enumerate(values)}
+    wanted = [(name, named[v], p) for name, v, p in wanted]
+    columns = list(named.values())
+    present = reduce(lambda a, b: a | b, [F.col(x).isNotNull() for x in columns])
+    rows = df if keys else df.withColumn(ALL, F.lit(0))
+    rows = rows.select(*group, *[values[v].cast("double").alias(x) for v, x in named.items()])
+    rows = settle(reduce(lambda a, k: a.where(F.col(k).isNotNull()), group, rows.where(present)))
+    brackets = settle(_bracketed(rows, group, columns, wanted))
+    placed = rows.join(brackets, group)
+    spots = [(F.col(x), F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i, (_, x, _) in enumerate(wanted)]
+    around = placed.groupBy(*group).agg(*[c for i, (x, lo, hi) in enumerate(spots) for c in (
+        F.count_if(x < lo).alias(f"_below{i}"), F.max(F.when(x < lo, x)).alias(f"_prev{i}"),
+        F.min(F.when(x > hi, x)).alias(f"_next{i}"))])
+    inside = F.filter(
+        F.array(*[F.struct(F.lit(i).alias("_i"), F.when((x >= lo) & (x <= hi), x).alias("_v"))
+                  for i, (x, lo, hi) in enumerate(spots)]), lambda s: s["_v"].isNotNull())
+    counted = placed.select(*group, F.inline(inside)).groupBy(*group, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    facts = settle(brackets.join(around, group))
+    # the wanted positions as rows beside the bracket's values: a handful per group
+    places = [F.struct(
+        F.lit(i).alias("_i"), F.col(f"_below{i}").alias("_below"), F.col(f"_prev{i}").alias("_prev"),
+        F.col(f"_next{i}").alias("_next"), ((F.col(f"_n_{x}") - 1) * F.lit(float(p))).alias("_spot"))
+        for i, (_, x, p) in enumerate(wanted)]
+    sought = facts.select(*group, F.inline(F.array(*places)))
+    upto = F.sum("_c").over(Window.partitionBy(*group, "_i").orderBy("_v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    met = counted.withColumn("_upto", upto).join(sought, [*group, "_i"])
+
+    def at(position: Column, out: str) -> Column:
+        return F.min(F.when(F.col("_upto") + F.col("_below") > position, F.col("_v"))).alias(out)
+
+    found = met.groupBy(*group, "_i").agg(
+        at(F.floor("_spot"), "_low"), at(F.ceil("_spot"), "_high"), F.first("_below").alias("_below"),
+        F.first("_prev").alias("_prev"), F.first("_next").alias("_next"), F.first("_spot").alias("_spot"))
+    low = F.when(F.floor("_spot") < F.col("_below"), F.col("_prev")).otherwise(F.coalesce("_low", "_next"))
+    high = F.when(F.ceil("_spot") < F.col("_below"), F.col("_prev")).otherwise(F.coalesce("_high", "_next"))
+    exact = low + (high - low) * (F.col("_spot") - F.floor("_spot"))
+    answered = found.groupBy(*group).agg(*[
+        F.max(F.when(F.col("_i") == i, exact)).alias(name) for i, (name, _, _) in enumerate(wanted)])
+    return answered if keys else answered.drop(ALL)
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: Column,
                     probabilities: dict[str, float]) -> DataFrame:
     """One row per key with the linearly interpolated quantiles of ``value``.
 
-    NULL keys and NULL values are left out. Without keys the result has one row.
+    NULL keys and NULL values are left out. Without keys the result has one row, or none if
+    there is no value.
     """
-    kept = df.select(*keys, value.cast("double").alias("_x")).where(
-        reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.col("_x").isNotNull()))
-    counted = (
-        kept.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", _order_bin(F.col("_x")))
-    )
-    # a few thousand bins per key at most, whatever the row count
-    per_key = Window.partitionBy(*keys)
-    earlier = per_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = counted.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_held")).select(
-        *keys, "_bin", "_held",
-        F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_held").over(per_key).alias("_total"),
-    )
-    spot = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in probabilities.items()}
-
-    def holds(position: Column) -> Column:
-        return (position >= F.col("_before")) & (position < F.col("_before") + F.col("_held"))
-
-    wanted = reduce(lambda a, b: a | b, [
-        holds(F.floor(s)) | holds(F.ceil(s)) for s in spot.values()])
-    chosen = bins.where(wanted).drop("_held")
-    inside = (
-        Window.partitionBy(*keys, "_bin").orderBy("_x")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ordered = counted.join(chosen, [*keys, "_bin"]).withColumn(
-        "_upto", F.sum("_n").over(inside) + F.col("_before"))
-    picked = ordered.groupBy(*keys).agg(
-        F.first("_total").alias("_total"),
-        *[F.min(F.when(F.col("_upto") > F.floor(s), F.col("_x"))).alias(f"_lo_{n}")
-          for n, s in spot.items()],
-        *[F.min(F.when(F.col("_upto") > F.ceil(s), F.col("_x"))).alias(f"_hi_{n}")
-          for n, s in spot.items()],
-    )
-    return picked.select(*keys, *[
-        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (s - F.floor(s))).alias(n)
-        for n, s in spot.items()
-    ])
+    return _quantiles(df, keys, {"value": value}, [(name, "value", p) for name, p in probabilities.items()])
 
 
 def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """One row per key with the median of each column."""
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_value"))
-        for c in columns])
-    long = df.select(*keys, F.inline(pairs))
-    found = exact_quantiles(long, [*keys, "_name"], F.col("_value"), {"_median": 0.5})
-    return found.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_name") == c, F.col("_median"))).alias(c) for c in columns])
+    return _quantiles(df, keys, {c: F.col(c) for c in columns}, [(c, c, 0.5) for c in columns])
 
 
 def median_of(df: DataFrame, value: Column) -> Column:

@@ -77,33 +77,18 @@ def centred_mean(daily: DataFrame, day: str, value: str, out: str, rows: int = 1
 
 
 # ---------------------------------------------------------------- previous leg
-HOT_SLOT_ROWS = 2_000_000
-
-
-def busy_slot(df: DataFrame, entity: str, ts: str, limit: int = HOT_SLOT_ROWS) -> str:
-    """The longest time slot that keeps every entity's slot within ``limit`` rows.
-
-    Rows are counted per entity and slot before the shuffle; only the largest
-    count comes back. Days do for ordinary fleets and keep the carry table small.
-    """
-    for slot in ("day", "hour"):
-        counts = df.where(F.col(entity).isNotNull()).groupBy(
-            entity, F.date_trunc(slot, F.col(ts))).agg(F.count(F.lit(1)).alias("n"))
-        if (counts.agg(F.max("n")).first()[0] or 0) <= limit:
-            return slot
-    return "minute"
+SLOT = "hour"
 
 
 def previous_in_order(df: DataFrame, entity: str, ts: str, tie_break: str,
-                      carried: dict[str, str], slot: str | None = None) -> DataFrame:
+                      carried: dict[str, str], slot: str = SLOT) -> DataFrame:
     """Add columns of the entity's previous row in (ts, tie_break) order.
 
-    Each entity's history is cut into time slots, so one busy entity spreads over
-    as many tasks as it has slots. The last row of each earlier slot is carried
+    Each entity's history is cut into hours, so one busy entity spreads over as many
+    tasks as it has hours. The last row of each earlier slot is carried
     over through a small (entity, slot) table. Rows without an entity get NULLs
     and never meet in one task.
     """
-    slot = slot or busy_slot(df, entity, ts)
     named = df.where(F.col(entity).isNotNull()).withColumn("_slot", F.date_trunc(slot, F.col(ts)))
     anonymous = df.where(F.col(entity).isNull())
     record = F.struct(*[F.col(c).alias(c) for c in carried])
@@ -125,13 +110,12 @@ def previous_in_order(df: DataFrame, entity: str, ts: str, tie_break: str,
 
 
 def earlier_delay_today(df: DataFrame, entity: str, day: str, ts: str, tie_break: str,
-                        delay: str, out: str, slot: str | None = None) -> DataFrame:
+                        delay: str, out: str, slot: str = SLOT) -> DataFrame:
     """Running delay of the entity's earlier rows of the same local day.
 
     The row right after a missing delay gets 0; the sum resumes after it. A busy
     day is cut into slots as in ``previous_in_order``, with the sum carried over.
     """
-    slot = slot or busy_slot(df, entity, ts)
     named = df.where(F.col(entity).isNotNull()).withColumn("_slot", F.date_trunc(slot, F.col(ts)))
     anonymous = df.where(F.col(entity).isNull())
     record = F.struct(F.col(delay).alias("d"))
@@ -182,7 +166,7 @@ def propagation_fields(departure: Column, origin: Column) -> dict[str, Column]:
 
 def add_propagation(df: DataFrame, entity: str, ts: str, arr: str, tie_break: str, origin: str,
                     destination: str, dep_delay: str, arr_delay: str, cancelled: str,
-                    slot: str | None = None) -> DataFrame:
+                    slot: str = SLOT) -> DataFrame:
     """Previous-leg link plus the upstream-delay features."""
     linked = previous_in_order(df, entity, ts, tie_break, {
         dep_delay: "prev_dep_delay", arr_delay: "prev_arr_delay", arr: "prev_sched_arr",

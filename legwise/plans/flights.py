@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from legwise.functions import clock, schedule, space, weather
 from legwise.functions.base import flag
 from legwise.operators import windows as W
-from legwise.operators.joins import attach, attach_holidays, attach_roles, small_if_counted
+from legwise.operators.joins import attach, attach_holidays, attach_roles
 from legwise.operators.projections import keep_columns, missing_columns
 from legwise.operators.quality import clean_aircraft, clean_airports, clean_flights, clean_weather
 from legwise.plans.features import ALL_FEATURES, ID_COLUMNS
@@ -139,7 +139,6 @@ def _rotation(f: DataFrame, ready, slot: str | None) -> DataFrame:
     """
     narrow = f.select("flight_id", "tail_number", "scheduled_departure_utc", "scheduled_arrival_utc",
                       "origin", "destination", "departure_delay_min", "arrival_delay_min", "cancelled", "date")
-    slot = slot or W.busy_slot(narrow, "tail_number", "scheduled_departure_utc")
     linked = ready(W.add_propagation(
         narrow, "tail_number", "scheduled_departure_utc", "scheduled_arrival_utc", "flight_id", "origin",
         "destination", "departure_delay_min", "arrival_delay_min", "cancelled", slot))
@@ -151,12 +150,12 @@ def _rotation(f: DataFrame, ready, slot: str | None) -> DataFrame:
 
 
 def derive_features(integrated: DataFrame, until: str | None = None, settled: bool = True,
-                    slot: str | None = None) -> DataFrame:
+                    slot: str = W.SLOT) -> DataFrame:
     """All features next to the identifier columns, cancelled flights included.
 
     ``until`` keeps later days out of the station normals, carrier shares and the
     system rate; by default they use all days. With ``settled`` the small tables
-    are written to the shared folder once and, after a count, broadcast if small.
+    are written to the shared folder once; Spark knows their size then and broadcasts them if small.
     """
     ready = settle if settled else (lambda df: df)
     local = clock.parse_timestamp(F.col("scheduled_departure_local").cast("string"))
@@ -185,8 +184,7 @@ def derive_features(integrated: DataFrame, until: str | None = None, settled: bo
         F.avg("dep_wx_temperature_c").alias("_normal_c"))
     sides = _hour_tables(f) | _day_tables(f, until, ready) | {"month_normal": (normals, ["origin", "month"])}
     for side, keys in sides.values():
-        small = small_if_counted(ready(side)) if settled else side
-        wide = attach(wide, small, keys, keys, {c: c for c in side.columns if c not in keys})
+        wide = attach(wide, ready(side), keys, keys, {c: c for c in side.columns if c not in keys})
     wide = wide.withColumns({
         "dep_temp_anomaly": F.col("dep_wx_temperature_c") - F.col("_normal_c"),
         "route_popularity_30d": F.coalesce(F.col("route_volume_30d"), F.lit(0.0)),

@@ -156,13 +156,6 @@ def test_previous_row_does_not_depend_on_the_slot(spark, slot):
     assert {r["id"]: r["prev"] for r in got.collect()} == want
 
 
-def test_busy_entities_get_shorter_slots(spark):
-    start = dt.datetime(2024, 1, 1)
-    data = [("hot", start + dt.timedelta(seconds=20 * i)) for i in range(1000)] + [("calm", start), (None, start)]
-    df = spark.createDataFrame(data, "tail STRING, ts TIMESTAMP")
-    assert [windows.busy_slot(df, "tail", "ts", n) for n in (1000, 200, 10)] == ["day", "hour", "minute"]
-
-
 # ---------------------------------------------------------------- cleaning
 def fixture_tables(spark):
     airports = spark.createDataFrame([("ORD", "America/Chicago"), ("ATL", "America/New_York")], "airport_code STRING, timezone STRING")
@@ -250,3 +243,73 @@ def test_recursive_elimination_order():
     weight = {c: i for i, c in enumerate("abcdefgh")}
     ranks = selection.recursive_elimination(lambda columns: weight, list("abcdefgh"), keep=4, step=0.25)
     assert [ranks[c] for c in "abcdefgh"] == [3, 3, 2, 2, 1, 1, 1, 1]
+
+
+# ---------------------------------------------------------------- kernels
+def test_slots_split_hot_values(spark):
+    """A score that half of the rows share is cut along the next key; positions stay exact."""
+    rng = random.Random(9)
+    data = [(i, 0.5 if i % 2 else rng.random()) for i in range(4000)]
+    df = spark.createDataFrame(data, "id BIGINT, score DOUBLE")
+    cuts = ordering._cut_points(df, ["score", "id"], 16)
+    assert sum(c[0] == 0.5 for c in cuts) > 4
+    slot = ordering._slot_of(df, ["score", "id"], cuts)
+    assert df.groupBy(slot.alias("s")).count().agg({"count": "max"}).first()[0] < 600
+    got = ordering.running_totals(df, ["score", "id"], {"place": F.lit(1)}, slots=16).collect()
+    want = {i: n + 1 for n, (i, _) in enumerate(sorted(data, key=lambda r: (r[1], r[0])))}
+    assert {r["id"]: r["place"] for r in got} == want
+
+
+def test_cut_points_do_not_grow_with_partitions(spark):
+    for parts in (2, 40):
+        df = spark.range(20_000).repartition(parts).withColumn("score", F.rand(1))
+        assert len(ordering._cut_points(df, ["score", "id"], 8)) <= 8
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (31_536_000.0, 1.7e9)])
+def test_brackets_are_narrow(spark, scale, shift):
+    """Values in [0, 1) and a year of seconds with fractions: few of them have to be ordered."""
+    df = spark.range(200_000).select(((F.rand(3) * scale) + shift).alias("_x0"), F.lit(0).alias("_all"))
+    wanted = [("q", "_x0", 0.5)]
+    bracket = quantiles._bracketed(df, ["_all"], ["_x0"], wanted).first()
+    inside = df.where((F.col("_x0") >= bracket["_lo0"]) & (F.col("_x0") <= bracket["_hi0"])).count()
+    assert inside <= 4000
+    got = quantiles.exact_quantiles(df, [], F.col("_x0"), {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}).first()
+    values = [r[0] for r in df.select("_x0").collect()]
+    assert list(got) == pytest.approx(np.quantile(values, [0, 0.25, 0.5, 0.9, 1.0]).tolist(), rel=1e-12)
+
+
+def test_quantiles_of_small_and_tied_groups(spark):
+    rng = random.Random(2)
+    data = [(g, float(rng.choice([1, 1, 1, 2, 5, 7])) if rng.random() > 0.1 else None) for g in range(12) for _ in range(g)]
+    df = spark.createDataFrame(data, "g INT, v DOUBLE")
+    got = {r["g"]: tuple(r)[1:] for r in quantiles.exact_quantiles(df, ["g"], F.col("v"), {"a": 0.1, "b": 0.5, "c": 0.75}).collect()}
+    held = {g: [v for h, v in data if h == g and v is not None] for g in range(12)}
+    assert got == {g: pytest.approx(np.quantile(v, [0.1, 0.5, 0.75]).tolist()) for g, v in held.items() if v}
+
+
+def test_average_ranks_with_a_hot_value(spark):
+    data = [(i, None if i % 50 == 0 else float(i % 3 == 0) if i % 2 else i / 7) for i in range(3000)]
+    df = spark.createDataFrame(data, "id BIGINT, v DOUBLE")
+    got = {r["id"]: r["r"] for r in ordering.average_ranks(df, "v", "r").collect()}
+    want = pd.Series(dict(data), dtype=float).rank()
+    assert got == {i: None if pd.isna(x) else x for i, x in want.items()}
+
+
+def test_hashed_sample_is_the_smallest_hashes(spark):
+    import hashlib
+
+    df = spark.range(5000)
+    got = {r["id"] for r in ordering.hashed_sample(df, 100, "id").collect()}
+    assert got == set(sorted(range(5000), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())[:100])
+
+
+def test_nearest_mark(spark):
+    days = [dt.date(2024, 1, d) for d in range(1, 29)]
+    marks = [dt.date(2024, 1, 5), dt.date(2024, 1, 11), dt.date(2024, 2, 1)]
+    from legwise.operators.joins import nearest_date_gap
+
+    got = {r["day"]: r["days_from_major_holiday"] for r in nearest_date_gap(
+        spark.createDataFrame([(d,) for d in days], "day DATE"), "day",
+        spark.createDataFrame([(m,) for m in marks], "m DATE"), "m").collect()}
+    assert got == {d: float(min(((d - m).days for m in marks), key=lambda g: (abs(g), -g))) for d in days}
