@@ -89,16 +89,23 @@ def a7(t):
     return A.rate_by(rows, ["profile", "slot"], "late").select("profile", "slot", *r6("rate"), "n")
 
 
-@query("A8_weekday_by_block_pivot", f"""
-WITH {OPERATED}, c AS (SELECT (isodow(dep_ts) - 1)::INT AS weekday, (hour(dep_ts) // 6)::INT AS quarter_day, late FROM operated)
-SELECT weekday, ROUND(AVG(late) FILTER (quarter_day = 0), 6) AS "0", ROUND(AVG(late) FILTER (quarter_day = 1), 6) AS "1",
-  ROUND(AVG(late) FILTER (quarter_day = 2), 6) AS "2", ROUND(AVG(late) FILTER (quarter_day = 3), 6) AS "3" FROM c GROUP BY 1
-""")
+def pivot_sql(row: str, column: str, values: range) -> str:
+    cells = ", ".join(f'ROUND(AVG(late) FILTER ({column} = {v}), 6) AS "{v}"' for v in values)
+    return f"WITH {OPERATED} SELECT {row}, {cells} FROM operated GROUP BY 1"
+
+
+@query("A8_weekday_by_hour_pivot", pivot_sql("(isodow(dep_ts) - 1)::INT AS weekday", "hour(dep_ts)", range(24)))
 def a8(t):
-    cells = t.operated.select(F.weekday("dep_ts").alias("weekday"),
-                              F.floor(F.hour("dep_ts") / 6).cast("int").alias("quarter_day"), "late")
-    return A.grid_of_rates(cells, "weekday", "quarter_day", [0, 1, 2, 3], "late").select(
-        "weekday", *r6("0", "1", "2", "3"))
+    cells = t.operated.select(F.weekday("dep_ts").alias("weekday"), F.hour("dep_ts").alias("hour"), "late")
+    return A.grid_of_rates(cells, "weekday", "hour", list(range(24)), "late").select(
+        "weekday", *r6(*map(str, range(24))))
+
+
+@query("A8_station_by_month_pivot", pivot_sql("origin", "month(dep_ts)", range(1, 13)))
+def a8b(t):
+    cells = t.operated.select("origin", F.month("dep_ts").alias("month"), "late")
+    return A.grid_of_rates(cells, "origin", "month", list(range(1, 13)), "late").select(
+        "origin", *r6(*map(str, range(1, 13))))
 
 
 BAND_SQL = """CASE WHEN {x} > -0.01 AND {x} <= 0.1 THEN '0' WHEN {x} > 0.1 AND {x} <= 15 THEN '1-15'
@@ -125,6 +132,19 @@ def a10(t):
         *r6("rate_with", "rate_without", "multiplier", "uplift_pct"))
 
 
+@query("A10_storm_and_freeze_contrasts", f"""
+WITH {OBSERVED}, x AS (SELECT late, unnest(['storm', 'freezing']) AS contrast, unnest([condition = 'Thunderstorm', temp < 0]) AS held FROM observed),
+g AS (SELECT contrast, AVG(late) FILTER (held) AS w, AVG(late) FILTER (NOT held) AS o FROM x GROUP BY 1)
+SELECT contrast, ROUND(w, 6) AS rate_with, ROUND(o, 6) AS rate_without, ROUND(w / o, 6) AS multiplier, ROUND((w / o - 1) * 100, 6) AS uplift_pct FROM g
+""")
+def a10b(t):
+    out = None
+    for name, held in (("storm", F.col("dep_wx_condition") == "Thunderstorm"), ("freezing", F.col("dep_wx_temperature_c") < 0)):
+        row = A.contrast(t.observed, held, "late").withColumn("contrast", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out.select("contrast", *r6("rate_with", "rate_without", "multiplier", "uplift_pct"))
+
+
 @query("A11_excess_attributable_share", f"""
 WITH {OBSERVED}, g AS (SELECT AVG(late) FILTER (temp > 20) AS b, AVG(late) FILTER (temp <= 20) AS o, AVG((temp > 20)::INT) AS s, AVG(late) AS a FROM observed)
 SELECT ROUND((b - o) * s / a, 6) AS excess_share FROM g
@@ -315,11 +335,12 @@ def a27(t):
 
 @query("A28_summary_facts", f"""
 WITH {OPERATED} SELECT MIN(day)::VARCHAR AS first_day, MAX(day)::VARCHAR AS last_day, COUNT(*) AS n_rows, COUNT(DISTINCT origin) AS n_origin,
- COUNT(DISTINCT carrier_code) AS n_carrier_code, ROUND(AVG(late), 6) AS rate FROM operated
+ COUNT(DISTINCT carrier_code) AS n_carrier_code, COUNT(DISTINCT origin || '-' || destination) AS n_route, ROUND(AVG(late), 6) AS rate FROM operated
 """)
 def a28(t):
-    return A.system_summary(t.operated, "day", "late", ["origin", "carrier_code"]).select(
-        "first_day", "last_day", "n_rows", "n_origin", "n_carrier_code", *r6("rate"))
+    rows = t.operated.withColumn("route", schedule.route_key(F.col("origin"), F.col("destination")))
+    return A.system_summary(rows, "day", "late", ["origin", "carrier_code", "route"]).select(
+        "first_day", "last_day", "n_rows", "n_origin", "n_carrier_code", "n_route", *r6("rate"))
 
 
 @query("A29_station_and_route_geography", f"""
@@ -384,11 +405,12 @@ def o3(t):
 
 
 @query("O5_watch_list", f"""
-WITH {SCORED} SELECT id, score, (score >= 0.53)::INT AS flagged FROM scored ORDER BY score DESC, id LIMIT 500
+WITH {SCORED} SELECT id, score, (score >= 0.53)::INT AS flagged, ROW_NUMBER() OVER (ORDER BY score DESC, id) AS place FROM scored
 """)
 def o5(t):
-    return top_k(t.scored.select("id", "score", flag(F.col("score") >= 0.53).cast("int").alias("flagged")),
-                 500, F.desc("score"), F.col("id"))
+    rows = t.scored.select("id", "score", flag(F.col("score") >= 0.53).cast("int").alias("flagged"),
+                           (-F.col("score")).alias("_down"))
+    return positions(rows, ["_down", "id"], "place").drop("_down")
 
 
 @query("O6_highest_middle_lowest", f"""

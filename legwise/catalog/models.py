@@ -12,6 +12,7 @@ from legwise.operators import explanation as X
 from legwise.operators import modelling as M
 from legwise.operators import selection as L
 from legwise.operators.evaluation import baseline_deltas, regression_quality
+from legwise.operators.quantiles import median_of
 from legwise.operators.splits import expanding_folds, halves_by_time
 from legwise.session import fresh_path
 
@@ -199,7 +200,7 @@ def m10(t):
     for loss in ("squared", "absolute"):
         fitted = M.fit_minutes(train, NUMBERS, CATEGORIES, "minutes", loss, rounds=5, depth=4)
         predicted = fitted.predict(valid)
-        deltas = baseline_deltas(predicted, "minutes", "prediction")
+        deltas = baseline_deltas(predicted, "minutes", "prediction", median_of(train, F.col("minutes")))
         row = regression_quality(predicted, "minutes", "prediction").withColumns({
             "loss": F.lit(loss), "rmse_change_pct": deltas.select("rmse_change_pct").scalar(),
             "mae_change_pct": deltas.select("mae_change_pct").scalar()})

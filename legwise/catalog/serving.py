@@ -220,7 +220,7 @@ def v4(t):
 
 
 @query("V4_answer_from_score", f"""
-WITH {SCORED} SELECT id, carrier_code || (id % 900) AS flight, round_even(score, 4) AS delay_probability, CASE WHEN score < 0.15 THEN 'low' WHEN score < 0.3 THEN 'moderate' WHEN score < 0.5 THEN 'elevated' ELSE 'high' END AS risk_band,
+WITH {SCORED} SELECT id, carrier_code || CASE WHEN id % 900 <> 0 THEN (id % 900)::VARCHAR ELSE '' END AS flight, round_even(score, 4) AS delay_probability, CASE WHEN score < 0.15 THEN 'low' WHEN score < 0.3 THEN 'moderate' WHEN score < 0.5 THEN 'elevated' ELSE 'high' END AS risk_band,
  score >= 0.53 AS recommend_intervention, round_even(score * 44, 1) AS expected_delay_minutes FROM scored
 """)
 def v4b(t):

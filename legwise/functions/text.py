@@ -42,7 +42,8 @@ def expected_minutes(p: Column) -> Column:
 
 
 def flight_label(carrier: Column, number: Column) -> Column:
-    return F.concat(carrier, F.coalesce(number.cast("string"), F.lit("")))
+    """Carrier and flight number; the carrier alone without a number or with number 0."""
+    return F.concat(carrier, F.coalesce(F.nullif(number, F.lit(0)).cast("string"), F.lit("")))
 
 
 def default_label(feature: Column) -> Column:

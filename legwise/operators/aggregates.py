@@ -167,7 +167,7 @@ def top_share(shares: DataFrame, share_column: str, k: int) -> DataFrame:
 def family_shares(df: DataFrame, family: str, value: str) -> DataFrame:
     """Group sums as fractions of the total; one row per family."""
     sums = df.groupBy(family).agg(F.sum(value).alias("total"))
-    return sums.withColumn("share", F.col("total") / F.sum("total").over(Window.partitionBy()))
+    return sums.withColumn("share", F.col("total") / sums.agg(F.sum("total")).scalar())
 
 
 def system_summary(df: DataFrame, day: str, late: str, distinct: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legwise.functions.base import count_where, ratio
@@ -136,11 +136,11 @@ def regression_quality(df: DataFrame, actual: str, predicted: str, min_actual: f
     ).withColumn("median_ae", median_error)
 
 
-def baseline_deltas(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """RMSE and MAE next to those of the constant median."""
-    constant = df.withColumn("_median", median_of(df, F.col(actual)))
+def baseline_deltas(df: DataFrame, actual: str, predicted: str, constant: Column) -> DataFrame:
+    """RMSE and MAE next to those of a constant: the median of the training rows."""
+    told = df.withColumn("_median", constant)
     e, b = F.col(actual) - F.col(predicted), F.col(actual) - F.col("_median")
-    out = constant.agg(
+    out = told.agg(
         F.sqrt(F.avg(e * e)).alias("rmse"), F.sqrt(F.avg(b * b)).alias("rmse_median"),
         F.avg(F.abs(e)).alias("mae"), F.avg(F.abs(b)).alias("mae_median"))
     return out.withColumns({

@@ -35,7 +35,6 @@ WEATHER_LIMITS = {
 }
 CODES = ("carrier_code", "origin", "destination")
 DEFAULT_REASONS = 4
-MAX_BATCH = 500
 
 
 def validate_requests(requests: DataFrame, airports: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +147,7 @@ def featurize(requests: DataFrame, store: dict[str, DataFrame], holidays: DataFr
         "scheduled_block_min": block, "schedule_padding_min": block - implied,
         "padding_ratio": (block - implied) / clip(block, low=1.0),
         "scheduled_turnaround_min": turnaround,
-        "aircraft_model": F.coalesce("aircraft_model", kept("aircraft_model")),
+        "aircraft_model": F.coalesce(F.nullif(F.trim("aircraft_model"), F.lit("")), kept("aircraft_model")),
         "seats": F.coalesce(F.nullif("seats", F.lit(0)).cast("double"), kept("seats").cast("double")),
         "aircraft_age_years": F.coalesce("aircraft_age_years", kept("aircraft_age_years")),
         "dep_wx_temperature_c": w_o["temperature_c"], "dep_wx_wind_speed_kt": w_o["wind_speed_kt"],

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +39,11 @@ def local_session(cpus: int | str = "*", name: str = "legwise") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a private one only where none is configured."""
+    """The folder all executors share.
+
+    Where none is configured, a local session uses a folder beside its warehouse; a cluster
+    must name one, because its executors do not see each other's disks.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -49,7 +52,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="legwise-"))
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/legwise-scratch")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 

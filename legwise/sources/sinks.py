@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from legwise.session import settle
+
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,
                   sort_by: list[str] | None = None) -> None:
@@ -22,8 +24,11 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_report_csv(df: DataFrame, path: str) -> None:
-    """Small report table as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Small report table as one CSV file with a header.
+
+    The table is computed and written in parallel first; only the finished rows meet in one task.
+    """
+    settle(df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_facts_json(df: DataFrame, path: str) -> None:
