@@ -9,8 +9,8 @@ of documents, so the packing itself is a small problem on the driver:
   a sequence) is solved by multiplicative weights: a length that lags behind in
   coverage gets a higher price, and a knapsack dynamic program finds, for each
   length, the most valuable set that contains it;
-* the fractional solution is rounded down, and what is left over is packed by the
-  same program, largest length first, with the best filling set each time.
+* the fractional solution is rounded down, and what is left over goes by best fit, largest
+  length first, into its sequences and new ones, with equal sequences counted, not listed.
 
 Pieces of one length are interchangeable. They are numbered inside salted groups,
 so a length that a third of all rows share is no hot group, and each takes the
@@ -24,6 +24,7 @@ other columns are not read.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +40,7 @@ CAPACITY = 2048
 END_ID = 0
 ROUNDS = 120
 COLUMNS_A_ROUND = 96
-RATE = 0.25
+RATE = 0.5
 SLOPE = 6.0
 GROUP_ROWS = 100_000
 BATCH_ROWS = 256
@@ -165,43 +166,71 @@ class Knapsack:
 
 
 def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict, float]:
-    """Amounts of configurations by multiplicative weights, and a lower bound on their number.
+    """Amounts of configurations by multiplicative weights, and a lower bound on all sequences.
 
-    A configuration is a sorted tuple of indices into ``lengths``. The bound is the value of
-    the best prices seen: no set that fits a sequence is worth more than one.
+    A configuration is a sorted tuple of indices into ``lengths``. A step takes a part of what
+    is uncovered of its scarcest length, so no length is covered more than once. The bound is
+    the value of the best prices seen: no set that fits a sequence is worth more than one.
     """
-    covered, amounts, bound = np.zeros(len(lengths)), {}, 0.0
+    left, amounts, bound = counts.astype(float), {}, 0.0
     for _ in range(rounds):
-        prices = lengths * np.exp(-SLOPE * (covered / counts - (covered / counts).min()))
-        sack = Knapsack(lengths, prices, capacity)
-        bound = max(bound, float((counts * prices).sum() / sack.value[capacity]))
-        value = prices + sack.value[capacity - lengths]
+        live = np.flatnonzero(left >= 1)
+        if not len(live):
+            break
+        behind = left[live] / counts[live]
+        prices = lengths[live] * np.exp(SLOPE * (behind - behind.max()))
+        sack = Knapsack(lengths[live], prices, capacity)
+        if len(live) == len(lengths):
+            bound = max(bound, float((counts * prices).sum() / sack.value[capacity]))
+        value = prices + sack.value[capacity - lengths[live]]
         for i in np.argsort(-value, kind="stable")[:COLUMNS_A_ROUND]:
-            chosen = tuple(sorted([int(i), *sack.filling(capacity - int(lengths[i]))]))
+            chosen = live[sorted([int(i), *sack.filling(capacity - int(lengths[live[i]]))])]
             kinds, times = np.unique(chosen, return_counts=True)
-            step = RATE * float((counts[kinds] / times).min())
-            amounts[chosen] = amounts.get(chosen, 0.0) + step
-            covered[kinds] += step * times
-        if covered.min() >= 0 and (covered >= counts).all():
-            break
+            step = RATE * float((left[kinds] / times).min())
+            if step > 0:
+                key = tuple(chosen.tolist())
+                amounts[key] = amounts.get(key, 0.0) + step
+                left[kinds] -= step * times
     return amounts, bound
 
 
-def _best_fit(top: int, held: np.ndarray, lengths: np.ndarray, live: np.ndarray, sack: Knapsack,
-              capacity: int) -> tuple[int, ...]:
-    """A set with ``top`` that fills a sequence well and asks for no more than is held."""
-    chosen, room = [top], capacity - int(lengths[top])
-    held[top] -= 1
-    for k in sorted((int(live[i]) for i in sack.filling(room)), reverse=True):
-        if held[k] > 0:
-            held[k] -= 1
-            chosen.append(k)
-            room -= int(lengths[k])
-    while (fits := np.flatnonzero((held > 0) & (lengths <= room))).size:
-        held[fits[-1]] -= 1
-        chosen.append(int(fits[-1]))
-        room -= int(lengths[fits[-1]])
-    return tuple(sorted(chosen))
+def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int,
+             begun: list[tuple[tuple[int, ...], int]]) -> list[tuple[tuple[int, ...], int]]:
+    """The pieces that are left, largest first, each into the fullest begun or new sequence that takes it.
+
+    Sequences with the same content are one group with a number, and a length either fills up
+    a group or is used up, so there are a few groups for each length whatever the numbers are.
+    """
+    groups: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    rooms: list[int] = []
+
+    def put(chosen: tuple[int, ...], room: int, number: int) -> None:
+        if room not in groups:
+            groups[room] = []
+            insort(rooms, room)
+        groups[room].append((chosen, number))
+
+    for chosen, number in begun:
+        put(chosen, capacity - int(lengths[list(chosen)].sum()), number)
+    for i in range(len(lengths) - 1, -1, -1):
+        length, number = int(lengths[i]), int(left[i])
+        while number:
+            at = bisect_left(rooms, length)
+            if at == len(rooms):
+                each = min(number, capacity // length)
+                put((i,) * each, capacity - each * length, number // each)
+                number %= each
+                continue
+            room = rooms[at]
+            chosen, held = groups[room].pop()
+            if not groups[room]:
+                del groups[room], rooms[at]
+            filled = min(held, number)
+            if held > filled:
+                put(chosen, room, held - filled)
+            put((*chosen, i), room - length, filled)
+            number -= filled
+    return [g for found in groups.values() for g in found]
 
 
 def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY,
@@ -211,26 +240,13 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPA
         return [], 0.0
     amounts, bound = fractional(lengths, counts, capacity, rounds)
     left, made = counts.astype(np.int64).copy(), []
-
-    def take(chosen: tuple, most: float) -> int:
+    for chosen, amount in sorted(amounts.items()):
         kinds, times = np.unique(chosen, return_counts=True)
-        number = int(min(most, (left[kinds] // times).min()))
+        number = int(min(np.floor(amount), (left[kinds] // times).min()))
         if number > 0:
             left[kinds] -= number * times
             made.append((chosen, number))
-        return number
-
-    filled = {c: int(lengths[list(c)].sum()) for c in amounts}
-    for chosen in sorted(amounts, key=lambda c: (-filled[c], -amounts[c], c)):
-        take(chosen, np.floor(amounts[chosen]))
-    while (live := np.flatnonzero(left)).size:
-        # the rest, largest length first; prices are renewed when a third of it is packed
-        sack = Knapsack(lengths[live], lengths[live].astype(float), capacity)
-        enough = int(left.sum()) * 2 // 3
-        while int(left.sum()) > enough:
-            top = int(np.flatnonzero(left)[-1])
-            take(_best_fit(top, left.copy(), lengths, live, sack, capacity), np.inf)
-    return made, bound
+    return best_fit(lengths, left, capacity, made), bound
 
 
 @dataclass
