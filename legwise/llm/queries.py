@@ -180,3 +180,47 @@ SELECT b.doc_id, CASE WHEN b.text IS NULL THEN NULL ELSE coalesce(r.text, '') EN
   CAST(len(b.s) AS BIGINT) AS n_sentences, coalesce(r.n_removed, 0) AS n_removed
 FROM base b LEFT JOIN rest r USING (doc_id)
 """
+
+#: The exponent is found bit by bit; largest step whose entropy is high enough, raised to the repetition limit.
+SQL["op9_mixing"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS tokens FROM documents),
+s AS (SELECT source, count(*) AS docs, sum(tokens)::BIGINT AS tokens, sum(tokens) / (SELECT sum(tokens) FROM d) AS share
+      FROM d GROUP BY source),
+l AS (SELECT list(share::DOUBLE) AS p, ln(count(*)) * 0.9::DOUBLE AS goal, max(share) / min(share) AS ratio
+      FROM s WHERE share > 0),
+bits(i, low, below) AS (
+  SELECT 20, 0::BIGINT, -1::BIGINT
+  UNION ALL
+  SELECT i - 1,
+    low + CASE WHEN ln(list_sum(list_transform(p, lambda x: x ** ((low + step) / 1048576.0::DOUBLE))))
+        - ((low + step) / 1048576.0::DOUBLE)
+        * list_sum(list_transform(p, lambda x: x ** ((low + step) / 1048576.0::DOUBLE) * ln(x)))
+        / list_sum(list_transform(p, lambda x: x ** ((low + step) / 1048576.0::DOUBLE))) >= goal THEN step ELSE 0 END,
+    below + CASE WHEN ratio ** (1 - (below + step) / 1048576.0::DOUBLE) > 2 THEN step ELSE 0 END
+  FROM (SELECT *, (1 << (i - 1))::BIGINT AS step FROM bits, l WHERE i > 0)),
+e AS (SELECT greatest(low, below + 1) / 1048576.0::DOUBLE AS a FROM bits WHERE i = 0),
+w AS (SELECT s.*, CASE WHEN share > 0 THEN share::DOUBLE ** a END AS power FROM s, e),
+q AS (SELECT *, floor(power * (SELECT max(tokens / power) FROM w) + 1e-6 * tokens)::BIGINT AS quota,
+        ((docs + 4095) // 4096)::BIGINT AS blocks FROM w),
+r AS (SELECT *, quota // tokens AS epochs, quota - quota // tokens * tokens AS rest FROM q),
+x AS (
+  SELECT d.doc_id, d.source, d.tokens, epochs, rest,
+    ('0x' || substr(md5('mix:' || d.doc_id || ':block'), 1, 8))::BIGINT % blocks AS block
+  FROM d JOIN r ON d.source = r.source),
+y AS (SELECT *, md5(concat('mix:', source, ':', epochs, ':', block)) AS last_block, md5(concat('mix:', doc_id, ':', epochs)) AS last_doc FROM x),
+held AS (SELECT source, block, last_block, rest, sum(tokens) AS n FROM y GROUP BY ALL),
+upto AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY last_block, block) AS u FROM held),
+cut AS (SELECT source, min_by(last_block, u) AS end_block, min_by(block, u) AS block, min_by(rest - (u - n), u) AS room
+        FROM upto WHERE u > rest GROUP BY source),
+inside AS (
+  SELECT y.source, last_doc, room, sum(tokens) OVER (PARTITION BY y.source ORDER BY last_doc RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS u
+  FROM y JOIN cut USING (source, block)),
+ends AS (SELECT source, max(last_doc) FILTER (u <= room) AS end_doc FROM inside GROUP BY source),
+shown AS (
+  SELECT y.*, epochs + coalesce(rest > 0 AND (last_block < end_block OR last_block = end_block AND last_doc <= end_doc), false)::INT AS copies
+  FROM y LEFT JOIN cut ON y.source = cut.source LEFT JOIN ends ON y.source = ends.source)
+SELECT doc_id, source, tokens AS n_tokens, epoch::INT AS epoch, md5(concat('mix:', source, ':', epoch, ':', block)) AS block_order,
+  md5(concat('mix:', doc_id, ':', epoch)) AS doc_order
+FROM (SELECT *, unnest(generate_series(0, copies - 1)) AS epoch FROM shown)
+"""
