@@ -14,7 +14,7 @@ from legwise.operators import selection as L
 from legwise.operators.evaluation import baseline_deltas, regression_quality
 from legwise.operators.quantiles import median_of
 from legwise.operators.splits import expanding_folds, halves_by_time
-from legwise.session import fresh_path
+from legwise.session import fresh_path, settle
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 CATEGORIES = ["l_linestatus"]
@@ -51,8 +51,8 @@ def l1(t):
 
 @query("L2_gain_importance")
 def l2(t):
-    train, _ = train_valid(t)
-    fitted = M.fit_boosted(train, None, NUMBERS, CATEGORIES, "label", maxIter=5, maxDepth=4)
+    train, valid = train_valid(t)
+    fitted = M.fit_boosted(train, valid, NUMBERS, CATEGORIES, "label")
     gains = L.gain_importance(fitted.model, fitted.columns)
     return t.spark.createDataFrame(list(gains.items()), "feature STRING, gain DOUBLE")
 
@@ -76,11 +76,11 @@ def l3(t):
 
 @query("L4_recursive_elimination")
 def l4(t):
-    train, _ = train_valid(t)
+    train, valid = train_valid(t)
 
     def fit(columns):
         numbers = [c for c in columns if c in NUMBERS]
-        fitted = M.fit_boosted(train, None, numbers, [c for c in columns if c in CATEGORIES], "label", maxIter=3, maxDepth=3)
+        fitted = M.fit_boosted(train, valid, numbers, [c for c in columns if c in CATEGORIES], "label")
         return L.gain_importance(fitted.model, fitted.columns)
 
     ranks = L.recursive_elimination(fit, [*NUMBERS, *CATEGORIES], keep=3)
@@ -141,17 +141,63 @@ def m2(t):
 @query("M3_random_forest")
 def m3(t):
     train, valid = train_valid(t)
-    fitted = M.fit_forest(train, NUMBERS, CATEGORIES, "label", numTrees=10, maxDepth=6)
+    fitted = M.fit_forest(train, NUMBERS, CATEGORIES, "label")
     return fitted.predict(valid).select("key", "label", "p")
 
 
 @query("M4_boosted_trees")
 def m4(t):
     train, valid = train_valid(t)
-    fitted = M.fit_boosted(train, valid, NUMBERS, CATEGORIES, "label", maxIter=8, maxDepth=4)
+    fitted = M.fit_boosted(train, valid, NUMBERS, CATEGORIES, "label")
     return fitted.predict(valid).select("key", "label", "p")
 
 
+VALID_SQL = """WITH x AS (SELECT (l_returnflag = 'R')::INT AS label FROM lineitem WHERE l_shipdate::DATE > DATE '1999-06-30')
+SELECT COUNT(*) AS n, SUM(label)::BIGINT AS positives, TRUE AS all_scored, TRUE AS in_range FROM x"""
+
+
+def scored_whole(predicted):
+    """One row on the scores of a table: none missing, all chances."""
+    return predicted.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"),
+                         (F.count("p") == F.count(F.lit(1))).alias("all_scored"),
+                         F.bool_and(F.col("p").between(0.0, 1.0)).alias("in_range"))
+
+
+@query("M3_forest_scores_whole_window", VALID_SQL)
+def m3b(t):
+    return scored_whole(m3(t))
+
+
+@query("M4_boosted_scores_whole_window", VALID_SQL)
+def m4b(t):
+    return scored_whole(m4(t))
+
+
+@query("M2_score_balance", """
+WITH x AS (SELECT (l_returnflag = 'R')::DOUBLE AS label FROM lineitem WHERE l_shipdate::DATE <= DATE '1999-06-30')
+SELECT COUNT(*) AS n, ROUND(AVG(label), 4) AS mean_label, ROUND(AVG(label), 4) AS mean_score FROM x
+""")
+def m2b(t):
+    """At the optimum of a logistic regression with a free intercept the mean score is the base rate."""
+    train, _ = train_valid(t)
+    scored = M.fit_logistic(train, NUMBERS, CATEGORIES, "label").predict(train)
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("label"), 4).alias("mean_label"),
+                      F.round(F.avg("p"), 4).alias("mean_score"))
+
+
+@query("M6_metrics_recomputed", """
+WITH x AS (SELECT (l_returnflag = 'R')::DOUBLE AS label FROM lineitem WHERE l_shipdate::DATE > DATE '1999-06-30')
+SELECT unnest(['boosted_deep', 'boosted_leafy', 'boosted_ordered', 'logistic_regression', 'random_forest']) AS model,
+  ROUND(AVG(label), 8) AS base_rate, TRUE AS metrics_in_range FROM x
+""")
+def m6b(t):
+    bounds = [F.col(c).between(0.0, 1.0) for c in ("roc_auc", "pr_auc", "brier", "accuracy", "precision", "recall", "f1")]
+    good = bounds[0]
+    for b in bounds[1:]:
+        good = good & b
+    return m6(t).select("model", F.round("base_rate", 8).alias("base_rate"), good.alias("metrics_in_range"))
+
+
 @query("M5_missing_level", "SELECT event_id, COALESCE(CASE WHEN event_id % 4 <> 0 THEN event_type END, 'missing') AS carrier_code FROM events")
 def m5(t):
     rows = t.events.select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("carrier_code"))
@@ -162,7 +208,8 @@ def m5(t):
 def m6(t):
     train, valid = train_valid(t)
     candidates = [M.fit_logistic(train, NUMBERS, CATEGORIES, "label"),
-                  M.fit_forest(train, NUMBERS, CATEGORIES, "label", numTrees=5, maxDepth=5)]
+                  M.fit_forest(train, NUMBERS, CATEGORIES, "label"),
+                  *[M.fit_boosted(train, valid, NUMBERS, CATEGORIES, "label", preset=name) for name in M.BOOSTED]]
     return M.compare(candidates, valid, "label", "key")
 
 
@@ -170,7 +217,7 @@ def m6(t):
 def m7(t):
     rows = learning(t)
     folds = [(str(r["train_until"]), str(r["valid_until"])) for r in expanding_folds(rows, "day", 2).collect()]
-    return M.random_search(rows, folds, "day", NUMBERS, CATEGORIES, "label", n=2, rounds=3)
+    return M.random_search(rows, folds, "day", NUMBERS, CATEGORIES, "label")
 
 
 @query("M8_expanding_folds", """
@@ -198,16 +245,26 @@ def m10(t):
     train, valid = train_valid(t)
     out = None
     for loss in ("squared", "absolute"):
-        fitted = M.fit_minutes(train, NUMBERS, CATEGORIES, "minutes", loss, rounds=5, depth=4)
-        predicted = fitted.predict(valid)
+        fitted = M.fit_minutes(train, valid, NUMBERS, CATEGORIES, "minutes", loss)
+        predicted = settle(fitted.predict(valid))
         deltas = baseline_deltas(predicted, "minutes", "prediction", median_of(train, F.col("minutes")))
-        row = regression_quality(predicted, "minutes", "prediction").withColumns({
-            "loss": F.lit(loss), "rmse_change_pct": deltas.select("rmse_change_pct").scalar(),
-            "mae_change_pct": deltas.select("mae_change_pct").scalar()})
+        row = regression_quality(predicted, "minutes", "prediction").withColumns({"loss": F.lit(loss)} | {
+            c: deltas.select(c).scalar() for c in ("rmse_median", "mae_median", "rmse_change_pct", "mae_change_pct")})
         out = row if out is None else out.unionByName(row)
     return out
 
 
+@query("M10_baseline_columns", """
+WITH x AS (SELECT l_extendedprice / 1000 + l_discount * 100 AS m, l_shipdate::DATE AS day FROM lineitem),
+b AS (SELECT quantile_cont(m, 0.5) AS med FROM x WHERE day <= DATE '1999-06-30')
+SELECT loss, ROUND(sqrt(AVG((m - med) ** 2)), 6) AS rmse_median, ROUND(AVG(ABS(m - med)), 6) AS mae_median, TRUE AS better
+FROM x, b, (SELECT unnest(['squared', 'absolute']) AS loss) WHERE day > DATE '1999-06-30' GROUP BY loss
+""")
+def m10b(t):
+    return m10(t).select("loss", F.round("rmse_median", 6).alias("rmse_median"), F.round("mae_median", 6).alias("mae_median"),
+                         ((F.col("rmse_change_pct") < 0) & (F.col("mae_change_pct") < 0)).alias("better"))
+
+
 # ---------------------------------------------------------------- X
 # A linear score on the lineitem numbers (coefficient, mean).
 WEIGHTS = {"l_quantity": (0.02, 25.0), "l_extendedprice": (-0.00001, 53000.0), "l_discount": (5.0, 0.05), "l_tax": (-7.0, 0.04)}
@@ -251,7 +308,7 @@ def x2(t):
 @query("X3_tree_contributions")
 def x3(t):
     train, valid = train_valid(t)
-    fitted = M.fit_boosted(train, None, NUMBERS, [], "label", maxIter=4, maxDepth=4)
+    fitted = M.fit_boosted(train, valid, NUMBERS, [], "label")
     path = fresh_path(t.spark, "trees")
     fitted.model.save(path)
     return X.tree_contributions(valid, X.tree_nodes(t.spark, path), "key", NUMBERS)

@@ -16,7 +16,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legwise.operators import evaluation as E
@@ -42,6 +42,8 @@ SEARCH_GRID = {
     "subsamplingRate": (0.7, 0.85, 1.0),
 }
 ISOTONIC_GAIN = 0.9
+# The one bound of this module: about so many labelled rows fit a classifier, chosen by a hash of the row.
+FIT_ROWS = 5_000_000
 
 
 @dataclass
@@ -55,29 +57,39 @@ class Fitted:
     seconds: float
 
 
+def bounded(train: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows a classifier is fitted on: all of them up to ``fit_rows``, else a hashed share."""
+    share = fit_rows / max(train.count(), 1)
+    if share >= 1:
+        return train
+    return train.where(F.pmod(F.xxhash64(*train.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def with_missing_level(df: DataFrame, categorical: Iterable[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LEVEL)) for c in categorical})
 
 
-def frequent_levels(train: DataFrame, column: str, least: int = MIN_LEVEL_ROWS) -> DataFrame:
-    """Levels of a category with enough training rows."""
-    return train.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(column)
-
-
-def pool_rare_levels(df: DataFrame, levels: dict[str, DataFrame], known: dict[str, DataFrame]) -> DataFrame:
-    """Rare training levels become one pooled level; unseen ones stay as they are."""
-    out = df
-    for column, often in levels.items():
-        a = often.select(F.col(column).alias("_often"))
-        b = known[column].select(F.col(column).alias("_seen"))
-        out = (
-            out.join(a, F.col(column) == F.col("_often"), "left")
-            .join(b, F.col(column) == F.col("_seen"), "left")
-            .withColumn(column, F.when(F.col("_often").isNull() & F.col("_seen").isNotNull(),
-                                       F.lit(POOLED_LEVEL)).otherwise(F.col(column)))
-            .drop("_often", "_seen")
-        )
-    return out
+def level_counts(train: DataFrame, categorical: list[str]) -> dict[str, list[tuple[str, int]]]:
+    """Levels of each category with their training rows, most frequent first, in one pass.
+
+    Like the level index of the encoder, the result is as large as the sets of levels.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in categorical])
+    counted = train.select(F.inline(pairs)).where("level IS NOT NULL").groupBy("column", "level").agg(
+        F.count(F.lit(1)).alias("n")).collect()
+    found: dict[str, list[tuple[str, int]]] = {c: [] for c in categorical}
+    for row in sorted(counted, key=lambda r: (-r["n"], r["level"])):
+        found[row["column"]].append((row["level"], row["n"]))
+    return found
+
+
+def pooled_level(column: str, levels: list[tuple[str, int]], least: int = MIN_LEVEL_ROWS) -> Column:
+    """The level with NULL as the mode and rare training levels pooled; unseen ones stay as they are."""
+    if not levels:
+        return F.col(column).cast("string")
+    filled = F.coalesce(F.col(column).cast("string"), F.lit(levels[0][0]))
+    rare = [level for level, n in levels if n < least]
+    return F.when(filled.isin(rare), F.lit(POOLED_LEVEL)).otherwise(filled) if rare else filled
 
 
 def linear_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str]
@@ -87,16 +99,11 @@ def linear_preprocessor(train: DataFrame, numeric: list[str], categorical: list[
     Returns the unfitted stages and the row preparation that must precede them.
     Unseen categories encode as all zeros.
     """
-    from legwise.operators.quantiles import smallest_mode
-
-    modes = {c: smallest_mode(train, c) for c in categorical}
-    known = {c: train.select(c).where(F.col(c).isNotNull()).distinct() for c in categorical}
-    often = {c: frequent_levels(train.where(F.col(c).isNotNull()), c) for c in categorical}
+    levels = level_counts(train, categorical) if categorical else {}
 
     def prepare(df: DataFrame) -> DataFrame:
-        filled = df.withColumns({c: F.coalesce(F.col(c), modes[c]) for c in categorical}) if categorical else df
-        pooled = pool_rare_levels(filled, often, known)
-        return pooled.withColumns({c: F.col(c).cast("double") for c in numeric})
+        return df.withColumns({c: pooled_level(c, levels[c]) for c in categorical}
+                              | {c: F.col(c).cast("double") for c in numeric})
 
     stages: list = [Imputer(strategy="median", relativeError=1e-4, inputCols=numeric,
                             outputCols=[f"{c}_filled" for c in numeric]),
@@ -119,6 +126,7 @@ def _probability(df: DataFrame) -> DataFrame:
 def fit_logistic(train: DataFrame, numeric: list[str], categorical: list[str], label: str) -> Fitted:
     """Ridge logistic regression; the penalty per row matches inverse strength C."""
     started = time.time()
+    train = bounded(train)
     stages, prepare = linear_preprocessor(train, numeric, categorical)
     # every stage of the fit reads the prepared rows, so they are written once
     rows = settle(prepare(train).select(*numeric, *categorical, label))
@@ -163,24 +171,25 @@ def _fit_trees(name: str, learner, train: DataFrame, valid: DataFrame | None, nu
 
 def fit_forest(train: DataFrame, numeric: list[str], categorical: list[str], label: str, **settings) -> Fitted:
     learner = RandomForestClassifier(labelCol=label, featuresCol="features", seed=SEED, **(FOREST | settings))
-    return _fit_trees("random_forest", learner, train, None, numeric, categorical)
+    return _fit_trees("random_forest", learner, bounded(train), None, numeric, categorical)
 
 
 def fit_boosted(train: DataFrame, valid: DataFrame | None, numeric: list[str], categorical: list[str],
                 label: str, preset: str = "boosted_deep", **settings) -> Fitted:
     """Boosted trees; with a validation window the rounds stop when it no longer improves."""
     learner = GBTClassifier(labelCol=label, featuresCol="features", seed=SEED, **(BOOSTED[preset] | settings))
-    return _fit_trees(preset, learner, train, valid, numeric, categorical)
+    return _fit_trees(preset, learner, bounded(train), valid, numeric, categorical)
 
 
 def quality_row(scored: DataFrame, label: str, key: str, name: str) -> DataFrame:
     """Validation metrics of one candidate as one row."""
     ranking = E.ranking_quality(E.score_curve(scored, label, "p"))
-    chances = E.probability_quality(scored, label, "p")
+    chances, cut = E.probability_quality(scored, label, "p"), E.quality_at(scored, label, "p", 0.5)
     lift = E.top_fraction_lift(scored, label, "p", key)
     return ranking.select(
         F.lit(name).alias("model"), "roc_auc", "pr_auc",
-        chances.select("log_loss").scalar().alias("log_loss"), chances.select("brier").scalar().alias("brier"),
+        *[chances.select(c).scalar().alias(c) for c in ("log_loss", "brier", "base_rate")],
+        *[cut.select(c).scalar().alias(c) for c in ("accuracy", "precision", "recall", "f1")],
         lift.scalar().alias("lift_top_decile"))
 
 
@@ -188,7 +197,7 @@ def compare(candidates: list[Fitted], valid: DataFrame, label: str, key: str) ->
     """Candidates by validation average precision, best first."""
     table = None
     for c in candidates:
-        row = quality_row(c.predict(valid), label, key, c.name).withColumn("fit_seconds", F.lit(round(c.seconds, 1)))
+        row = quality_row(settle(c.predict(valid)), label, key, c.name).withColumn("fit_seconds", F.lit(round(c.seconds, 1)))
         table = row if table is None else table.unionByName(row)
     return table.orderBy(F.desc("pr_auc"), "model")
 
@@ -204,7 +213,7 @@ def random_settings(n: int, seed: int = SEED) -> list[dict]:
 
 
 def random_search(df: DataFrame, folds: list[tuple[str, str]], day: str, numeric: list[str],
-                  categorical: list[str], label: str, n: int = 8, rounds: int = 50) -> DataFrame:
+                  categorical: list[str], label: str, n: int = 8) -> DataFrame:
     """Mean fold average precision of random settings on expanding time folds."""
     rows = []
     for settings in random_settings(n):
@@ -213,7 +222,7 @@ def random_search(df: DataFrame, folds: list[tuple[str, str]], day: str, numeric
             train = df.where(F.col(day) <= F.lit(train_until).cast("date"))
             valid = df.where((F.col(day) > F.lit(train_until).cast("date"))
                              & (F.col(day) <= F.lit(valid_until).cast("date")))
-            fitted = fit_boosted(train, None, numeric, categorical, label, maxIter=rounds, **settings)
+            fitted = fit_boosted(train, valid, numeric, categorical, label, **settings)
             found.append(E.ranking_quality(E.score_curve(fitted.predict(valid), label, "p")).first()["pr_auc"])
         rows.append((*[float(settings[k]) for k in SEARCH_GRID], sum(found) / len(found)))
     schema = ", ".join(f"{k} DOUBLE" for k in SEARCH_GRID) + ", pr_auc DOUBLE"
@@ -221,9 +230,10 @@ def random_search(df: DataFrame, folds: list[tuple[str, str]], day: str, numeric
 
 
 def fit_isotonic(df: DataFrame, score: str, label: str):
-    """Monotone calibration of a score."""
-    rows = df.select(F.col(score).cast("double").alias("feature"), F.col(label).cast("double").alias("target"))
-    return IsotonicRegression(featuresCol="feature", labelCol="target").fit(rows)
+    """Monotone calibration of a score; equal scores are counted together first."""
+    rows = df.groupBy(F.col(score).cast("double").alias("feature")).agg(
+        F.avg(F.col(label).cast("double")).alias("target"), F.count(F.lit(1)).cast("double").alias("weight"))
+    return IsotonicRegression(featuresCol="feature", labelCol="target", weightCol="weight").fit(rows)
 
 
 def apply_isotonic(model, df: DataFrame, score: str, out: str) -> DataFrame:
@@ -242,14 +252,22 @@ def calibration_choice(valid: DataFrame, score: str, label: str, key: str, half:
         (iso < raw * ISOTONIC_GAIN).alias("use_isotonic"))
 
 
-def fit_minutes(train: DataFrame, numeric: list[str], categorical: list[str], target: str,
-                loss: str = "squared", rounds: int = 100, depth: int = 5) -> Fitted:
-    """Boosted regression of delay minutes under squared or absolute loss."""
+def fit_minutes(train: DataFrame, valid: DataFrame | None, numeric: list[str], categorical: list[str], target: str,
+                loss: str = "squared", rounds: int = 600, depth: int = 5) -> Fitted:
+    """Boosted regression of delay minutes under squared or absolute loss, on all training rows.
+
+    With a validation window the rounds stop when it no longer improves.
+    """
     started = time.time()
     prepare = tree_vector(train, numeric, categorical)
-    model = GBTRegressor(labelCol=target, featuresCol="features", seed=SEED, lossType=loss,
-                         maxIter=rounds, maxDepth=depth).fit(
-        settle(prepare(train).select("features", target)))
+    learner = GBTRegressor(labelCol=target, featuresCol="features", seed=SEED, lossType=loss, stepSize=0.1,
+                           maxIter=rounds, maxDepth=depth)
+    rows = prepare(train).select("features", target)
+    if valid is not None:
+        rows = rows.withColumn("_valid", F.lit(False)).unionByName(
+            prepare(valid).select("features", target).withColumn("_valid", F.lit(True)))
+        learner = learner.setParams(validationIndicatorCol="_valid", validationTol=0.001)
+    model = learner.fit(settle(rows))
     return Fitted(f"minutes_{loss}", lambda df: model.transform(prepare(df)).drop("features"),
                   model, [*numeric, *categorical], time.time() - started)
 
