@@ -6,7 +6,7 @@ of all pairs of active buckets, so that two terms together can mean more than th
 sum of both. The machine is fitted on at most about ``SAMPLE_ROWS`` labelled rows,
 chosen by a hash of their id; texts with the same terms count once there. It keeps the
 ``FEATURES`` buckets whose share differs most surely between the two labels, which
-bounds what is broadcast.
+bounds what is broadcast and what of the sample reaches the driver.
 
 Defined cases: a null or blank text gets the score of the bias alone; a null label is no
 label; a doc_id with several labels is toxic if one says so; without labelled rows of both
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legwise.llm.text import slices, table_batch, utf8
+from legwise.session import settle
 
 TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
 BUCKETS = 1 << 20
@@ -70,37 +71,40 @@ def _logistic(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[tuple[int, list[int]]], seed: int = 7) -> Machine | None:
-    """A machine from (label, buckets) rows; None unless both labels occur."""
-    unique = {}
-    for label, active in rows:
-        unique[tuple(sorted(active))] = max(label, unique.get(tuple(sorted(active)), 0))
-    sets = [np.array(a, np.int64) for a in unique]
-    labels = np.array(list(unique.values()), np.float64)
+def kept_buckets(sets: DataFrame) -> list[int]:
+    """The buckets whose share of texts differs most surely between the labels, at most ``FEATURES``.
+
+    ``sets`` has a label and the active buckets of each text; counts are combined before the shuffle.
+    """
+    totals = sets.agg(F.sum("label").alias("yes"), F.sum(1 - F.col("label")).alias("no")).first()
+    yes, no = totals["yes"] or 0, totals["no"] or 0
+    if not yes or not no:
+        return []
+    counts = sets.select("label", F.explode("active").alias("bucket")).groupBy("bucket").agg(
+        F.sum("label").alias("with_yes"), F.count("*").alias("with_any"))
+    a, b = F.col("with_yes") / yes, (F.col("with_any") - F.col("with_yes")) / no
+    pooled = (F.col("with_any") + 1) / (yes + no + 2)
+    sure = F.abs(a - b) / F.sqrt(pooled * (1 - pooled) * (1 / yes + 1 / no))
+    best = counts.where("with_any >= 3").withColumn("sure", sure).where(F.col("sure") >= SURE)
+    return sorted(r["bucket"] for r in best.orderBy(F.desc("sure"), "bucket").limit(FEATURES).collect())
+
+
+def fit(rows: list[tuple[int, list[int]]], kept: list[int], seed: int = 7) -> Machine | None:
+    """A machine from (label, kept buckets of a text) rows; None unless both labels occur."""
+    place = {b: i for i, b in enumerate(kept)}
+    labels = np.array([label for label, _ in rows], np.float64)
     yes, no = labels.sum(), (1 - labels).sum()
     if not yes or not no:
         return None
-    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    buckets, index = np.unique(every, return_inverse=True)
-    with_yes = np.bincount(index, labels[owner], len(buckets))
-    with_any = np.bincount(index, minlength=len(buckets)).astype(float)
-    a, b, pooled = with_yes / yes, (with_any - with_yes) / no, (with_any + 1) / (yes + no + 2)
-    sure = np.abs(a - b) / np.sqrt(pooled * (1 - pooled) * (1 / yes + 1 / no))
-    kept = np.argsort(-sure, kind="stable")[:FEATURES]
-    kept = np.sort(kept[(sure[kept] >= SURE) & (with_any[kept] >= 3)])
-    row_of = np.full(len(buckets), -1)
-    row_of[kept] = np.arange(len(kept))
+    active = [np.array([place[b] for b in found], np.int64) for _, found in rows]
     rng = np.random.default_rng(seed)
     size = len(kept)
-    machine = Machine({int(buckets[k]): i for i, k in enumerate(kept)}, float(np.log(yes / no)),
-                      np.zeros(size), rng.normal(0, 0.01, (size, FACTORS)))
+    machine = Machine(place, float(np.log(yes / no)), np.zeros(size), rng.normal(0, 0.01, (size, FACTORS)))
     if not size:
         return machine
-    ends = np.cumsum([len(s) for s in sets])
-    active = [r[r >= 0] for r in np.split(row_of[index], ends[:-1])]
     seen_w, seen_v, seen_b = np.full(size, 1e-8), np.full((size, FACTORS), 1e-8), 1e-8
     for _ in range(EPOCHS):
-        order = rng.permutation(len(sets))
+        order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             chosen = order[at:at + BATCH]
             flat = np.concatenate([active[i] for i in chosen])
@@ -138,8 +142,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
             yield table_batch(schema, label=batch.column(0),
                               active=[sorted({bucket(t) for t in terms(x)}) for x in utf8(batch.column(1))])
 
-    rows = picked.mapInArrow(run, "label int, active array<bigint>").collect()
-    return fit(sorted((r.label, list(r.active)) for r in rows))
+    told = picked.mapInArrow(run, "label int, active array<bigint>")
+    sets = settle(told.groupBy("active").agg(F.max("label").alias("label")))
+    kept = kept_buckets(sets)
+    found = F.array_intersect("active", F.lit(kept).cast("array<bigint>"))
+    rows = sets.select("label", F.array_sort(found).alias("found")).orderBy("found", "label").collect()
+    return fit([(r["label"], r["found"]) for r in rows], kept)
 
 
 def predict(docs: DataFrame, machine: Machine | None) -> DataFrame:
