@@ -33,6 +33,21 @@ def s1(t):
         "_corrupt", "_ingest")
 
 
+@query("S1_csv_missing_and_unreadable", """
+SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (o_orderkey % 4 = 0) AS n_missing, COUNT(*) FILTER (o_orderkey % 7 = 3 AND o_orderkey % 4 <> 0) AS n_unreadable,
+ ROUND(SUM(CASE WHEN o_orderkey % 4 <> 0 AND o_orderkey % 7 <> 3 THEN o_totalprice END), 2) AS total FROM orders
+""")
+def s1b(t):
+    """Missing texts in a number column are NULL; other texts there go to the quarantine, and no row is lost."""
+    path, price = fresh_path(t.spark, "orders-csv"), F.col("o_totalprice").cast("string")
+    told = F.when(F.col("o_orderkey") % 4 == 0, "N/A").when(F.col("o_orderkey") % 7 == 3, "twelve").otherwise(price)
+    t.orders.select("o_orderkey", told.alias("o_totalprice")).write.option("header", True).csv(path)
+    rows = readers.read_csv(t.spark, path, "o_orderkey BIGINT, o_totalprice DOUBLE")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("o_totalprice").isNull() & F.col("_corrupt").isNull()).alias("n_missing"),
+        F.count("_corrupt").alias("n_unreadable"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("S2_parquet_scan", "SELECT * FROM supplier")
 def s2(t):
     return readers.read_parquet(t.spark, t.path("supplier"))
