@@ -125,13 +125,14 @@ UNION ALL SELECT 'demand', COUNT(DISTINCT (origin, isodow(dep_local), hour(dep_l
 UNION ALL SELECT 'dest_arrivals', COUNT(DISTINCT (destination, isodow(dep_local))), MAX(dep_local::DATE)::VARCHAR FROM f
 UNION ALL SELECT 'weather_normals', COUNT(DISTINCT (origin, month(dep_local))), MAX(dep_local::DATE)::VARCHAR FROM f
 UNION ALL SELECT 'defaults', 1, MAX(dep_local::DATE)::VARCHAR FROM f
+UNION ALL SELECT 'airports', (SELECT COUNT(*) FROM region), MAX(dep_local::DATE)::VARCHAR FROM f
+UNION ALL SELECT 'airlines', (SELECT COUNT(DISTINCT event_type) FROM events), MAX(dep_local::DATE)::VARCHAR FROM f
+UNION ALL SELECT 'aircraft', (SELECT COUNT(DISTINCT user_id) FROM events WHERE user_id % 4 <> 0), MAX(dep_local::DATE)::VARCHAR FROM f
 """)
 def v1(t):
     store, _ = frozen_store(t)
     out = None
     for name, section in store.items():
-        if name in ("airports", "airlines", "aircraft"):
-            continue
         row = section.agg(F.lit(name).alias("section"), F.count(F.lit(1)).alias("n"), F.max("as_of").cast("string").alias("as_of"))
         out = row if out is None else out.unionByName(row)
     return out
@@ -175,11 +176,15 @@ def served(t):
     return settle(S.featurize(good, store, clean_tables(t)["holiday_calendar"], STORED))
 
 
+# Served features that come from the request alone; the others also depend on the day the store was frozen.
+SHARED = ["dep_time_decimal", "hour_sin", "hour_cos", "doy_sin", "doy_cos", "holiday_proximity", "lat_delta", "bearing_sin",
+          "bearing_cos", "upstream_delay_min", "prev_leg_known", "dep_wx_severity", "dep_gust_factor", "dep_minute", "day_of_week",
+          "dep_wx_temperature_c", "dep_wx_wind_speed_kt", "dep_wx_visibility_km", "dep_wx_cloud_ceiling_ft"]
+
+
 def parity_rows(t):
-    """Served and batch values of the shared features, for the last day's flights."""
-    store, features = frozen_store(t)
-    last = features.agg(F.max("date")).scalar()
-    rows = features.where(F.col("date") == last)
+    """Served and batch values of the shared features, for the flights of all days."""
+    store, rows = frozen_store(t)
     none = lambda kind: F.lit(None).cast(kind)
     at_origin = F.struct(*[F.col(f"dep_wx_{m}").alias(m) if f"dep_wx_{m}" in rows.columns else none("double").alias(m) for m in (
         "temperature_c", "dewpoint_c", "wind_speed_kt", "wind_gust_kt", "precip_mm", "snow_mm", "visibility_km", "cloud_ceiling_ft")],
@@ -191,18 +196,45 @@ def parity_rows(t):
         "prev_leg_arr_delay_min", "prev_leg_dep_delay_min", "aircraft_cum_delay_today", at_origin.alias("origin_weather"),
         none(dict(rows.select(at_origin.alias("w")).dtypes)["w"]).alias("dest_weather"))
     online = S.featurize(requests, store, clean_tables(t)["holiday_calendar"], STORED)
-    shared = ["dep_time_decimal", "hour_sin", "hour_cos", "doy_sin", "doy_cos", "holiday_proximity", "lat_delta", "bearing_sin", "bearing_cos",
-              "upstream_delay_min", "prev_leg_known", "dep_wx_severity", "dep_gust_factor"]
-    batch = rows.select(F.col("flight_id").alias("request_id"), *[F.col(c).cast("double").alias(f"batch_{c}") for c in shared])
-    return online.join(batch, "request_id"), shared
+    batch = rows.select(F.col("flight_id").alias("request_id"), *[F.col(c).cast("double").alias(f"batch_{c}") for c in SHARED])
+    return online.join(batch, "request_id"), SHARED
+
+
+def parity_counts(joined, shared):
+    """Per feature: rows; rows whose served value is missing or differs; rows where only the service has a value.
+
+    Where a flight has no weather observation the service falls back to the station's normals and
+    the batch keeps NULL; that is the one known difference, and it is counted apart.
+    """
+    def both(c):
+        return F.col(c).cast("double"), F.col(f"batch_{c}")
+
+    def differs(c):
+        served, batch = both(c)
+        return batch.isNotNull() & F.coalesce(F.abs(served - batch) > 1e-9, F.lit(True))
 
+    def filled(c):
+        served, batch = both(c)
+        return batch.isNull() & served.isNotNull()
 
-@query("V3_offline_online_parity")
+    counted = joined.agg(F.count(F.lit(1)).alias("n"), *[
+        F.count_if(rule(c)).alias(f"{name}_{c}") for c in shared for name, rule in (("m", differs), ("f", filled))])
+    return counted.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("feature"), F.col("n"), F.col(f"m_{c}").alias("n_mismatched"), F.col(f"f_{c}").alias("n_filled"))
+        for c in shared])))
+
+
+@query("V3_offline_online_parity", f"""
+WITH {RAW}, f AS (SELECT * FROM timely WHERE verdict IS NULL AND cancelled = 0)
+SELECT unnest({SHARED}) AS feature, COUNT(*) AS n, 0::BIGINT AS n_mismatched FROM f
+""")
 def v3(t):
-    joined, shared = parity_rows(t)
-    gap = lambda c: F.max(F.abs(F.coalesce(F.col(c).cast("double") - F.col(f"batch_{c}"), F.lit(0.0))))
-    return joined.agg(*[gap(c).alias(f"m_{c}") for c in shared]).select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.round(f"m_{c}", 9).alias("largest_gap")) for c in shared])))
+    return parity_counts(*parity_rows(t)).drop("n_filled")
+
+
+@query("V3_filled_by_normals")
+def v3b(t):
+    return parity_counts(*parity_rows(t)).select("feature", "n_filled")
 
 
 def probability(df):

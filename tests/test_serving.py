@@ -45,8 +45,16 @@ def test_split_is_chronological(spark):
 
 
 def test_served_features_equal_batch_features(tables):
-    gaps = {r["feature"]: r["largest_gap"] for r in C.v3(tables).collect()}
-    assert len(gaps) == 13 and all(g == pytest.approx(0, abs=1e-6) for g in gaps.values()), gaps
+    counts = C.parity_counts(*C.parity_rows(tables)).collect()
+    assert len(counts) == len(C.SHARED) and not [r for r in counts if r["n_mismatched"]]
+    # only weather has a fallback that the batch does not have
+    assert all("wx" in r["feature"] or r["feature"] == "dep_gust_factor" for r in counts if r["n_filled"])
+
+
+def test_a_missing_served_value_is_a_mismatch(spark):
+    joined = spark.createDataFrame([(1.0, 1.0), (None, 2.0), (3.0, None), (None, None), (4.0, 5.0)], "a DOUBLE, batch_a DOUBLE")
+    row = C.parity_counts(joined, ["a"]).first()
+    assert (row["n"], row["n_mismatched"], row["n_filled"]) == (5, 2, 1)
 
 
 def request(**changes):
