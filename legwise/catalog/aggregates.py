@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from legwise.catalog.frames import FLIGHTS, HOURLY, OBSERVED, OPERATED, PLACED, SCORED
+from legwise.catalog.frames import FILLED, FLIGHTS, HOURLY, OBSERVED, OPERATED, PLACED, SCORED
 from legwise.catalog.registry import query
 from legwise.catalog.windows import LINKED, linked
 from legwise.functions import clock, schedule
@@ -362,21 +362,55 @@ def a29(t):
 
 @query("A30_weather_view", f"""
 WITH {OBSERVED}, b AS (SELECT *, CASE WHEN v > -0.01 AND v <= 1.6 THEN 'very_poor' WHEN v > 1.6 AND v <= 5 THEN 'poor'
-  WHEN v > 5 AND v <= 10 THEN 'moderate' WHEN v > 10 AND v <= 100 THEN 'good' END AS level FROM (SELECT *, COALESCE(vis, 16) AS v FROM observed)),
+  WHEN v > 5 AND v <= 10 THEN 'moderate' WHEN v > 10 AND v <= 100 THEN 'good' END AS level,
+  CASE WHEN p > -0.01 AND p <= 0.1 THEN 'none' WHEN p > 0.1 AND p <= 2.5 THEN 'light' WHEN p > 2.5 AND p <= 7.6 THEN 'moderate' WHEN p > 7.6 AND p <= 1000 THEN 'heavy' END AS rain,
+  CASE WHEN g > -0.01 AND g <= 12 THEN 'calm' WHEN g > 12 AND g <= 22 THEN 'breezy' WHEN g > 22 AND g <= 34 THEN 'strong' WHEN g > 34 AND g <= 1000 THEN 'gale' END AS gusts
+  FROM (SELECT *, COALESCE(vis, 16) AS v, COALESCE(precip, 0) AS p, COALESCE(gust, wind) AS g FROM observed)),
 base AS (SELECT AVG(late) AS r FROM observed)
 SELECT 'condition' AS view, condition AS bucket, ROUND(AVG(late), 6) AS rate, ROUND(AVG(late) / (SELECT r FROM base), 6) AS vs_base FROM b GROUP BY 2
 UNION ALL SELECT 'visibility', level, ROUND(AVG(late), 6), ROUND(AVG(late) / (SELECT r FROM base), 6) FROM b GROUP BY 2
+UNION ALL SELECT 'rain', rain, ROUND(AVG(late), 6), ROUND(AVG(late) / (SELECT r FROM base), 6) FROM b GROUP BY 2
+UNION ALL SELECT 'wind', gusts, ROUND(AVG(late), 6), ROUND(AVG(late) / (SELECT r FROM base), 6) FROM b GROUP BY 2
 """)
 def a30(t):
     fields = wx.weather_fields("dep_wx_", "dep")
     views = F.array(
         F.struct(F.lit("condition").alias("view"), F.col("dep_wx_condition").alias("bucket")),
-        F.struct(F.lit("visibility").alias("view"), fields["dep_visibility_level"].alias("bucket")))
+        F.struct(F.lit("visibility").alias("view"), fields["dep_visibility_level"].alias("bucket")),
+        F.struct(F.lit("rain").alias("view"), fields["dep_rain_intensity"].alias("bucket")),
+        F.struct(F.lit("wind").alias("view"), fields["dep_wind_category"].alias("bucket")))
     base = t.observed.agg(F.avg("late")).scalar()
     return A.rate_by(t.observed.select("late", F.inline(views)), ["view", "bucket"], "late").select(
         "view", "bucket", *r6("rate"), F.round(F.col("rate") / base, 6).alias("vs_base"))
 
 
+@query("A30_storm_and_adverse", f"""
+WITH {FILLED} SELECT ROUND(AVG(late) FILTER (storm = 1) / AVG(late) FILTER (storm = 0), 6) AS storm_multiplier,
+  ROUND(COUNT(*) FILTER (sev >= 0.3::DOUBLE)::DOUBLE / COUNT(*), 6) AS adverse_share FROM severe
+""")
+def a30b(t):
+    fields = wx.weather_fields("dep_wx_", "dep")
+    rows = t.observed.select("late", fields["dep_is_storm"].alias("storm"), fields["dep_wx_severity"].alias("severity"))
+    adverse = rows.agg((F.count_if(F.col("severity") >= wx.ADVERSE_SEVERITY) / F.count(F.lit(1))).alias("adverse_share"))
+    return A.contrast(rows, F.col("storm") == 1, "late").select(
+        F.round("multiplier", 6).alias("storm_multiplier"), F.round(adverse.scalar(), 6).alias("adverse_share"))
+
+
+@query("A9_rate_by_severity_band", f"""
+WITH {FILLED} SELECT CASE WHEN sev > -0.01 AND sev <= 0.05 THEN 'none' WHEN sev > 0.05 AND sev <= 0.3 THEN 'trace' WHEN sev > 0.3 AND sev <= 0.7 THEN 'low'
+  WHEN sev > 0.7 AND sev <= 1.2 THEN 'moderate' WHEN sev > 1.2 AND sev <= 2 THEN 'high' WHEN sev > 2 AND sev <= 10 THEN 'severe' END AS band,
+  ROUND(AVG(late), 6) AS rate, COUNT(*) AS n FROM severe GROUP BY 1
+""")
+def a9b(t):
+    level = band(wx.weather_fields("dep_wx_", "dep")["dep_wx_severity"], wx.SEVERITY_EDGES, wx.SEVERITY_LABELS)
+    return A.rate_by(t.observed, [level.alias("band")], "late").select("band", *r6("rate"), "n")
+
+
+@query("A9_rate_by_condition", f"WITH {OBSERVED} SELECT condition AS band, ROUND(AVG(late), 6) AS rate, COUNT(*) AS n FROM observed GROUP BY 1")
+def a9c(t):
+    return A.rate_by(t.observed, [F.col("dep_wx_condition").alias("band")], "late").select("band", *r6("rate"), "n")
+
+
 # ---------------------------------------------------------------- O
 @query("O1_total_order", f"WITH {FLIGHTS} SELECT flight_id, ROW_NUMBER() OVER (ORDER BY dep_ts, flight_id) AS place FROM flights")
 def o1(t):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from legwise.catalog.frames import FLIGHTS, LEGS, OBSERVED, PLACED, SCORED, STATIONS
+from legwise.catalog.frames import FILLED, FLIGHTS, LEGS, OBSERVED, PLACED, SCORED, STATIONS
 from legwise.catalog.joins import HOLIDAY_JOIN, with_holidays
 from legwise.catalog.registry import query
 from legwise.catalog.tables import order_calendar
@@ -191,13 +191,6 @@ def c20(t):
         B.band(v, S.UPSTREAM_EDGES, S.UPSTREAM_LABELS).alias("upstream"))
 
 
-FILLED = OBSERVED + """, filled AS (SELECT *, COALESCE(precip, 0) AS p, COALESCE(gust, wind) AS g, COALESCE(wind, 0) AS w, COALESCE(vis, 16) AS v FROM observed),
-stormy AS (SELECT *, (condition = 'Thunderstorm' OR COALESCE(g > 35 AND p > 3, FALSE))::INT AS storm FROM filled),
-severe AS (SELECT *, 0.85::DOUBLE * LEAST(GREATEST(p / 6, 0), 1.7::DOUBLE) + 1.25::DOUBLE * (CASE WHEN g IS NOT NULL THEN LEAST(GREATEST((g - 24) / 26, 0), 1.6::DOUBLE) END)
-  + 1.05::DOUBLE * LEAST(GREATEST((5 - v) / 5, 0), 1) + 1.55::DOUBLE * LEAST(GREATEST(snow / 18, 0), 1.7::DOUBLE) + 1.15::DOUBLE * storm + 0.35::DOUBLE * (ceiling < 800)::INT AS sev FROM stormy)
-"""
-
-
 @query("C21_weather_flags", f"""
 WITH {FILLED} SELECT id, storm AS dep_is_storm, (snow > 0.5)::INT AS dep_is_snow, (temp < 0)::INT AS dep_is_freezing, (ceiling < 3000 OR v < 8)::INT AS dep_ifr,
  (ceiling < 500 OR v < 1.6)::INT AS dep_lifr, (temp - dew < 2 AND v < 5)::INT AS dep_fog_risk FROM stormy
@@ -220,14 +213,14 @@ def c23(t):
 
 
 @query("C24_route_severity", f"""
-WITH {FILLED} SELECT a.id, ROUND(a.sev + 0.5::DOUBLE * b.sev, 6) AS route_wx_severity, ((a.ceiling < 3000 OR a.v < 8) AND (b.ceiling < 3000 OR b.v < 8))::INT AS both_ends_bad_wx
-FROM severe a JOIN severe b ON b.id = a.id + 1
+WITH {FILLED} SELECT a.id, ROUND(a.sev + 0.5::DOUBLE * b.sev, 6) AS route_wx_severity, COALESCE((a.ceiling < 3000 OR a.v < 8) AND (b.ceiling < 3000 OR b.v < 8), FALSE)::INT AS both_ends_bad_wx
+FROM severe a LEFT JOIN severe b ON b.id = a.id + 1
 """)
 def c24(t):
     fields = WX.weather_fields("dep_wx_", "dep")
     dep = t.observed.select("id", fields["dep_wx_severity"].alias("s1"), fields["dep_ifr"].alias("i1"))
     arr = t.observed.select((F.col("id") - 1).alias("id"), fields["dep_wx_severity"].alias("s2"), fields["dep_ifr"].alias("i2"))
-    return dep.join(arr, "id").select(
+    return dep.join(arr, "id", "left").select(
         "id", F.round(WX.route_severity(F.col("s1"), F.col("s2")), 6).alias("route_wx_severity"),
         B.flag((F.col("i1") == 1) & (F.col("i2") == 1)).cast("int").alias("both_ends_bad_wx"))
 
@@ -270,14 +263,14 @@ def c27(t):
     return t.events.select("event_id", *ints(fields, ("is_first_leg_of_day", "is_old_aircraft", "is_regional_jet")))
 
 
-BEARING_SQL = """fmod(degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))) + 360, 360)"""
+BEARING_SQL = """CASE WHEN lat1 = lat2 AND lon1 = lon2 THEN 0 ELSE fmod(degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))) + 360, 360) END"""
 KM_SQL = """2 * 6371 * asin(sqrt(LEAST(1, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))))"""
 
 
-@query("C28_initial_bearing", f"WITH {PLACED} SELECT l_orderkey, l_linenumber, l_partkey, ROUND({BEARING_SQL}, 4) AS route_bearing_deg, ROUND(sin(radians({BEARING_SQL})), 6) AS bearing_sin, ROUND(cos(radians({BEARING_SQL})), 6) AS bearing_cos FROM placed WHERE origin <> destination")
+@query("C28_initial_bearing", f"WITH {PLACED} SELECT l_orderkey, l_linenumber, l_partkey, ROUND({BEARING_SQL}, 4) AS route_bearing_deg, ROUND(sin(radians({BEARING_SQL})), 6) AS bearing_sin, ROUND(cos(radians({BEARING_SQL})), 6) AS bearing_cos FROM placed")
 def c28(t):
     fields = G.geo_fields()
-    return t.placed_legs.where(F.col("origin") != F.col("destination")).select(
+    return t.placed_legs.select(
         "l_orderkey", "l_linenumber", "l_partkey", F.round(fields["route_bearing_deg"], 4).alias("route_bearing_deg"),
         *r6(fields, ("bearing_sin", "bearing_cos")))
 
@@ -295,14 +288,14 @@ def c30(t):
 
 
 @query("C31_route_geography", f"""
-WITH {PLACED}, b AS (SELECT *, {BEARING_SQL} AS brg FROM placed WHERE origin <> destination)
+WITH {PLACED}, b AS (SELECT *, {BEARING_SQL} AS brg FROM placed)
 SELECT l_orderkey, l_linenumber, l_partkey, (brg > 45 AND brg < 135)::INT AS is_eastbound, (brg > 225 AND brg < 315)::INT AS is_westbound, ROUND(lat2 - lat1, 4) AS lat_delta, ROUND(lon2 - lon1, 4) AS lon_delta,
  (region1 = region2)::INT AS same_region, (hub1 * hub2)::INT AS hub_to_hub, CASE WHEN hub1 = 1 THEN 'hub' ELSE 'spoke' END || '_' || CASE WHEN hub2 = 1 THEN 'hub' ELSE 'spoke' END AS hub_pair_type,
  (elev2 - elev1)::INT AS elevation_gain_ft, (elev1 > 4000)::INT AS high_altitude_origin FROM b
 """)
 def c31(t):
     fields = G.geo_fields()
-    return t.placed_legs.where(F.col("origin") != F.col("destination")).select(
+    return t.placed_legs.select(
         "l_orderkey", "l_linenumber", "l_partkey", *ints(fields, (
             "is_eastbound", "is_westbound", "same_region", "hub_to_hub", "elevation_gain_ft", "high_altitude_origin")),
         F.round(fields["lat_delta"], 4).alias("lat_delta"), F.round(fields["lon_delta"], 4).alias("lon_delta"),

@@ -62,16 +62,13 @@ def raw_tables(t):
             "weather_hourly": raw_weather(t), "holiday_calendar": holidays}
 
 
-_FROZEN: dict[tuple, object] = {}
-
-
 def once(build):
-    """Run a stage once per session and folder: its result is a written table."""
+    """Run a stage once per call of a query: its written result stays with the call's tables."""
     def run(t):
-        key = (build.__name__, t.spark.sparkContext.applicationId, t.folder)
-        if key not in _FROZEN:
-            _FROZEN[key] = build(t)
-        return _FROZEN[key]
+        done = t.__dict__.setdefault("stages", {})
+        if build.__name__ not in done:
+            done[build.__name__] = build(t)
+        return done[build.__name__]
     return run
 
 

@@ -83,6 +83,21 @@ def s6(t):
     return t.events.select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
 
 
+@query("S6_nested_requests", """
+SELECT event_id::VARCHAR AS request_id, CASE WHEN event_id % 2 = 0 THEN (props::JSON->>'k')::INT / 5.0::DOUBLE END AS visibility_km, event_id % 7 = 0 AS has_dest_weather FROM events
+""")
+def s6b(t):
+    """Requests with nested weather blocks, written and read as JSON lines."""
+    from legwise.catalog.serving import requests_of
+    from legwise.sources.schemas import REQUEST
+
+    path = fresh_path(t.spark, "requests-json")
+    requests_of(t).write.json(path)
+    return readers.read_json(t.spark, path, REQUEST).select(
+        "request_id", F.col("origin_weather.visibility_km").alias("visibility_km"),
+        F.col("dest_weather").isNotNull().alias("has_dest_weather"))
+
+
 @query("S7_json_facts_sink", f"WITH {OPERATED} SELECT origin, COUNT(*) AS n, ROUND(AVG(dep_delay), 6) AS mean_min FROM operated GROUP BY 1")
 def s7(t):
     path = fresh_path(t.spark, "facts-json")

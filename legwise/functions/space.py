@@ -23,11 +23,12 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 
 
 def bearing_degrees(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Initial heading in [0, 360), clockwise from north."""
+    """Initial heading in [0, 360), clockwise from north; 0 from a place to itself."""
     a, b, turn = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
     east = F.sin(turn) * F.cos(b)
     north = F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(turn)
-    return F.pmod(F.degrees(F.atan2(east, north)) + 360.0, F.lit(360.0))
+    heading = F.pmod(F.degrees(F.atan2(east, north)) + 360.0, F.lit(360.0))
+    return F.when((lat1 == lat2) & (lon1 == lon2), F.lit(0.0)).otherwise(heading)
 
 
 def hub_pair(origin_hub: Column, dest_hub: Column) -> Column:
