@@ -7,6 +7,8 @@ weight that the state keeps for pairs it has not seen; the root's arcs are the s
 words. Reading a text once from left to right, the state is carried along and the
 logarithms add up.
 
+Pairs are known by a hash whose width follows the number of tokens (``SPARE_BITS``).
+
 * Root: c - D of N for a word with count c, the rest, D * V of N, for an unknown
   word, with D = n1 / V (Good-Turing: words seen once stand for the unseen ones).
 * State u: (1 - f) * c(u, w) / c(u) + f * root(w). The failure weight f depends on the
@@ -39,9 +41,11 @@ from pyspark.sql import functions as F
 from legwise.llm.text import id_remainder, slices, table_batch, utf8, words
 from legwise.session import settle
 
-CHUNK_BYTES = 1 << 25
+CHUNK_BYTES = 1 << 23
 SHARD_TOKENS = 2_000_000
-BATCH_ROWS = 500
+BATCH_ROWS = 200
+#: A pair shares its hash with another pair with a chance of at most 2 to the minus this, at any size.
+SPARE_BITS = 24
 CLASSES = 64
 MOST_DISCOUNT = 0.75
 WORD, PAIR = 0, 1
@@ -128,33 +132,39 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Chunk:
     """The words and pairs of a chunk, in the order of their hashes."""
 
-    def __init__(self, row: dict):
-        self.tokens = unsqueeze(row["tokens"], np.int32).astype(np.int64)
+    def __init__(self, row: dict, pair_bits: int):
+        tokens = unsqueeze(row["tokens"], np.int32)
         hashes = unsqueeze(row["hashes"], np.uint64)
         lengths = np.array(row["lengths"], np.int64)
         trained = np.repeat(~np.array(row["held"], bool), lengths)
-        self.before = np.concatenate([[0], self.tokens[:-1]])  # a text starts after an end token
         size = len(hashes)
-        pairs, self.pair_of = np.unique(self.before * size + self.tokens, return_inverse=True)
-        self.pair_train = np.bincount(self.pair_of, trained, len(pairs)).astype(np.int64)
-        self.word_train = np.bincount(self.tokens, trained, size).astype(np.int64)
+        codes = np.zeros(len(tokens), np.int64)
+        codes[1:] = tokens[:-1]  # a text starts after an end token, which is number 0
+        codes *= size
+        codes += tokens
+        pairs, place = np.unique(codes, return_inverse=True)
+        del codes
+        self.pair_of = place.astype(np.int32)
+        del place
+        self.pair_train = np.bincount(self.pair_of[trained], minlength=len(pairs))
+        self.word_train = np.bincount(tokens[trained], minlength=size)
         self.pair_state = pairs // size
-        pair_hashes = _mixed(hashes[pairs // size], hashes[pairs % size])
+        pair_hashes = _mixed(hashes[pairs // size], hashes[pairs % size]) >> np.uint64(64 - pair_bits)
         self.word_order, self.pair_order = np.argsort(hashes), np.argsort(pair_hashes)
         self.sorted = {WORD: hashes[self.word_order], PAIR: pair_hashes[self.pair_order]}
         self.train = {WORD: self.word_train[self.word_order], PAIR: self.pair_train[self.pair_order]}
 
 
-def ask(encoded: DataFrame, bits: int) -> DataFrame:
+def ask(encoded: DataFrame, bits: int, pair_bits: int) -> DataFrame:
     """(shard, chunk, keys, counts): the sorted hashes of a chunk cut into shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                chunk = Chunk(row)
-                for kind in (WORD, PAIR):
+                chunk = Chunk(row, pair_bits)
+                for kind, width in ((WORD, 64), (PAIR, pair_bits)):
                     keys, counts = chunk.sorted[kind], chunk.train[kind]
-                    shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                    shard = (keys >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
                     edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(keys)]]).tolist()
                     for a, b in zip(edges, edges[1:]):
                         if a < b:
@@ -189,7 +199,7 @@ def magnitude(counts: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(counts + 1.0)).astype(np.int64)
 
 
-def count_known(encoded: DataFrame, answered: DataFrame) -> DataFrame:
+def count_known(encoded: DataFrame, answered: DataFrame, pair_bits: int) -> DataFrame:
     """The chunks with the training count of each word and of the pair at each place, and with statistics.
 
     Statistics of what the chunk owns or trains: training tokens, distinct words, words seen once;
@@ -197,8 +207,7 @@ def count_known(encoded: DataFrame, answered: DataFrame) -> DataFrame:
     """
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        chunk = Chunk(row)
+        chunk = Chunk(left.to_pylist()[0], pair_bits)
         found = {WORD: [], PAIR: []}
         for r in right.sort_by("shard").to_pylist():
             found[r["shard"] % 2].append(unsqueeze(r["totals"], np.int64))
@@ -254,7 +263,8 @@ def score(docs: DataFrame, divisor: int = 7, held_remainder: int = 2, text: str
     encoded = settle(encode(docs, held_out, text))
     total = encoded.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, n: a + n))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total / SHARD_TOKENS)))))
-    known = settle(count_known(encoded, answer(ask(encoded, bits))))
+    pair_bits = min(64, max(1, int(total)).bit_length() + SPARE_BITS)
+    known = settle(count_known(encoded, answer(ask(encoded, bits, pair_bits)), pair_bits))
     size = 3 + 2 * CLASSES
     stats = known.agg(*[F.sum(F.get("stats", F.lit(i))) for i in range(size)]).first()
     automaton = Automaton([x or 0.0 for x in stats])
