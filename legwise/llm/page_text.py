@@ -23,6 +23,7 @@ other columns are not read.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -40,6 +41,8 @@ BATCH_ROWS = 200
 LOW_IMPORTANCE = 0.2
 FEWEST_PAGES = 5
 DAMPING = 0.9
+#: A full importance damped this often is below LOW_IMPORTANCE.
+LEVELS = math.ceil(math.log(LOW_IMPORTANCE) / math.log(DAMPING))
 
 #: Elements by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -168,20 +171,19 @@ def _squash(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def style_facts(page: str) -> dict[tuple[int, int, int], tuple]:
-    """(path, parent path, depth) -> (children's sequence, own text) of a page; repeated siblings are one node."""
+def style_facts(page: str) -> dict[int, tuple]:
+    """path -> (path and nearest ancestors, children's sequence, own text, any text) of a page; repeated siblings are one node."""
     looks, reads = defaultdict(list), defaultdict(list)
-    depth = {}
+    chain: dict[int, list[int]] = {}
     for node, parent in _paths(parse(page)):
         if node.declared:
             node.children = []
             continue
-        key = (node.path, parent.path if parent else 0, depth.get(parent.path, -1) + 1 if parent else 0)
-        depth[node.path] = key[2]
-        looks[key].append(",".join(c.label for c in node.children if isinstance(c, Node)))
-        reads[key].append(" ".join(_squash(c) for c in node.children if isinstance(c, str)))
-    return {k: (xxhash.xxh64_intdigest("|".join(looks[k])) >> 1, xxhash.xxh64_intdigest("|".join(reads[k])) >> 1,
-                any(reads[k])) for k in looks}
+        chain[node.path] = [node.path, *(chain[parent.path][:LEVELS - 1] if parent else [])]
+        looks[node.path].append(",".join(c.label for c in node.children if isinstance(c, Node)))
+        reads[node.path].append(" ".join(_squash(c) for c in node.children if isinstance(c, str)))
+    return {k: (chain[k], xxhash.xxh64_intdigest("|".join(looks[k])) >> 1,
+                xxhash.xxh64_intdigest("|".join(reads[k])) >> 1, any(reads[k])) for k in looks}
 
 
 def host_of(url):
@@ -200,48 +202,44 @@ def _entropies(facts: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """(host, path, above, depth, pages, own) of every undeclared node of the hosts' style trees."""
-    schema = pa.schema([("copy", pa.int64()), ("host", pa.string()), ("path", pa.int64()), ("above", pa.int64()), ("depth", pa.int32()),
+    """(host, path, chain, pages, own) of every undeclared node of the hosts' style trees; the chain goes up from the node."""
+    schema = pa.schema([("copy", pa.int64()), ("host", pa.string()), ("path", pa.int64()), ("chain", pa.list_(pa.int64())),
                         ("look", pa.int64()), ("words", pa.int64()), ("worded", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, BATCH_ROWS):
-            rows = [(xxhash.xxh64_intdigest(page) >> 1, host, path, above, depth, *fact)
+            rows = [(xxhash.xxh64_intdigest(page) >> 1, host, path, *fact)
                     for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                    for (path, above, depth), fact in style_facts(page).items()]
+                    for path, fact in style_facts(page).items()]
             if rows:
                 yield table_batch(schema, **dict(zip(schema.names, map(list, zip(*rows)))))
 
     # exact copies of a page say nothing about the site, so each page counts once
     facts = settle(pages.mapInArrow(
-        run, "copy bigint, host string, path bigint, above bigint, depth int, look bigint, words bigint, "
+        run, "copy bigint, host string, path bigint, chain array<bigint>, look bigint, words bigint, "
              "worded boolean").distinct())
     looks = _entropies(facts, "look", "look_entropy")
     texts = _entropies(facts.where("worded"), "words", "text_entropy").drop("pages")
-    above = facts.groupBy("host", "path").agg(F.first("above").alias("above"), F.first("depth").alias("depth"))
+    above = facts.select("host", "path", "chain").distinct()  # a path has one chain
     return looks.join(texts, ["host", "path"], "left").join(above, ["host", "path"]).select(
-        "host", "path", "above", "depth", "pages",
+        "host", "path", "chain", "pages",
         F.greatest("look_entropy", F.coalesce("text_entropy", F.lit(0.0))).alias("own"))
 
 
 def noise_paths(own: DataFrame, low: float = LOW_IMPORTANCE) -> DataFrame:
-    """(host, noise): paths whose own importance and whose whole branch's importance are low."""
+    """(host, noise): paths whose own importance and whose whole branch's importance are low.
+
+    A branch is as important as its most important node, damped by each level. ``low`` is at
+    least ``LOW_IMPORTANCE``, so nodes more than ``LEVELS`` - 1 levels below decide nothing,
+    and each node tells its ancestors up to there; the plan does not grow with the depth.
+    """
     tree = settle(own)
-    deepest = tree.agg(F.max("depth")).first()[0] or 0
-    # a branch is as important as its most important node, damped by each level
-    level = tree.where(F.col("depth") == deepest).select("host", "path", "above", "pages", F.col("own").alias("branch"))
-    done = [level]
-    for depth in range(deepest - 1, -1, -1):
-        below = done[-1].groupBy("host", F.col("above").alias("path")).agg(F.max("branch").alias("best"))
-        level = tree.where(F.col("depth") == depth).join(below, ["host", "path"], "left").select(
-            "host", "path", "above", "pages",
-            F.greatest("own", DAMPING * F.coalesce("best", F.lit(0.0))).alias("branch"))
-        done.append(level)
-    every = done[0]
-    for part in done[1:]:
-        every = every.unionByName(part)
-    return every.where((F.col("branch") < low) & (F.col("pages") >= FEWEST_PAGES)).groupBy("host").agg(
-        F.collect_set("path").alias("noise"))
+    told = tree.select("host", "own", F.posexplode("chain").alias("up", "path")).withColumn(
+        "worth", F.col("own") * F.pow(F.lit(DAMPING), F.col("up")))
+    branch = told.groupBy("host", "path").agg(F.max("worth").alias("branch"))
+    low_ones = branch.where(F.col("branch") < low).join(
+        tree.where(F.col("pages") >= FEWEST_PAGES).select("host", "path"), ["host", "path"], "left_semi")
+    return low_ones.groupBy("host").agg(F.collect_set("path").alias("noise"))
 
 
 def _blocks(root: Node, drop: set[int], inside_main: bool) -> list[str]:

@@ -106,6 +106,13 @@ def test_page_text_learns_the_site(spark):
     assert {r.page_id: r.text for r in got} == {i: f"story {i} of many" for i in range(12)}
 
 
+def test_page_text_of_a_very_deep_site(spark):
+    deep = "<div>" * 5000
+    pages = [(i, f"http://h.example/{i}", f"<body><section>buy now</section><p>story {i}</p>{deep}end {i}") for i in range(6)]
+    got = page_text.extract(rows(spark, pages, "page_id bigint, url string, html string")).collect()
+    assert all(r.text.startswith(f"story {r.page_id}") for r in got) and len(got) == 6
+
+
 def test_page_text_of_odd_rows(spark):
     odd_pages = [(1, None, None), (2, "x", ""), (2, "x", ""), (None, "http://A/", "<p>a"), (4, "http://a/", "<p>" + "b " * 90_000)]
     made = rows(spark, odd_pages, "page_id bigint, url string, html string").selectExpr("*", "1 AS host", "2 AS noise", "3 AS text")
