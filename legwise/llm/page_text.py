@@ -10,9 +10,13 @@ every page of the host.
 
 Two rules stand beside the entropies, because menus or adverts may also vary from page
 to page. Nodes that declare their part by tag, role or class (navigation, footer, advert,
-comments, ...) have importance zero; and where a page marks its article or main
-part, only that part is read and its nodes are taken as important. If nothing is left of
-a page without such marks, the branches removed for low importance come back.
+comments, ...) have importance zero; and nodes inside an article or main part have
+``MARKED`` times their importance, so only what is nearly the same on every page goes there.
+What lies outside such a part stays if the tree finds it important. If nothing is left of
+a page, the branches removed for low importance come back, those of the marked part first.
+
+A host with fewer than ``FEWEST_PAGES`` different pages has no tree: there a marked part is
+read alone, unless the undeclared text outside it is longer, which makes it a teaser.
 
 Defined cases: a null or empty page has an empty text; unclosed, stray and nested tags
 are closed as browsers do in simple cases; text without any tag is one block; repeated
@@ -41,6 +45,7 @@ BATCH_ROWS = 200
 LOW_IMPORTANCE = 0.2
 FEWEST_PAGES = 5
 DAMPING = 0.9
+MARKED = 2.0
 #: A full importance damped this often is below LOW_IMPORTANCE.
 LEVELS = math.ceil(math.log(LOW_IMPORTANCE) / math.log(DAMPING))
 
@@ -172,17 +177,22 @@ def _squash(text: str) -> str:
 
 
 def style_facts(page: str) -> dict[int, tuple]:
-    """path -> (path and nearest ancestors, children's sequence, own text, any text) of a page; repeated siblings are one node."""
+    """path -> (path and nearest ancestors, marked, children's sequence, own text, any text) of a page.
+
+    Repeated siblings are one node; marked is a node inside an article or main part.
+    """
     looks, reads = defaultdict(list), defaultdict(list)
     chain: dict[int, list[int]] = {}
+    marked: dict[int, bool] = {}
     for node, parent in _paths(parse(page)):
         if node.declared:
             node.children = []
             continue
         chain[node.path] = [node.path, *(chain[parent.path][:LEVELS - 1] if parent else [])]
+        marked[node.path] = node.tag in MAIN or parent is not None and marked[parent.path]
         looks[node.path].append(",".join(c.label for c in node.children if isinstance(c, Node)))
         reads[node.path].append(" ".join(_squash(c) for c in node.children if isinstance(c, str)))
-    return {k: (chain[k], xxhash.xxh64_intdigest("|".join(looks[k])) >> 1,
+    return {k: (chain[k], marked[k], xxhash.xxh64_intdigest("|".join(looks[k])) >> 1,
                 xxhash.xxh64_intdigest("|".join(reads[k])) >> 1, any(reads[k])) for k in looks}
 
 
@@ -202,9 +212,12 @@ def _entropies(facts: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """(host, path, chain, pages, own) of every undeclared node of the hosts' style trees; the chain goes up from the node."""
+    """(host, path, chain, pages, own) of every undeclared node of the hosts' style trees; the chain goes up from the node.
+
+    The importance of nodes in a marked part is already raised.
+    """
     schema = pa.schema([("copy", pa.int64()), ("host", pa.string()), ("path", pa.int64()), ("chain", pa.list_(pa.int64())),
-                        ("look", pa.int64()), ("words", pa.int64()), ("worded", pa.bool_())])
+                        ("marked", pa.bool_()), ("look", pa.int64()), ("words", pa.int64()), ("worded", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, BATCH_ROWS):
@@ -216,18 +229,20 @@ def importances(pages: DataFrame) -> DataFrame:
 
     # exact copies of a page say nothing about the site, so each page counts once
     facts = settle(pages.mapInArrow(
-        run, "copy bigint, host string, path bigint, chain array<bigint>, look bigint, words bigint, "
-             "worded boolean").distinct())
+        run, "copy bigint, host string, path bigint, chain array<bigint>, marked boolean, look bigint, "
+             "words bigint, worded boolean").distinct())
     looks = _entropies(facts, "look", "look_entropy")
     texts = _entropies(facts.where("worded"), "words", "text_entropy").drop("pages")
-    above = facts.select("host", "path", "chain").distinct()  # a path has one chain
+    # a path has one chain
+    above = facts.groupBy("host", "path", "chain").agg(F.max("marked").alias("marked"))
+    entropy = F.greatest("look_entropy", F.coalesce("text_entropy", F.lit(0.0)))
     return looks.join(texts, ["host", "path"], "left").join(above, ["host", "path"]).select(
         "host", "path", "chain", "pages",
-        F.greatest("look_entropy", F.coalesce("text_entropy", F.lit(0.0))).alias("own"))
+        F.when(F.col("marked"), F.least(F.lit(1.0), MARKED * entropy)).otherwise(entropy).alias("own"))
 
 
 def noise_paths(own: DataFrame, low: float = LOW_IMPORTANCE) -> DataFrame:
-    """(host, noise): paths whose own importance and whose whole branch's importance are low.
+    """(host, noise) of every host with a tree: paths whose own importance and whose whole branch's importance are low.
 
     A branch is as important as its most important node, damped by each level. ``low`` is at
     least ``LOW_IMPORTANCE``, so nodes more than ``LEVELS`` - 1 levels below decide nothing,
@@ -237,9 +252,10 @@ def noise_paths(own: DataFrame, low: float = LOW_IMPORTANCE) -> DataFrame:
     told = tree.select("host", "own", F.posexplode("chain").alias("up", "path")).withColumn(
         "worth", F.col("own") * F.pow(F.lit(DAMPING), F.col("up")))
     branch = told.groupBy("host", "path").agg(F.max("worth").alias("branch"))
-    low_ones = branch.where(F.col("branch") < low).join(
-        tree.where(F.col("pages") >= FEWEST_PAGES).select("host", "path"), ["host", "path"], "left_semi")
-    return low_ones.groupBy("host").agg(F.collect_set("path").alias("noise"))
+    often = tree.where(F.col("pages") >= FEWEST_PAGES).select("host", "path")
+    # nulls are not collected, so a host whose nodes are all important has an empty list
+    return often.join(branch, ["host", "path"]).groupBy("host").agg(
+        F.collect_set(F.when(F.col("branch") < low, F.col("path"))).alias("noise"))
 
 
 def _blocks(root: Node, drop: set[int], inside_main: bool) -> list[str]:
@@ -259,7 +275,7 @@ def _blocks(root: Node, drop: set[int], inside_main: bool) -> list[str]:
             flush()
         elif isinstance(item, str):
             current.append(item)
-        elif item.declared or not within and (item.path in drop or item.label.split(".")[0] == "header"):
+        elif item.declared or item.path in drop or not within and item.label.split(".")[0] == "header":
             flush()
         else:
             block = item.tag not in INLINE
@@ -273,7 +289,7 @@ def _blocks(root: Node, drop: set[int], inside_main: bool) -> list[str]:
 
 
 def main_text(page: str | None, noise: list[int] | None = None) -> str:
-    """The article's text of a page, given the unimportant paths of its host."""
+    """The article's text of a page, given the unimportant paths of its host; None is a host without a tree."""
     root = parse(page)
     mains, hidden = [], set()
     for node, parent in _paths(root):
@@ -283,10 +299,14 @@ def main_text(page: str | None, noise: list[int] | None = None) -> str:
             hidden.add(id(node))  # a main part inside another belongs to the outer one
             if not node.declared:
                 mains.append(node)
-    found = [b for m in mains for b in _blocks(m, set(), True)]
-    if not found:
-        found = _blocks(root, set(noise or ()), False) or _blocks(root, set(), False)
-    return " ".join(found)
+    whole = _blocks(root, set(noise or ()), False)
+    if noise is not None and whole:
+        return " ".join(whole)
+    marked = [b for m in mains for b in _blocks(m, set(), True)]
+    inside, every = sum(map(len, marked)), sum(map(len, whole))
+    if marked and (noise is not None or every <= 2 * inside):
+        return " ".join(marked)
+    return " ".join(whole or _blocks(root, set(), False))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -106,6 +106,17 @@ def test_page_text_learns_the_site(spark):
     assert {r.page_id: r.text for r in got} == {i: f"story {i} of many" for i in range(12)}
 
 
+def test_page_text_learns_inside_and_outside_the_article(spark):
+    page = ("<body><em>buy now</em><article><h1>T {i}</h1><div><u>read it in our app</u></div><p>teaser {i}</p></article>"
+            "<section><span>story {i} of many</span></section></body>")
+    pages = [(i, f"http://h.example/{i}", page.format(i=i)) for i in range(12)] + [
+        (90, "http://few.example/", "<article>teaser</article><div>a story that is longer</div>"),
+        (91, "http://less.example/", "<article>a story that is longer</article><div>teaser</div>")]
+    got = page_text.extract(rows(spark, pages, "page_id bigint, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"T {i} teaser {i} story {i} of many" for i in range(12)} | {
+        90: "teaser a story that is longer", 91: "a story that is longer"}
+
+
 def test_page_text_of_a_very_deep_site(spark):
     deep = "<div>" * 5000
     pages = [(i, f"http://h.example/{i}", f"<body><section>buy now</section><p>story {i}</p>{deep}end {i}") for i in range(6)]
