@@ -23,6 +23,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -71,7 +72,8 @@ class Encoder:
 
     A plain byte-level vocabulary whose ids rise with the order of its merges is read into
     tiktoken, which gives the same ids in a third of the time; texts with a special token's
-    string, and all other vocabularies, are left to tokenizers itself.
+    string, texts that tiktoken refuses (its pattern gives up on a million blanks in a row),
+    and all other vocabularies are left to tokenizers itself.
     """
 
     def __init__(self, place: str):
@@ -107,9 +109,10 @@ class Encoder:
         return tiktoken.Encoding("byte_level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        if self.fast is not None and not any(s in text for s in self.special):
+            with contextlib.suppress(ValueError):
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

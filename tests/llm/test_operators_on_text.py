@@ -307,6 +307,13 @@ def test_special_strings_and_other_vocabularies():
     assert other("Ab c").tolist() == other.exact.encode("Ab c", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n"])
+def test_ids_of_very_long_blank_runs(run):
+    both = packing_encoder()
+    text = "a" + run * 2_000_000 + "b"
+    assert both(text).tolist() == both.exact.encode(text, add_special_tokens=False).ids
+
+
 def test_configurations():
     rng = np.random.default_rng(5)
     lengths = np.unique(rng.integers(1, 100, 40))
