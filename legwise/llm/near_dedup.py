@@ -60,15 +60,16 @@ def simhash(text: bytes | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, code) of every row; the code is the fingerprint as a signed number."""
-    schema = pa.schema([("doc_id", pa.int64()), ("code", pa.int64())])
+    """(doc_id, version, code) of every row; the version is a hash of the text, the code the fingerprint as a signed number."""
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("code", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.array([simhash(t) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-            yield table_batch(schema, doc_id=batch.column(0), code=codes)
+            codes = np.array([simhash(t) for t in utf8(batch.column(2))], np.uint64).view(np.int64)
+            yield table_batch(schema, doc_id=batch.column(0), version=batch.column(1), code=codes)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col(text)).mapInArrow(run, "doc_id bigint, code bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text), F.col(text)).mapInArrow(
+        run, "doc_id bigint, version bigint, code bigint")
 
 
 def _apart(codes: np.ndarray, vantage) -> np.ndarray:
@@ -204,19 +205,24 @@ def code_links(codes: DataFrame, radius: int = RADIUS, shard_codes: int = SHARD_
     )
 
 
+def _grouped(docs: DataFrame, radius: int, shard_codes: int) -> DataFrame:
+    """(doc_id, version, code, root, component_id) of every row; rows of one component share the root, a code."""
+    marked = settle(fingerprints(docs))
+    codes = settle(marked.groupBy("code").agg(F.min("doc_id").alias("first")))
+    roots = components(code_links(codes, radius, shard_codes)).withColumnRenamed("node", "code")
+    least = codes.join(roots, "code").groupBy("root").agg(F.min("first").alias("component_id"))
+    named = codes.join(roots.join(least, "root"), "code", "left").select(
+        "code", F.coalesce("root", "code").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    return marked.join(named, "code", "left").select("doc_id", "version", "code", "root", "component_id")
+
+
 def near_groups(docs: DataFrame, radius: int = RADIUS, shard_codes: int = SHARD_CODES) -> DataFrame:
     """(doc_id, code, component_id) of every row of ``docs``.
 
     Rows whose fingerprints differ in at most ``radius`` bits are linked;
     component_id is the smallest doc_id that can be reached over links.
     """
-    marked = settle(fingerprints(docs))
-    codes = settle(marked.groupBy("code").agg(F.min("doc_id").alias("first")))
-    roots = components(code_links(codes, radius, shard_codes)).withColumnRenamed("node", "code")
-    least = codes.join(roots, "code").groupBy("root").agg(F.min("first").alias("component_id"))
-    named = codes.join(roots.join(least, "root"), "code", "left").select(
-        "code", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(named, "code", "left").select("doc_id", "code", "component_id")
+    return _grouped(docs, radius, shard_codes).select("doc_id", "code", "component_id")
 
 
 def fingerprint_text(code: str = "code"):
@@ -228,10 +234,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group: the one that names the component.
 
     Rows without doc_id in a group that has one go; a group without any doc_id
-    keeps its rows. Of repeated rows of one doc_id a single one stays.
+    keeps its rows. Texts of one doc_id stay if they are in different groups; in one group
+    the one with the smallest code stays. Of repeated rows of one doc_id a single one stays.
     """
-    groups = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    groups = settle(_grouped(docs, RADIUS, SHARD_CODES))
+    first = groups.where("doc_id = component_id").groupBy("root").agg(
+        F.min(F.struct("doc_id", "code", "version")).alias("first")).select("first.doc_id", "first.version")
+    nameless = groups.where("component_id IS NULL").select("doc_id", "version").distinct()
+    keys = first.unionByName(nameless).toDF("kept_id", "kept_version")
     columns = docs.columns
-    whole = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.struct(*[docs[c] for c in columns]).alias("row"))
-    kept = whole.join(groups.withColumnRenamed("doc_id", "id"), "id", "left_semi").dropDuplicates(["id"])
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+    whole = docs.select(
+        F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(docs["text"]).alias("version"),
+        F.struct(*[docs[c] for c in columns]).alias("row"), F.monotonically_increasing_id().alias("at"))
+    kept = whole.join(keys, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("version") == F.col("kept_version")), "left_semi")
+    # rows without doc_id are no repeated rows of one another
+    alone = kept.withColumn("at", F.when(F.col("id").isNull(), F.col("at"))).dropDuplicates(["id", "version", "at"])
+    return alone.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])

@@ -70,6 +70,18 @@ def test_near_groups_of_odd_rows(odd, empty):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for *_, c in want})
 
 
+def test_keep_one_loses_no_unique_text(spark):
+    def story(word):
+        return " ".join(f"{word}{i}" for i in range(60))
+
+    data = [(1, story("a")), (5, story("a")), (5, story("b")), (6, story("c")), (6, story("d")), (6, story("d")),
+            (None, story("e")), (None, story("f")), (None, story("f")), (None, story("a")), (7, story("b"))]
+    got = [tuple(r) for r in near_dedup.keep_one(rows(spark, data, "doc_id bigint, text string")).collect()]
+    assert sorted(got, key=repr) == sorted(
+        [(1, story("a")), (5, story("b")), (6, story("c")), (6, story("d")), (None, story("e")),
+         (None, story("f")), (None, story("f"))], key=repr)
+
+
 def test_tree_loses_no_link():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
