@@ -261,6 +261,27 @@ def test_toxicity_pairs(spark, odd, empty):
     assert {r.score for r in toxicity.predict(odd, None).collect()} == {0.0}
 
 
+def test_toxicity_of_pairs_only(spark):
+    said = [(i, i % 2 ^ i // 2 % 2) for i in range(400)]
+    data = [(i, f"{'fool' if i % 2 else 'pal'} {'them' if i // 2 % 2 else 'us'} n{i}") for i, _ in said]
+    made = rows(spark, data, "doc_id bigint, text string")
+    machine = toxicity.train(made, rows(spark, said, "doc_id bigint, toxic int"))
+    score = {r.doc_id: r.score for r in toxicity.predict(made, machine).collect()}
+    assert not [i for i, y in said if (score[i] >= 0.5) != bool(y)]  # each word is in as many toxic as clean texts
+
+
+def test_terms_that_matter_beside_a_strong_one(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 12)
+    sets = []
+    for i in range(2000):
+        insult, group = i % 10 == 0, i // 10 % 5
+        toxic = int(insult and group == 0)
+        # the group words of toxic texts are as frequent in clean ones; 200 other terms say nothing
+        sets.append((toxic, [*([1] if insult else []), 10 + i // 50 % 4 if group == 0 else 20 + i % 4, 1000 + i * 7 % 200]))
+    kept = toxicity.kept_buckets(rows(spark, sets, "label int, active array<bigint>"))
+    assert {1, 10, 11, 12, 13} <= set(kept)
+
+
 # ---------------------------------------------------------------- packing
 def check_packing(got, source, capacity=2048):
     from tokenizers import Tokenizer
