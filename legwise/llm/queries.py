@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legwise.llm import binary_search, language, mixing, near_dedup, ngrams, packing, page_text, quality_rules, spans, toxicity
+from legwise.llm import (
+    binary_search, language, manifest, mixing, near_dedup, ngrams, packing, page_text, quality_rules, spans, toxicity,
+    vector_links, whitening,
+)
 from legwise.llm.text import id_remainder, read
 
 QUERIES = {}
@@ -103,6 +106,26 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "text", "n_sentences", "n_removed")
 
 
+@query
+def op11_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links, component and verdict of every vector."""
+    return vector_links.link(read(spark, folder, "embeddings"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, proof and audit of every document."""
+    shown = manifest.audit(read(spark, folder, "documents"), F.col("doc_id").isNotNull() & (id_remainder(5) == 0))
+    return shown.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The first sixteen whitened components of every vector."""
+    return whitening.whiten(read(spark, folder, "embeddings")).withColumn(
+        "deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 #: What both engines take as words; DuckDB's patterns have the same classes.
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -224,3 +247,77 @@ SELECT doc_id, source, tokens AS n_tokens, epoch::INT AS epoch, md5(concat('mix:
   md5(concat('mix:', doc_id, ':', epoch)) AS doc_order
 FROM (SELECT *, unnest(generate_series(0, copies - 1)) AS epoch FROM shown)
 """
+
+SQL["op11_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (
+  SELECT *, sqrt(list_sum(list_transform(e, lambda c: c * c))) AS size FROM v
+  WHERE label IS NOT NULL AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(e, lambda c: c <> 0)) > 0),
+pairs AS (
+  SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.93),
+reach(a, b) AS (SELECT r, r FROM v UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+least AS (SELECT reach.a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY ALL),
+linked AS (SELECT a AS r, count(*) AS n FROM pairs GROUP BY ALL)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, component_id IS NOT DISTINCT FROM vec_id AS kept
+FROM v JOIN least USING (r) LEFT JOIN linked USING (r)
+"""
+
+#: crc32 bit by bit; levels of runs of 16 first within a source, then over the sources.
+SQL["op12_merkle_manifest"] = """
+WITH RECURSIVE fields AS (
+  SELECT row_number() OVER () AS r, doc_id, source,
+    concat(CASE WHEN doc_id IS NULL THEN '-' ELSE concat(strlen(doc_id::VARCHAR), ':', doc_id) END,
+      CASE WHEN source IS NULL THEN '-' ELSE concat(strlen(source), ':', source) END,
+      CASE WHEN lang IS NULL THEN '-' ELSE concat(strlen(lang), ':', lang) END,
+      CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen(n_chars::VARCHAR), ':', n_chars) END) AS head,
+    CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END AS body,
+    CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':',
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) END AS changed,
+    xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+      lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc
+  FROM documents),
+leaves AS (
+  SELECT r, doc_id, source, sha256(head || body) AS leaf,
+    CASE WHEN crc % 5 = 0 THEN sha256(head || changed) ELSE sha256(head || body) END AS used FROM fields),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+    count(*) OVER (PARTITION BY source) AS size FROM leaves),
+tree(source, h, rank, size, digest) AS (
+  SELECT source, 0, rank, size, leaf FROM ranked
+  UNION ALL
+  SELECT source, h + 1, rank // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY rank))
+  FROM tree WHERE size > 1 GROUP BY source, h, rank // 16, (size + 15) // 16),
+runs AS (SELECT source, h, rank // 16 AS run, list(digest ORDER BY rank) AS kids FROM tree WHERE size > 1 GROUP BY ALL),
+subroots AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS rank,
+  count(*) OVER () AS size FROM tree WHERE size = 1),
+crown(h, rank, size, digest) AS (
+  SELECT 0, rank, size, subroot FROM subroots
+  UNION ALL
+  SELECT h + 1, rank // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY rank))
+  FROM crown WHERE size > 1 GROUP BY h, rank // 16, (size + 15) // 16),
+crown_runs AS (SELECT h, rank // 16 AS run, list(digest ORDER BY rank) AS kids FROM crown WHERE size > 1 GROUP BY ALL),
+climb(r, source, h, pos, proof, node) AS (
+  SELECT r, source, 0, rank, '', used FROM ranked
+  UNION ALL
+  SELECT c.r, c.source, c.h + 1, c.pos // 16,
+    concat(c.proof, array_to_string(kids[1:c.pos % 16], ''), array_to_string(kids[c.pos % 16 + 2:], '')),
+    sha256(concat(array_to_string(kids[1:c.pos % 16], ''), c.node, array_to_string(kids[c.pos % 16 + 2:], '')))
+  FROM climb c JOIN runs k ON c.source IS NOT DISTINCT FROM k.source AND c.h = k.h AND c.pos // 16 = k.run),
+in_source AS (SELECT r, source, max_by(proof, h) AS proof, max_by(node, h) AS node FROM climb GROUP BY r, source),
+over(r, h, pos, proof, node) AS (
+  SELECT i.r, 0, s.rank, i.proof, i.node FROM in_source i JOIN subroots s ON i.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT c.r, c.h + 1, c.pos // 16,
+    concat(c.proof, array_to_string(kids[1:c.pos % 16], ''), array_to_string(kids[c.pos % 16 + 2:], '')),
+    sha256(concat(array_to_string(kids[1:c.pos % 16], ''), c.node, array_to_string(kids[c.pos % 16 + 2:], '')))
+  FROM over c JOIN crown_runs k ON c.h = k.h AND c.pos // 16 = k.run),
+done AS (SELECT r, max_by(proof, h) AS proof, max_by(node, h) AS folded_root FROM over GROUP BY r)
+SELECT l.doc_id, l.leaf, s.subroot, t.digest AS root, sha256(d.proof) AS proof_sha256, d.folded_root,
+  d.folded_root = t.digest AS verified
+FROM leaves l JOIN done d USING (r) JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source
+  JOIN (SELECT digest FROM crown WHERE size = 1) t ON TRUE
+"""

@@ -22,8 +22,11 @@ COLUMNS = {
     "op8_language_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op9_mixing": ["doc_id", "source", "n_tokens", "epoch", "block_order", "doc_order"],
     "op10_substring_dedup": ["doc_id", "text", "n_sentences", "n_removed"],
+    "op11_embedding_near_dedup": ["vec_id", "n_links", "component_id", "kept"],
+    "op12_merkle_manifest": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op13_embedding_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
 }
-PER_ROW = {"op1_near_dedup", "op3_lm_scoring", "op5_quality_rules", "op6_toxicity", "op8_language_id", "op10_substring_dedup"}
+PER_ROW = {"op1_near_dedup", "op3_lm_scoring", "op5_quality_rules", "op6_toxicity", "op8_language_id", "op10_substring_dedup", "op12_merkle_manifest"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
