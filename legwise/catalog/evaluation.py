@@ -108,14 +108,14 @@ def e10(t):
 
 
 @query("E10_against_median_baseline", f"""
-WITH {SCORED}, x AS (SELECT delay - (score * 100 - 30) AS e, delay - (SELECT quantile_cont(delay, 0.5) FROM scored WHERE id % 3 <> 0) AS b FROM scored WHERE id % 3 = 0),
+WITH {SCORED}, x AS (SELECT delay - (score * 100 - 30) AS e, delay - (SELECT quantile_cont(delay, 0.5) FROM scored WHERE day <= (SELECT MAX(day) - 7 FROM scored)) AS b FROM scored),
 g AS (SELECT sqrt(AVG(e * e)) AS r, sqrt(AVG(b * b)) AS rb, AVG(ABS(e)) AS m, AVG(ABS(b)) AS mb FROM x)
 SELECT ROUND(r, 6) AS rmse, ROUND(rb, 6) AS rmse_median, ROUND(m, 6) AS mae, ROUND(mb, 6) AS mae_median, ROUND((r / rb - 1) * 100, 6) AS rmse_change_pct, ROUND((m / mb - 1) * 100, 6) AS mae_change_pct FROM g
 """)
 def e10b(t):
     rows = t.scored.withColumn("predicted", F.col("score") * 100 - 30)
-    trained, judged = rows.where("id % 3 <> 0"), rows.where("id % 3 = 0")
-    return E.baseline_deltas(judged, "delay", "predicted", median_of(trained, F.col("delay"))).select(
+    trained = rows.where(F.col("day") <= F.date_sub(rows.agg(F.max("day")).scalar(), 7))
+    return E.baseline_deltas(rows, "delay", "predicted", median_of(trained, F.col("delay"))).select(
         *r6("rmse", "rmse_median", "mae", "mae_median", "rmse_change_pct", "mae_change_pct"))
 
 

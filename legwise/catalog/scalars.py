@@ -356,7 +356,7 @@ def c40(t):
     return t.events.select("event_id", F.to_date("ts").cast("string").alias("day"))
 
 
-@query("C41_flight_label", "SELECT event_id, event_type || COALESCE((CASE WHEN event_id % 3 <> 0 THEN user_id END)::VARCHAR, '') AS flight FROM events")
+@query("C41_flight_label", "SELECT event_id, event_type || COALESCE(NULLIF(CASE WHEN event_id % 3 <> 0 THEN user_id END, 0)::VARCHAR, '') AS flight FROM events")
 def c41(t):
     number = F.when(F.col("event_id") % 3 != 0, F.col("user_id"))
     return t.events.select("event_id", X.flight_label(F.col("event_type"), number).alias("flight"))

@@ -6,6 +6,7 @@ import random
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from legwise.operators import evaluation as E
 from legwise.operators.projections import apply_codes, fit_codes
-from legwise.session import settle
+from legwise.session import settle, shared_dir
 
 # Seed, pooling limit, candidate settings, search grid, calibration gain.
 SEED = 42
@@ -30,6 +31,7 @@ MISSING_LEVEL = "missing"
 POOLED_LEVEL = "infrequent"
 LOGISTIC_C = 0.5
 FOREST = {"numTrees": 150, "maxDepth": 14, "minInstancesPerNode": 50}
+PATIENCE, SEARCH_PATIENCE = 50, 40
 BOOSTED = {
     "boosted_deep": {"maxIter": 600, "stepSize": 0.05, "maxDepth": 7, "subsamplingRate": 0.85},
     "boosted_leafy": {"maxIter": 800, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.85},
@@ -42,6 +44,9 @@ SEARCH_GRID = {
     "subsamplingRate": (0.7, 0.85, 1.0),
 }
 ISOTONIC_GAIN = 0.9
+# How the trees of one level are grown: in one pass, without walking every row down from each root again.
+ROOMY = {"maxMemoryInMB": 2048, "cacheNodeIds": True}
+PARALLEL_FITS = 4
 # The one bound of this module: about so many labelled rows fit a classifier, chosen by a hash of the row.
 FIT_ROWS = 5_000_000
 
@@ -55,6 +60,49 @@ class Fitted:
     model: object
     columns: list[str]
     seconds: float
+    rounds: int | None = None
+    losses: tuple[float, ...] = ()
+
+
+def in_parallel(tasks: list[Callable], most: int = PARALLEL_FITS) -> list:
+    """Results of the tasks in their order; each fit is many short jobs, so several are under way at a time."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+
+    with ThreadPool(min(most, len(tasks))) as pool:
+        return [r.get() for r in [pool.apply_async(inheritable_thread_target(task)) for task in tasks]]
+
+
+def patient_round(losses: Iterable[float], patience: int) -> tuple[int, bool]:
+    """The round (from 1) with the least loss before ``patience`` rounds brought no lower one, and whether they did not."""
+    best, at, number = float("inf"), 0, 0
+    for number, loss in enumerate(losses, 1):
+        if loss < best:
+            best, at = loss, number
+        elif number - at >= patience:
+            return at, True
+    return at, False
+
+
+def fit_patiently(learner, train: DataFrame, valid: DataFrame, patience: int = PATIENCE):
+    """Boosting whose rounds end at the least validation loss: (model, loss per round tried).
+
+    The ensemble grows in blocks that double until ``patience`` rounds after the best one brought nothing.
+    A fit is the same, round by round, whatever its length; so the kept model is a fit of the best length.
+    """
+    most, rounds = learner.getMaxIter(), patience + 14
+    while True:
+        rounds = min(rounds, most)
+        model = learner.copy({learner.maxIter: rounds}).fit(train)
+        losses = model.evaluateEachIteration(valid)
+        best, ended = patient_round(losses, patience)
+        if ended or rounds == most:
+            break
+        rounds *= 2
+    if best < rounds:
+        model = learner.copy({learner.maxIter: best}).fit(train)
+    return model, losses
 
 
 def bounded(train: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -155,30 +203,32 @@ def tree_vector(train: DataFrame, numeric: list[str], categorical: list[str]
 
 
 def _fit_trees(name: str, learner, train: DataFrame, valid: DataFrame | None, numeric: list[str],
-               categorical: list[str]) -> Fitted:
+               categorical: list[str], patience: int = PATIENCE) -> Fitted:
     started = time.time()
+    shared_dir(train.sparkSession)  # node ids are cut there
     prepare = tree_vector(train, numeric, categorical)
     label = learner.getLabelCol()
-    rows = prepare(train).select("features", label)
-    if valid is not None:
-        rows = rows.withColumn("_valid", F.lit(False)).unionByName(
-            prepare(valid).select("features", label).withColumn("_valid", F.lit(True)))
-        learner = learner.setParams(validationIndicatorCol="_valid", validationTol=0.001)
-    model = learner.fit(settle(rows))
+    rows = settle(prepare(train).select("features", label))
+    losses = ()
+    if valid is None:
+        model = learner.fit(rows)
+    else:
+        model, losses = fit_patiently(learner, rows, settle(prepare(valid).select("features", label)), patience)
     return Fitted(name, lambda df: _probability(model.transform(prepare(df))).drop("features"),
-                  model, [*numeric, *categorical], time.time() - started)
+                  model, [*numeric, *categorical], time.time() - started,
+                  len(model.treeWeights) if losses else None, tuple(losses))
 
 
 def fit_forest(train: DataFrame, numeric: list[str], categorical: list[str], label: str, **settings) -> Fitted:
-    learner = RandomForestClassifier(labelCol=label, featuresCol="features", seed=SEED, **(FOREST | settings))
+    learner = RandomForestClassifier(labelCol=label, featuresCol="features", seed=SEED, **(FOREST | ROOMY | settings))
     return _fit_trees("random_forest", learner, bounded(train), None, numeric, categorical)
 
 
 def fit_boosted(train: DataFrame, valid: DataFrame | None, numeric: list[str], categorical: list[str],
-                label: str, preset: str = "boosted_deep", **settings) -> Fitted:
-    """Boosted trees; with a validation window the rounds stop when it no longer improves."""
+                label: str, preset: str = "boosted_deep", patience: int = PATIENCE, **settings) -> Fitted:
+    """Boosted trees; with a validation window as many rounds as its loss is best with, found with patience."""
     learner = GBTClassifier(labelCol=label, featuresCol="features", seed=SEED, **(BOOSTED[preset] | settings))
-    return _fit_trees(preset, learner, bounded(train), valid, numeric, categorical)
+    return _fit_trees(preset, learner, bounded(train), valid, numeric, categorical, patience)
 
 
 def quality_row(scored: DataFrame, label: str, key: str, name: str) -> DataFrame:
@@ -197,7 +247,8 @@ def compare(candidates: list[Fitted], valid: DataFrame, label: str, key: str) ->
     """Candidates by validation average precision, best first."""
     table = None
     for c in candidates:
-        row = quality_row(settle(c.predict(valid)), label, key, c.name).withColumn("fit_seconds", F.lit(round(c.seconds, 1)))
+        row = quality_row(settle(c.predict(valid)), label, key, c.name).withColumns({
+            "fit_seconds": F.lit(round(c.seconds, 1)), "rounds": F.lit(c.rounds).cast("int")})
         table = row if table is None else table.unionByName(row)
     return table.orderBy(F.desc("pr_auc"), "model")
 
@@ -215,16 +266,17 @@ def random_settings(n: int, seed: int = SEED) -> list[dict]:
 def random_search(df: DataFrame, folds: list[tuple[str, str]], day: str, numeric: list[str],
                   categorical: list[str], label: str, n: int = 8) -> DataFrame:
     """Mean fold average precision of random settings on expanding time folds."""
-    rows = []
-    for settings in random_settings(n):
-        found = []
-        for train_until, valid_until in folds:
-            train = df.where(F.col(day) <= F.lit(train_until).cast("date"))
-            valid = df.where((F.col(day) > F.lit(train_until).cast("date"))
-                             & (F.col(day) <= F.lit(valid_until).cast("date")))
-            fitted = fit_boosted(train, valid, numeric, categorical, label, **settings)
-            found.append(E.ranking_quality(E.score_curve(fitted.predict(valid), label, "p")).first()["pr_auc"])
-        rows.append((*[float(settings[k]) for k in SEARCH_GRID], sum(found) / len(found)))
+    def judge(settings: dict, train_until: str, valid_until: str) -> float:
+        train = df.where(F.col(day) <= F.lit(train_until).cast("date"))
+        valid = df.where((F.col(day) > F.lit(train_until).cast("date"))
+                         & (F.col(day) <= F.lit(valid_until).cast("date")))
+        fitted = fit_boosted(train, valid, numeric, categorical, label, patience=SEARCH_PATIENCE, **settings)
+        return E.ranking_quality(E.score_curve(fitted.predict(valid), label, "p")).first()["pr_auc"]
+
+    draws = random_settings(n)
+    found = in_parallel([partial(judge, settings, *fold) for settings in draws for fold in folds])
+    rows = [(*[float(settings[k]) for k in SEARCH_GRID], sum(part) / len(folds))
+            for settings, part in zip(draws, zip(*[iter(found)] * len(folds)))]
     schema = ", ".join(f"{k} DOUBLE" for k in SEARCH_GRID) + ", pr_auc DOUBLE"
     return df.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("pr_auc"))
 
@@ -256,20 +308,19 @@ def fit_minutes(train: DataFrame, valid: DataFrame | None, numeric: list[str], c
                 loss: str = "squared", rounds: int = 600, depth: int = 5) -> Fitted:
     """Boosted regression of delay minutes under squared or absolute loss, on all training rows.
 
-    With a validation window the rounds stop when it no longer improves.
+    With a validation window the rounds end, with patience, where its loss is least.
     """
     started = time.time()
     prepare = tree_vector(train, numeric, categorical)
     learner = GBTRegressor(labelCol=target, featuresCol="features", seed=SEED, lossType=loss, stepSize=0.1,
                            maxIter=rounds, maxDepth=depth)
-    rows = prepare(train).select("features", target)
-    if valid is not None:
-        rows = rows.withColumn("_valid", F.lit(False)).unionByName(
-            prepare(valid).select("features", target).withColumn("_valid", F.lit(True)))
-        learner = learner.setParams(validationIndicatorCol="_valid", validationTol=0.001)
-    model = learner.fit(settle(rows))
+    rows, losses = settle(prepare(train).select("features", target)), ()
+    if valid is None:
+        model = learner.fit(rows)
+    else:
+        model, losses = fit_patiently(learner, rows, settle(prepare(valid).select("features", target)))
     return Fitted(f"minutes_{loss}", lambda df: model.transform(prepare(df)).drop("features"),
-                  model, [*numeric, *categorical], time.time() - started)
+                  model, [*numeric, *categorical], time.time() - started, len(model.treeWeights), tuple(losses))
 
 
 def linear_weights(model: PipelineModel, numeric: list[str]) -> dict[str, tuple[float, float]]:
