@@ -14,6 +14,7 @@ from legwise.functions.base import band, clip, flag, mean_where, positive_part,
 from legwise.operators import aggregates as A
 from legwise.operators import windows as W
 from legwise.operators.joins import attach, attach_roles
+from legwise.operators.explanation import example_picks
 from legwise.operators.ordering import positions, top_k
 from legwise.operators.quantiles import exact_medians, exact_quantiles, median_of, smallest_mode
 
@@ -452,11 +453,7 @@ WITH {SCORED}, r AS (SELECT id, score, ROW_NUMBER() OVER (ORDER BY score DESC, i
 SELECT CASE place WHEN 1 THEN 'highest_risk' WHEN n THEN 'lowest_risk' ELSE 'typical' END AS tag, id, score FROM r WHERE place IN (1, n // 2 + 1, n)
 """)
 def o6(t):
-    n = t.scored.agg(F.count(F.lit(1))).scalar()
-    ranked = positions(t.scored.withColumn("_down", -F.col("score")), ["_down", "id"], "place")
-    tag = (F.when(F.col("place") == 1, "highest_risk").when(F.col("place") == n, "lowest_risk")
-           .when(F.col("place") == F.floor(n / 2) + 1, "typical"))
-    return ranked.select(tag.alias("tag"), "id", "score").where(F.col("tag").isNotNull())
+    return example_picks(t.scored, "score", "id")
 
 
 @query("O7_first_distinct_bad_values", """

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 from legwise.catalog.frames import FLIGHTS, SCORED
 from legwise.catalog.quality import RAW, fleet, raw_flights, raw_weather, station_codes
 from legwise.catalog.registry import query
+from legwise.functions.text import narrative
+from legwise.operators.explanation import example_picks, strongest
 from legwise.operators.joins import attach
 from legwise.plans import flights as P
+from legwise.plans import risk_model as R
 from legwise.plans import serving as S
 from legwise.plans import store as V
 from legwise.session import fresh_path, settle
+from legwise.sources import schemas
 from legwise.streaming import scoring
 
 # A linear risk score on served features (coefficient, mean) and its threshold.
@@ -179,20 +183,24 @@ SHARED = ["dep_time_decimal", "hour_sin", "hour_cos", "doy_sin", "doy_cos", "hol
           "dep_wx_temperature_c", "dep_wx_wind_speed_kt", "dep_wx_visibility_km", "dep_wx_cloud_ceiling_ft"]
 
 
-def parity_rows(t):
-    """Served and batch values of the shared features, for the flights of all days."""
-    store, rows = frozen_store(t)
+def flight_requests(rows):
+    """The flights of a feature table as requests."""
     none = lambda kind: F.lit(None).cast(kind)
     at_origin = F.struct(*[F.col(f"dep_wx_{m}").alias(m) if f"dep_wx_{m}" in rows.columns else none("double").alias(m) for m in (
         "temperature_c", "dewpoint_c", "wind_speed_kt", "wind_gust_kt", "precip_mm", "snow_mm", "visibility_km", "cloud_ceiling_ft")],
         F.col("dep_wx_condition").alias("condition"))
-    requests = rows.select(
+    return rows.select(
         F.col("flight_id").alias("request_id"), "carrier_code", "origin", "destination", "scheduled_departure_local",
         none("string").alias("scheduled_arrival_local"), "flight_number", "tail_number", none("string").alias("aircraft_model"),
         none("double").alias("aircraft_age_years"), none("int").alias("seats"), "scheduled_turnaround_min", "scheduled_ground_time_min",
         "prev_leg_arr_delay_min", "prev_leg_dep_delay_min", "aircraft_cum_delay_today", at_origin.alias("origin_weather"),
         none(dict(rows.select(at_origin.alias("w")).dtypes)["w"]).alias("dest_weather"))
-    online = S.featurize(requests, store, clean_tables(t)["holiday_calendar"], STORED)
+
+
+def parity_rows(t):
+    """Served and batch values of the shared features, for the flights of all days."""
+    store, rows = frozen_store(t)
+    online = S.featurize(flight_requests(rows), store, clean_tables(t)["holiday_calendar"], STORED)
     batch = rows.select(F.col("flight_id").alias("request_id"), *[F.col(c).cast("double").alias(f"batch_{c}") for c in SHARED])
     return online.join(batch, "request_id"), SHARED
 
@@ -283,3 +291,207 @@ def v6(t):
     out = fresh_path(t.spark, "stream-out")
     scoring.score_available(stream, score, out, fresh_path(t.spark, "stream-state"))
     return t.spark.read.schema("flight_id BIGINT, p DOUBLE").parquet(out)
+
+
+# ---------------------------------------------------------------- the fitted model, saved and served
+_SERVED = {}
+
+
+def shared(build):
+    """Queries around the saved model share its artefacts, and the tables it is served with, within a session and folder."""
+    def run(t):
+        key = (t.spark.sparkContext.applicationId, t.folder)
+        return build(_SERVED.setdefault(key, t))
+    return run
+
+
+@once
+def fitted_model(t):
+    """Learned on the earlier days, calibration judged on the next ones: (model in memory, model loaded, rows, choice)."""
+    rows = P.model_rows(all_features(t)).withColumn("is_delayed", F.col("is_delayed").cast("int"))
+    first, last = rows.agg(F.min("date"), F.max("date")).first()
+    until = F.date_add(F.lit(first), int((last - first).days * 0.7))
+    model, choice = R.calibrate(R.fit(rows.where(F.col("date") <= until), "is_delayed"),
+                                rows.where(F.col("date") > until), "is_delayed", "scheduled_departure_utc", "flight_id")
+    path = fresh_path(t.spark, "risk-model")
+    model.save(t.spark, path)
+    return model, R.RiskModel.load(t.spark, path), rows, choice
+
+
+def loaded_model(t):
+    return fitted_model(t)[1]
+
+
+MODEL_SQL = f"WITH {RAW}, f AS (SELECT * FROM timely WHERE verdict IS NULL AND cancelled = 0)"
+
+
+@query("D2_saved_model_scores", f"{MODEL_SQL} SELECT COUNT(*) AS n, COUNT(*) AS n_scored, 0::BIGINT AS n_reload_differs, 0::BIGINT AS n_not_explained FROM f")
+@shared
+def d2(t):
+    """The loaded model scores like the fitted one, and its contributions add up to its log-odds, on every flight."""
+    model, loaded, rows, _ = fitted_model(t)
+    both = loaded.raw_score(model.score(rows, "p_fitted"), "p_raw")
+    both = loaded.score(both.withColumn("parts", loaded.contributions()))
+    total = F.aggregate("parts", F.lit(loaded.base), lambda a, e: a + e["contribution"])
+    return both.withColumn("z", total).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("p").between(0, 1)).alias("n_scored"),
+        F.count_if(~(F.abs(F.col("p") - F.col("p_fitted")) < 1e-12)).alias("n_reload_differs"),
+        F.count_if(~(F.abs(1 / (1 + F.exp(-F.col("z"))) - F.col("p_raw")) < 1e-9)).alias("n_not_explained"))
+
+
+@query("D2_input_contract")
+@shared
+def d2b(t):
+    """What the saved model takes: its features with the levels, fills and weights of the training window."""
+    return t.spark.createDataFrame([tuple(r.values()) for r in loaded_model(t).contract], R.CONTRACT)
+
+
+def model_answers(t):
+    store, _ = frozen_store(t)
+    return S.answer_requests(requests_of(t), store, clean_tables(t)["holiday_calendar"], loaded_model(t), STORED, THRESHOLD)
+
+
+@query("V4_model_answers")
+@shared
+def v4c(t):
+    """Every valid request answered by the saved model."""
+    return model_answers(t)[0].select(
+        "request_id", "flight", "route", "delay_probability", "risk_band", "recommend_intervention", "expected_delay_minutes",
+        F.transform("top_factors", lambda e: e["feature"]).alias("factors"), "explanation")
+
+
+@query("X1_model_importance")
+@shared
+def x1b(t):
+    model = loaded_model(t)
+    rows = fitted_model(t)[2].select(F.inline(model.contributions()))
+    return rows.groupBy("feature", "label").agg(F.avg(F.abs("contribution")).alias("importance"))
+
+
+@query("X5_model_examples", f"{MODEL_SQL} SELECT unnest(['highest_risk', 'lowest_risk', 'typical']) AS tag, 1::BIGINT AS n, TRUE AS has_reasons")
+@shared
+def x5b(t):
+    """The highest, the middle and the lowest flight by the model's score, with their reasons in words."""
+    model, rows = loaded_model(t), fitted_model(t)[2]
+    scored = settle(model.score(rows).withColumn("top", strongest(model.contributions(), 6)).select("flight_id", "p", "top"))
+    picked = scored.join(example_picks(scored, "p", "flight_id").drop("p"), "flight_id")
+    told = picked.withColumn("sentence", narrative(F.col("top"), F.col("p")))
+    return told.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.bool_and(
+        F.col("sentence").contains("Driven up by") | F.col("sentence").contains("Offset by")).alias("has_reasons"))
+
+
+@query("M9_adopted_calibration")
+@shared
+def m9c(t):
+    """Calibration errors on the judged half, and whether the saved model carries the calibration."""
+    _, loaded, _, choice = fitted_model(t)
+    return t.spark.createDataFrame([(float(choice.ece_raw), float(choice.ece_isotonic), loaded.calibrator is not None)],
+                                   "ece_raw DOUBLE, ece_isotonic DOUBLE, adopted BOOLEAN")
+
+
+# ---------------------------------------------------------------- a version per day
+RATED = ["carrier_delay_rate_7d", "carrier_volume_7d", "origin_delay_rate_7d", "origin_mean_delay_min_7d", "route_delay_rate_30d",
+         "route_popularity_30d", "carrier_origin_delay_rate_14d", "carrier_origin_volume_14d", "carrier_share_at_origin"]
+
+
+@once
+def daily_store(t):
+    clean, features = clean_tables(t), P.model_rows(all_features(t))
+    path = fresh_path(t.spark, "daily-store")
+    V.save_store(V.build_store(features, clean["airports"], clean["airlines"], clean["aircraft"], STORED, daily=True), path)
+    return V.load_store(t.spark, path), features
+
+
+@query("V3_stored_features_as_of", f"{MODEL_SQL} SELECT unnest({RATED}) AS feature, COUNT(*) AS n, 0::BIGINT AS n_mismatched FROM f")
+@shared
+def v3c(t):
+    """Rates, volumes and shares served as of each flight's day, against the batch, on all days."""
+    store, rows = daily_store(t)
+    batch = rows.select(F.col("flight_id").alias("request_id"), *[F.col(c).cast("double").alias(f"batch_{c}") for c in RATED])
+    online = S.featurize(flight_requests(rows), store, clean_tables(t)["holiday_calendar"], STORED)
+    return parity_counts(online.join(batch, "request_id"), RATED).drop("n_filled")
+
+
+@query("V1_carrier_versions", f"""{MODEL_SQL}, d AS (SELECT carrier_code, dep_local::DATE AS day, SUM((dep_ok >= 15)::INT) AS d, COUNT(*) AS n FROM f GROUP BY 1, 2),
+w AS (SELECT carrier_code, day, SUM(d) OVER w AS d, SUM(n) OVER w AS n FROM d WINDOW w AS (PARTITION BY carrier_code ORDER BY day RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING))
+SELECT carrier_code, day::VARCHAR AS day, ROUND(d / n, 6) AS carrier_delay_rate_7d, n::DOUBLE AS carrier_volume_7d FROM w""")
+@shared
+def v1b(t):
+    return daily_store(t)[0]["carrier"].select(
+        "carrier_code", F.col("date").cast("string").alias("day"), F.round("carrier_delay_rate_7d", 6).alias("carrier_delay_rate_7d"),
+        F.col("carrier_volume_7d").cast("double").alias("carrier_volume_7d"))
+
+
+@query("V1_latest_carrier_values", f"""{MODEL_SQL}, d AS (SELECT carrier_code, dep_local::DATE AS day, SUM((dep_ok >= 15)::INT) AS d, COUNT(*) AS n FROM f GROUP BY 1, 2),
+w AS (SELECT carrier_code, day, SUM(d) OVER w AS d, SUM(n) OVER w AS n FROM d WINDOW w AS (PARTITION BY carrier_code ORDER BY day RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING))
+SELECT carrier_code, ROUND(max_by(d / n, day), 6) AS carrier_delay_rate_7d, max_by(n, day)::DOUBLE AS carrier_volume_7d FROM w GROUP BY 1""")
+def v1c(t):
+    return frozen_store(t)[0]["carrier"].select("carrier_code", F.round("carrier_delay_rate_7d", 6).alias("carrier_delay_rate_7d"),
+                                                F.col("carrier_volume_7d").cast("double").alias("carrier_volume_7d"))
+
+
+# ---------------------------------------------------------------- nested requests as a stream
+BATCH_SIZE = 50
+
+
+def request_files(t):
+    """The requests as nested JSON batches, one per line; every thirteenth line is cut short."""
+    number = F.floor(F.col("request_id").cast("bigint") / BATCH_SIZE)
+    flights = requests_of(t).withColumn("number", number)
+    inside = F.struct(*[F.col(c) for c in flights.columns if c != "number"])
+    line = F.to_json(F.struct(
+        F.col("number").cast("string").alias("batch_id"), F.col("flights"), (F.col("number") % 4 + 1).cast("int").alias("top_n_reasons"),
+        F.when(F.col("number") % 2 == 0, 0.4).alias("threshold")))
+    whole = flights.groupBy("number").agg(F.array_sort(F.collect_list(inside)).alias("flights"))
+    path = fresh_path(t.spark, "request-files")
+    whole.select(F.when(F.col("number") % 13 == 12, F.substr(line, F.lit(1), F.length(line) - 2)).otherwise(line).alias("value")).repartition(
+        3, "value").write.text(path)
+    return path
+
+
+def answer_batch(t, batch):
+    """Answers of a micro-batch, and its rejects: unreadable batches and refused requests."""
+    store, _ = frozen_store(t)
+    opened, bad = S.open_batches(batch, THRESHOLD)
+    opened, bad = settle(opened), settle(bad)
+    good, refused = S.answer_requests(opened, store, clean_tables(t)["holiday_calendar"], loaded_model(t), STORED, F.col("limit"), F.col("n_reasons"))
+    answers = good.select("batch_id", "request_id", "p", "delay_probability", "recommend_intervention", "threshold",
+                          F.size("top_factors").alias("n_factors"))
+    rejects = bad.select(F.lit("batch").alias("what"), F.col("batch_id").alias("id"), "reasons").unionByName(
+        refused.select(F.lit("request").alias("what"), F.col("request_id").alias("id"), "reasons"))
+    return answers, rejects
+
+
+def streamed_answers(t, source, out, rejected, state):
+    stream = scoring.request_stream(t.spark, source, schema_of_batches(t), files_per_trigger=1)
+    scoring.answer_batches(stream, lambda batch: answer_batch(t, batch), out, rejected, state)
+
+
+def schema_of_batches(t):
+    return t.spark.createDataFrame([], schemas.REQUEST_BATCH).schema
+
+
+@query("V6_streamed_requests", """
+WITH x AS (SELECT event_id AS i, event_id // 50 AS number, value, (props::JSON->>'k')::INT AS k FROM events),
+v AS (SELECT *, i % 6 <> 5 AND i % 6 <> FLOOR(value)::BIGINT % 5 AND NOT (k > 80 AND (i % 2 = 0 OR i % 7 = 0)) AS valid FROM x)
+SELECT COUNT(*) FILTER (valid AND number % 13 <> 12) AS n_answered, COUNT(*) FILTER (NOT valid AND number % 13 <> 12) AS n_refused,
+ COUNT(DISTINCT number) FILTER (number % 13 = 12) AS n_unreadable, 0::BIGINT AS n_differ, 0::BIGINT AS n_twice,
+ (SUM(number % 4 + 1) FILTER (valid AND number % 13 <> 12))::BIGINT AS n_factors FROM v
+""")
+@shared
+def v6b(t):
+    """JSON batches as a file stream through validation, features, the saved model and answers; compared with V4 row by row.
+
+    The stream is run twice on one checkpoint: the restart finds nothing to do.
+    """
+    source, out, rejected, state = request_files(t), *[fresh_path(t.spark, n) for n in ("answers", "rejects", "answer-state")]
+    for _ in range(2):
+        streamed_answers(t, source, out, rejected, state)
+    answers, rejects = t.spark.read.parquet(out), t.spark.read.parquet(rejected)
+    direct = model_answers(t)[0].select("request_id", F.col("p").alias("p_direct"))
+    met = answers.join(direct, "request_id", "left").agg(
+        F.count(F.lit(1)).alias("n_answered"), F.count_if(~F.coalesce(F.abs(F.col("p") - F.col("p_direct")) < 1e-12, F.lit(False))).alias("n_differ"),
+        (F.count(F.lit(1)) - F.count_distinct("request_id")).alias("n_twice"), F.sum("n_factors").cast("bigint").alias("n_factors"))
+    refused = rejects.agg(F.count_if(F.col("what") == "request").alias("n_refused"), F.count_if(F.col("what") == "batch").alias("n_unreadable"))
+    return met.select("n_answered", refused.select("n_refused").scalar().alias("n_refused"),
+                      refused.select("n_unreadable").scalar().alias("n_unreadable"), "n_differ", "n_twice", "n_factors")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legwise.functions.text import default_label, display_value
+from legwise.operators.ordering import positions
 from legwise.operators.quantiles import exact_quantiles
 
 # Labels and units of the features shown to people.
@@ -74,27 +75,41 @@ def _labelled(feature: str) -> tuple[Column, Column]:
     return default_label(F.lit(feature)), F.lit("")
 
 
+def contribution(feature: str, value: Column | None, part: Column, text: Column | None = None) -> Column:
+    """One entry: a number shown in its unit, or a category's text."""
+    label, unit = _labelled(feature)
+    number = value if value is not None else F.lit(None).cast("double")
+    return F.struct(
+        F.lit(feature).alias("feature"), label.alias("label"), number.alias("value"),
+        (display_value(number, unit) if text is None else F.coalesce(text, F.lit("None"))).alias("display_value"),
+        part.alias("contribution"), F.when(part > 0, "increases risk").otherwise("reduces risk").alias("direction"))
+
+
 def linear_contributions(weights: dict[str, tuple[float, float]]) -> Column:
     """Array of contributions coefficient * (x - mean): exact for a linear score."""
     def entry(feature: str, coefficient: float, mean: float) -> Column:
-        label, unit = _labelled(feature)
         value = F.col(feature).cast("double")
-        part = F.coalesce(F.lit(float(coefficient)) * (value - F.lit(float(mean))), F.lit(0.0))
-        return F.struct(
-            F.lit(feature).alias("feature"), label.alias("label"), value.alias("value"),
-            display_value(value, unit).alias("display_value"), part.alias("contribution"),
-            F.when(part > 0, "increases risk").otherwise("reduces risk").alias("direction"))
+        return contribution(feature, value, F.coalesce(F.lit(float(coefficient)) * (value - F.lit(float(mean))), F.lit(0.0)))
 
     return F.array(*[entry(f, c, m) for f, (c, m) in weights.items()])
 
 
-def strongest(contributions: Column, n: int) -> Column:
+def strongest(contributions: Column, n: int | Column) -> Column:
     """The n entries with the largest absolute contribution, largest first."""
     keyed = F.transform(contributions, lambda c: F.struct(
         (-F.abs(c["contribution"])).alias("size"), c["feature"].alias("name"), c.alias("entry")))
     return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda k: k["entry"])
 
 
+def example_picks(df: DataFrame, score: str, key: str) -> DataFrame:
+    """(tag, key, score) of the highest, the middle and the lowest score; ties go by key."""
+    n = df.agg(F.count(F.lit(1))).scalar()
+    ranked = positions(df.select(key, score, (-F.col(score)).alias("_down")), ["_down", key], "_place")
+    tag = (F.when(F.col("_place") == 1, "highest_risk").when(F.col("_place") == n, "lowest_risk")
+           .when(F.col("_place") == F.floor(n / 2) + 1, "typical"))
+    return ranked.select(tag.alias("tag"), key, score).where(F.col("tag").isNotNull())
+
+
 def global_importance(df: DataFrame, contributions: str, features: list[str]) -> DataFrame:
     """Mean absolute contribution per feature, without unfolding the rows."""
     means = df.agg(*[

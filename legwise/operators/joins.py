@@ -28,6 +28,27 @@ def attach(fact: DataFrame, dim: DataFrame, fact_keys: list[str], dim_keys: list
     return fact.join(side, match, how).drop(*[f"_k{i}" for i in range(len(dim_keys))])
 
 
+def attach_as_of(fact: DataFrame, versions: DataFrame, fact_keys: list[str], version_keys: list[str],
+                 day: str, version_day: str, columns: dict[str, str]) -> DataFrame:
+    """Join that adds the latest version of a key at or before each row's day.
+
+    The days asked for and the days with a version stand in one table with a row per key and day, where the last version is
+    a running value. A key has no more rows there than the calendar has days, however many facts share it;
+    the facts then meet the result in an equi-join on key and day.
+    """
+    names = [f"_k{i}" for i in range(len(fact_keys))]
+    asked = fact.select(*[F.col(k).alias(n) for k, n in zip(fact_keys, names)], F.col(day).alias("_t")).dropna().distinct()
+    known = versions.select(*[F.col(k).alias(n) for k, n in zip(version_keys, names)], F.col(version_day).alias("_t"),
+                            F.struct(*columns).alias("_v")).dropna(subset=[*names, "_t"])
+    both = asked.withColumn("_asked", F.lit(1)).unionByName(known, allowMissingColumns=True).groupBy(*names, "_t").agg(
+        F.max("_asked").alias("_asked"), F.max("_v").alias("_v"))
+    upto = Window.partitionBy(*names).orderBy("_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_v", F.last("_v", ignorenulls=True).over(upto)).where("_asked = 1")
+    side = found.select(*names, "_t", *[F.col("_v")[c].alias(out) for c, out in columns.items()])
+    match = reduce(lambda a, b: a & b, [F.col(k) == F.col(n) for k, n in zip([*fact_keys, day], [*names, "_t"])])
+    return fact.join(side, match, "left").drop(*names, "_t")
+
+
 def attach_roles(fact: DataFrame, dim: DataFrame, dim_key: str,
                  roles: dict[str, str], columns: list[str]) -> DataFrame:
     """Join one dimension once per role: ``roles`` maps fact key to prefix."""

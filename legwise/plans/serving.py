@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from legwise.functions import clock, schedule, space, weather
 from legwise.functions.base import clip, count_where, flag
 from legwise.functions.text import code, expected_minutes, flight_label, narrative, risk_band
+from legwise.operators.calibration import as_column
 from legwise.operators.explanation import linear_contributions, strongest
-from legwise.operators.joins import attach, nearest_date_gap
+from legwise.operators.joins import attach, attach_as_of, nearest_date_gap
 from legwise.operators.quality import split_valid
 
 # Last-resort weather, block-time range, demand, and request limits.
@@ -64,6 +65,33 @@ def validate_requests(requests: DataFrame, airports: DataFrame) -> tuple[DataFra
     return good.drop("_o", "_d"), bad.drop("_o", "_d")
 
 
+# Limits of a batch of requests.
+BATCH_FLIGHTS, REASON_LIMITS, THRESHOLD_LIMITS = (1, 500), (1, 10), (0, 1)
+
+
+def open_batches(batches: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The requests of well-formed batches, one per row with their batch's settings, and the batches that are not.
+
+    A batch names its threshold and number of reasons or takes the defaults.
+    """
+    rules = {
+        "unreadable": F.col("_corrupt").isNotNull(),
+        "number of flights out of range": ~F.coalesce(F.size("flights"), F.lit(0)).between(*BATCH_FLIGHTS),
+        "top_n_reasons out of range": ~F.coalesce("top_n_reasons", F.lit(DEFAULT_REASONS)).between(*REASON_LIMITS),
+        "threshold out of range": ~F.coalesce("threshold", F.lit(float(threshold))).between(*THRESHOLD_LIMITS)}
+    good, bad = split_valid(batches, rules)
+    return good.select("batch_id", F.coalesce("threshold", F.lit(float(threshold))).alias("limit"),
+                       F.coalesce("top_n_reasons", F.lit(DEFAULT_REASONS)).alias("n_reasons"), F.inline("flights")), bad
+
+
+def answer_requests(requests: DataFrame, store: dict[str, DataFrame], holidays: DataFrame, model, columns: list[str],
+                    threshold: float | Column, reasons: int | Column = DEFAULT_REASONS) -> tuple[DataFrame, DataFrame]:
+    """Requests from validation to answers with a loaded model, and the rejected ones."""
+    good, bad = validate_requests(requests, store["airports"])
+    scored = model.score(featurize(good, store, holidays, columns))
+    return assess(scored, "p", threshold, model.contributions(), reasons), bad
+
+
 def _weather_at(side: str, normal: str) -> dict[str, Column]:
     """Measures of one end: request, then month normal, then a mild day."""
     def pick(measure: str) -> Column:
@@ -107,7 +135,11 @@ def featurize(requests: DataFrame, store: dict[str, DataFrame], holidays: DataFr
         "origin": (["origin"], ["origin"], ["origin_delay_rate_7d", "origin_mean_delay_min_7d"]),
     }
     for section, (keys, there, names) in stored.items():
-        r = attach(r, store[section], keys, there, {n: f"_s_{n}" for n in names})
+        named = {n: f"_s_{n}" for n in names}
+        if "date" in store[section].columns:  # a version per day
+            r = attach_as_of(r, store[section], keys, there, "_day", "date", named)
+        else:
+            r = attach(r, store[section], keys, there, named)
     gaps = nearest_date_gap(r, "_day", holidays.where(F.col("is_major_travel") == 1), "holiday_date")
     r = attach(r, gaps, ["_day"], ["_day"], {"days_from_major_holiday": "_gap"})
     default_names = [c for c in columns if c in store["defaults"].columns]
@@ -173,20 +205,25 @@ def featurize(requests: DataFrame, store: dict[str, DataFrame], holidays: DataFr
     return r.select(*keep, *[features[c].alias(c) for c in features])
 
 
-def assess(scored: DataFrame, probability: str, threshold: float,
-           weights: dict[str, tuple[float, float]] | None = None, reasons: int = DEFAULT_REASONS) -> DataFrame:
-    """Answer per flight: probability, band, advice, expected minutes, reasons, sentence."""
-    p = F.col(probability)
+def assess(scored: DataFrame, probability: str, threshold: float | Column,
+           weights: dict[str, tuple[float, float]] | Column | None = None, reasons: int | Column = DEFAULT_REASONS) -> DataFrame:
+    """Answer per flight: probability, band, advice, expected minutes, reasons, sentence.
+
+    The reasons come from the weights of a linear score or from a model's contributions; threshold and
+    number of reasons are the same for all flights or columns.
+    """
+    p, limit = F.col(probability), as_column(threshold)
     out = {
         "flight": flight_label(F.col("carrier_code"), F.col("flight_number")),
         "route": schedule.route_key(F.col("origin"), F.col("destination")),
-        "delay_probability": F.bround(p, 4), "risk_band": risk_band(p), "threshold": F.lit(threshold),
-        "recommend_intervention": p >= threshold,
+        "delay_probability": F.bround(p, 4), "risk_band": risk_band(p), "threshold": limit,
+        "recommend_intervention": p >= limit,
         "expected_delay_minutes": F.bround(expected_minutes(p), 1),
     }
     answered = scored.withColumns(out)
-    if weights:
-        answered = answered.withColumn("top_factors", strongest(linear_contributions(weights), reasons))
+    if weights is not None:
+        parts = linear_contributions(weights) if isinstance(weights, dict) else weights
+        answered = answered.withColumn("top_factors", strongest(parts, as_column(reasons)))
         answered = answered.withColumn("explanation", narrative(F.col("top_factors"), p))
     return answered
 

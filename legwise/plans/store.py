@@ -33,9 +33,14 @@ def defaults(features: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def build_store(features: DataFrame, airports: DataFrame, airlines: DataFrame, aircraft: DataFrame,
-                columns: list[str]) -> dict[str, DataFrame]:
-    """All sections; each carries the day it is valid for."""
-    sections = {name: latest_rows(features, keys, NEWEST, keep) for name, (keys, keep) in LATEST.items()}
+                columns: list[str], daily: bool = False) -> dict[str, DataFrame]:
+    """All sections; each carries the day it is valid for.
+
+    With ``daily`` the latest-state sections keep a version per key and ``date``, so that a request of any day
+    can be answered as of that day.
+    """
+    day = ["date"] if daily else []
+    sections = {name: latest_rows(features, [*keys, *day], NEWEST, keep) for name, (keys, keep) in LATEST.items()}
     sections["demand"] = typical_demand(
         features, ["origin", "day_of_week", "dep_hour"], "date",
         ["bank_pressure_3h", "origin_daily_departures"],

@@ -41,6 +41,8 @@ REQUEST = f"""
     origin_weather {OBSERVATION}, dest_weather {OBSERVATION}
 """
 
+REQUEST_BATCH = f"batch_id STRING, flights ARRAY<STRUCT<{REQUEST}>>, top_n_reasons INT, threshold DOUBLE, _corrupt STRING"
+
 RAW_TABLES = {
     "flights": FLIGHTS, "airports": AIRPORTS, "airlines": AIRLINES, "aircraft": AIRCRAFT,
     "weather_hourly": WEATHER, "holiday_calendar": HOLIDAYS,

@@ -38,6 +38,23 @@ def score_available(requests: DataFrame, score: Callable[[DataFrame], DataFrame]
     score_stream(requests, score, out, checkpoint, once=True).awaitTermination()
 
 
+def answer_batches(requests: DataFrame, answer: Callable[[DataFrame], tuple[DataFrame, DataFrame]], out: str,
+                   rejected: str, checkpoint: str) -> None:
+    """Answer everything that has arrived, and put what cannot be answered into a quarantine, then stop.
+
+    ``answer`` splits a batch into answers and rejects. Each batch owns a folder in either sink, and writing it
+    again replaces it, so a batch that is repeated after a failure adds nothing twice.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        good, bad = answer(batch)
+        good.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+
+    query = (requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
 def score_batches(requests: DataFrame, score: Callable[[DataFrame], DataFrame], out: str,
                   checkpoint: str) -> None:
     """As ``score_available`` for plans that need whole batches (scalars, settled tables).
