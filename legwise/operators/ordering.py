@@ -1,72 +1,30 @@
 """Work along one global order without sending the table to one task.
 
-A window without PARTITION BY puts every row in a single task. Here the order is
-cut into slots at literal cut points, slot totals (a handful of rows) give each
-slot its starting offset, and the exact running value is computed per slot.
-
-The input is written once and read for each step. The number of slots follows from
-its row count. The cut points are quantiles of the leading key from a mergeable
-sketch, so one row comes back whatever the number of input partitions; a value that
-several quantiles hit is cut again along the next key, if that is a number or a time.
+A window without PARTITION BY puts every row in a single task. Here Spark's range partitioner
+arranges the rows in slots of the order, each row carries the number of its slot, slot totals (one row per
+slot) give each slot its starting offset, and the exact running value is computed per slot.
+
+The input is written once, arranged and written again with the slot numbers, so that every later step
+sees the same slots. Their number follows the row count; no cut point is in any plan. A value that many
+rows share is cut along the next key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
 
 from legwise.session import settle
 
 SLOT_ROWS = 200_000
-LEAST_ACCURACY = 10_000
 HOT_SHARE = 1000
 
 
-def _quantiles(key: str, parts: int) -> Column:
-    """Values that cut the key into ``parts`` nearly equal parts."""
-    places = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    return F.percentile_approx(key, places, max(LEAST_ACCURACY, 10 * parts))
-
-
-def _cut_points(df: DataFrame, keys: list[str], slots: int) -> list[tuple]:
-    """Keys at which slots begin; NULL in a later key stands before all its values."""
+def in_slots(df: DataFrame, keys: list[str], slots: int) -> DataFrame:
+    """The rows with ``_slot``: all keys of a slot come before those of the next one."""
     if slots <= 1:
-        return []
-    lead, rest = keys[0], (None,) * (len(keys) - 1)
-    found = df.agg(_quantiles(lead, slots).alias("q")).first()["q"] or []
-    cuts = {(v, *rest) for v in found}
-    shares = {v: found.count(v) for v in set(found)}
-    hot = [v for v, n in shares.items() if n > 1]
-    if hot and len(keys) > 1 and not isinstance(df.schema[keys[1]].dataType, (StringType, BinaryType)):
-        # at most ``slots`` values are hot, and together they are cut into at most as many parts
-        most = max(shares.values()) + 1
-        inner = df.where(F.col(lead).isin(hot)).groupBy(lead).agg(_quantiles(keys[1], most).alias("q"))
-        for row in inner.collect():
-            cuts |= {(row[lead], v, *rest[1:]) for v in row["q"] or []}
-    return sorted(cuts, key=lambda cut: tuple((v is not None, v if v is not None else 0) for v in cut))
-
-
-def _slot_of(df: DataFrame, keys: list[str], cuts: list[tuple]) -> Column:
-    """Number of cut points at or below the row's key, by binary search."""
-    if not cuts:
-        return F.lit(0)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    key = F.struct(*[F.col(k).alias(k) for k in keys])
-    points = F.array(*[
-        F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, cut)]) for cut in cuts
-    ])
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
-
-    def search(bound: Column) -> Column:
-        def advance(found: Column, step: Column) -> Column:
-            ahead = found + step
-            return F.when((ahead <= len(cuts)) & (bound >= F.get(points, ahead - 1)), ahead).otherwise(found)
-
-        return F.aggregate(steps, F.lit(0), advance)
-
-    # binding the key to a variable keeps it from being computed at every step
-    return F.get(F.transform(F.array(key), search), F.lit(0))
+        return df.withColumn("_slot", F.lit(0))
+    return settle(df.repartitionByRange(slots, *keys).withColumn("_slot", F.spark_partition_id()))
 
 
 def running_totals(df: DataFrame, keys: list[str], totals: dict[str, Column],
@@ -79,7 +37,7 @@ def running_totals(df: DataFrame, keys: list[str], totals: dict[str, Column],
     grand = grand or {}
     valued = settle(df.withColumns({f"_v_{name}": expr for name, expr in totals.items()}))
     slots = slots or -(-valued.count() // SLOT_ROWS)
-    marked = valued.withColumn("_slot", _slot_of(valued, keys, _cut_points(valued, keys, slots)))
+    marked = in_slots(valued, keys, slots)
     before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         marked.groupBy("_slot")

@@ -1,8 +1,10 @@
-"""Exact interpolated quantiles in two narrow passes, whole groups and hot groups alike.
+"""Exact interpolated quantiles in narrow passes, whole groups and hot groups alike.
 
 The built-in exact percentile keeps every distinct value of a group in one task. Here a
 mergeable sketch first brackets each wanted position; the error of the sketch is bounded,
-so a bracket holds a small share of the group's values. The second pass counts, with
+so a bracket holds a small share of the group's values. While a bracket still holds more distinct values than
+``MOST_VALUES``, another pass counts the rows below it and sketches those inside it, which narrows it by the
+same factor; a bracket of one value is narrow however many rows share it. The last pass counts, with
 partial sums before the shuffle, what lies below each bracket, and only the distinct values
 inside it are ordered. Rows are neither shuffled as they are nor unfolded by column.
 """
@@ -18,6 +20,7 @@ from legwise.session import settle
 
 ACCURACY = 10_000
 MARGIN = 3 / ACCURACY
+MOST_VALUES = 100_000
 ALL = "_all"
 
 
@@ -30,8 +33,36 @@ def _bracketed(rows: DataFrame, keys: list[str], values: list[str], wanted: list
     return rows.groupBy(*keys).agg(*[F.count(v).alias(f"_n_{v}") for v in values], *ends)
 
 
+def _narrowed(rows: DataFrame, keys: list[str], brackets: DataFrame, wanted: list[tuple[str, str, float]], most: int) -> DataFrame:
+    """The brackets, narrowed around their positions until none holds more than about ``most`` distinct values."""
+    while True:
+        placed = rows.join(brackets, keys)
+        spots = [(i, F.col(x), F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i, (_, x, _) in enumerate(wanted)]
+        inside = [F.when((x >= lo) & (x <= hi), x) for _, x, lo, hi in spots]
+        facts = settle(placed.groupBy(*keys).agg(*[c for (i, x, lo, _), v in zip(spots, inside) for c in (
+            F.approx_count_distinct(v).alias(f"_d{i}"), F.count_if(x < lo).alias(f"_b{i}"), F.count(v).alias(f"_c{i}"))]))
+        widest = facts.agg(F.max(F.greatest(*[F.col(f"_d{i}") for i in range(len(wanted))], F.lit(0)))).first()[0] or 0
+        if widest <= most:
+            return brackets
+        # places of the wanted positions among the values inside, as steps of a fixed grid of quantiles
+        grid = F.array(*[F.lit(j / ACCURACY) for j in range(0, ACCURACY + 1, 50)])
+        points = placed.groupBy(*keys).agg(*[F.percentile_approx(v, grid, ACCURACY).alias(f"_g{i}") for i, v in enumerate(inside)])
+        cells = ACCURACY // 50
+        met = brackets.join(facts, keys).join(points, keys)
+        ends = []
+        for i, (_, x, p) in enumerate(wanted):
+            spot = (F.col(f"_n_{x}") - 1) * F.lit(float(p)) - F.col(f"_b{i}")
+            place = spot / F.greatest(F.col(f"_c{i}"), F.lit(1)) * cells
+            at = lambda c, i=i: F.get(F.col(f"_g{i}"), F.greatest(F.lit(0), F.least(F.lit(cells), c)).cast("int"))
+            wide = F.col(f"_d{i}") > most
+            ends += [F.when(wide, F.coalesce(at(F.floor(place) - 1), F.col(f"_lo{i}"))).otherwise(F.col(f"_lo{i}")).alias(f"_lo{i}"),
+                     F.when(wide, F.coalesce(at(F.ceil(place) + 1), F.col(f"_hi{i}"))).otherwise(F.col(f"_hi{i}")).alias(f"_hi{i}")]
+        counts = [c for c in brackets.columns if c.startswith("_n_")]
+        brackets = settle(met.select(*keys, *counts, *ends))
+
+
 def _quantiles(df: DataFrame, keys: list[str], values: dict[str, Column],
-               wanted: list[tuple[str, str, float]]) -> DataFrame:
+               wanted: list[tuple[str, str, float]], most: int = MOST_VALUES) -> DataFrame:
     """Exact quantiles (name, value, probability) of every group that has a value."""
     group = keys or [ALL]
     named = {v: f"_x{i}" for i, v in enumerate(values)}
@@ -42,6 +73,9 @@ def _quantiles(df: DataFrame, keys: list[str], values: dict[str, Column],
     rows = rows.select(*group, *[values[v].cast("double").alias(x) for v, x in named.items()])
     rows = settle(reduce(lambda a, k: a.where(F.col(k).isNotNull()), group, rows.where(present)))
     brackets = settle(_bracketed(rows, group, columns, wanted))
+    # a bracket holds at most a few thousandths of the rows, so small tables need no further look
+    if rows.count() * 2 * MARGIN > most:
+        brackets = _narrowed(rows, group, brackets, wanted, most)
     placed = rows.join(brackets, group)
     spots = [(F.col(x), F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i, (_, x, _) in enumerate(wanted)]
     around = placed.groupBy(*group).agg(*[c for i, (x, lo, hi) in enumerate(spots) for c in (
@@ -77,13 +111,13 @@ def _quantiles(df: DataFrame, keys: list[str], values: dict[str, Column],
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: Column,
-                    probabilities: dict[str, float]) -> DataFrame:
+                    probabilities: dict[str, float], most: int = MOST_VALUES) -> DataFrame:
     """One row per key with the linearly interpolated quantiles of ``value``.
 
     NULL keys and NULL values are left out. Without keys the result has one row, or none if
     there is no value.
     """
-    return _quantiles(df, keys, {"value": value}, [(name, "value", p) for name, p in probabilities.items()])
+    return _quantiles(df, keys, {"value": value}, [(name, "value", p) for name, p in probabilities.items()], most)
 
 
 def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

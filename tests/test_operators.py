@@ -30,8 +30,7 @@ def test_running_totals_with_a_hot_tie(spark, slots):
 
 def test_hot_ties_are_split_over_slots(spark):
     df = spark.range(3000).select(F.lit(0.5).alias("s"), "id")
-    cuts = ordering._cut_points(df, ["s", "id"], 8)
-    slots = df.groupBy(ordering._slot_of(df, ["s", "id"], cuts).alias("slot")).count().collect()
+    slots = ordering.in_slots(df, ["s", "id"], 8).groupBy(F.col("_slot").alias("slot")).count().collect()
     assert len(slots) == 8 and max(r["count"] for r in slots) < 3000 / 3
 
 
@@ -251,19 +250,17 @@ def test_slots_split_hot_values(spark):
     rng = random.Random(9)
     data = [(i, 0.5 if i % 2 else rng.random()) for i in range(4000)]
     df = spark.createDataFrame(data, "id BIGINT, score DOUBLE")
-    cuts = ordering._cut_points(df, ["score", "id"], 16)
-    assert sum(c[0] == 0.5 for c in cuts) > 4
-    slot = ordering._slot_of(df, ["score", "id"], cuts)
-    assert df.groupBy(slot.alias("s")).count().agg({"count": "max"}).first()[0] < 600
+    sizes = [r["count"] for r in ordering.in_slots(df, ["score", "id"], 16).groupBy("_slot").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 800
     got = ordering.running_totals(df, ["score", "id"], {"place": F.lit(1)}, slots=16).collect()
     want = {i: n + 1 for n, (i, _) in enumerate(sorted(data, key=lambda r: (r[1], r[0])))}
     assert {r["id"]: r["place"] for r in got} == want
 
 
-def test_cut_points_do_not_grow_with_partitions(spark):
-    for parts in (2, 40):
-        df = spark.range(20_000).repartition(parts).withColumn("score", F.rand(1))
-        assert len(ordering._cut_points(df, ["score", "id"], 8)) <= 8
+def test_the_plan_does_not_grow_with_the_slots(spark):
+    df = spark.range(20_000).repartition(40).withColumn("score", F.rand(1))
+    plans = [ordering.running_totals(df, ["score", "id"], {"place": F.lit(1)}, slots=n)._jdf.queryExecution().toString() for n in (4, 400)]
+    assert abs(len(plans[0]) - len(plans[1])) < 200
 
 
 @pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (31_536_000.0, 1.7e9)])
@@ -279,6 +276,22 @@ def test_brackets_are_narrow(spark, scale, shift):
     assert list(got) == pytest.approx(np.quantile(values, [0, 0.25, 0.5, 0.9, 1.0]).tolist(), rel=1e-12)
 
 
+def test_brackets_are_narrowed_to_a_bound(spark):
+    """Ten million distinct values in skewed groups with ties, and a bound of 500 values to order."""
+    df = spark.range(10_000_000).select((F.col("id") % 3 == 0).cast("int").alias("g"), F.when(
+        F.col("id") % 5 == 0, F.lit(0.25)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1 << 50)) / float(1 << 50)).alias("v"))
+    rows = df.select("g", F.col("v").alias("_x0"))
+    wanted = [("a", "_x0", 0.001), ("b", "_x0", 0.5), ("c", "_x0", 0.9999)]
+    brackets = quantiles._narrowed(rows, ["g"], quantiles._bracketed(rows, ["g"], ["_x0"], wanted), wanted, 500)
+    held = rows.join(brackets, "g").groupBy("g").agg(*[F.approx_count_distinct(
+        F.when(F.col("_x0").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), F.col("_x0"))).alias(f"d{i}") for i in range(3)]).collect()
+    assert all(0 < n <= 550 for r in held for n in tuple(r)[1:])
+    got = {r["g"]: tuple(r)[1:] for r in quantiles.exact_quantiles(df, ["g"], F.col("v"), {"a": 0.001, "b": 0.5, "c": 0.9999}, 500).collect()}
+    pdf = df.toPandas()
+    for g in (0, 1):
+        assert got[g] == pytest.approx(np.quantile(pdf[pdf.g == g].v.to_numpy(), [0.001, 0.5, 0.9999]).tolist(), rel=1e-12)
+
+
 def test_quantiles_of_small_and_tied_groups(spark):
     rng = random.Random(2)
     data = [(g, float(rng.choice([1, 1, 1, 2, 5, 7])) if rng.random() > 0.1 else None) for g in range(12) for _ in range(g)]
