@@ -10,7 +10,8 @@ every page of the host.
 
 Two rules stand beside the entropies, because menus or adverts may also vary from page
 to page. Nodes that declare their part by tag, role or class (navigation, footer, advert,
-comments, ...) have importance zero; and nodes inside an article or main part have
+comments, ...) have importance zero, but a word of class, id or role decides nothing for the page's largest article or
+main part and what holds it; and nodes inside an article or main part have
 ``MARKED`` times their importance, so only what is nearly the same on every page goes there.
 What lies outside such a part stays if the tree finds it important. If nothing is left of
 a page, the branches removed for low importance come back, those of the marked part first.
@@ -29,7 +30,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -67,6 +68,8 @@ CLOSED_BY = {
     "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
     "option": frozenset(["option"]), "tbody": frozenset(["tr", "td", "th", "thead", "tbody"]),
 }
+#: Their id is an anchor of the text, not a part of the page.
+TEXT_LEVEL = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6".split())
 SCOPE = frozenset("ul ol dl table article section main div body html".split())
 
 #: Words in class, id and role that declare a part that is not the article.
@@ -81,7 +84,7 @@ HEADER_WORDS = frozenset("header headers".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 NAME = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -94,6 +97,7 @@ class Node:
     tag: str
     label: str = ""
     declared: bool = False
+    by_tag: bool = False
     children: list = field(default_factory=list)
     path: int = 0
 
@@ -103,7 +107,8 @@ def _describe(tag: str, attributes: str) -> tuple[str, bool]:
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return tag, tag in NOT_CONTENT
     found = {k.lower(): html.unescape((v or "").strip("\"'")).lower() for k, v in ATTRIBUTE.findall(attributes)}
-    names = NAME.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")))
+    places = ("class", "role") if tag in TEXT_LEVEL else ("class", "id", "role")
+    names = NAME.findall(" ".join(found.get(k, "") for k in places))
     away = (tag in NOT_CONTENT or any(n in NOT_CONTENT_WORDS for n in names) or "hidden" in found
             or found.get("aria-hidden") == "true" or bool(HIDDEN.search(found.get("style", ""))))
     if any(n in HEADER_WORDS for n in names):
@@ -117,8 +122,10 @@ def parse(page: str | None) -> Node:
     """The element tree of a page."""
     root = Node("#page", "#page")
     stack = [root]
+    opened: Counter[str] = Counter()
 
     def close_to(depth: int) -> None:
+        opened.subtract(n.tag for n in stack[depth:])
         del stack[depth:]
 
     at, page = 0, page or ""
@@ -136,20 +143,22 @@ def parse(page: str | None) -> Node:
                 stack[-1].children.append(hit.group()[9:].removesuffix("]]>"))
             continue
         if hit.group(1):
+            if not opened[tag]:  # a stray one
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     close_to(depth)
                     break
             continue
         closing = CLOSED_BY.get(tag, frozenset()) | (frozenset(["p"]) if tag in CLOSES_P else frozenset())
-        for depth in range(len(stack) - 1, 0, -1):
+        for depth in range(len(stack) - 1, 0, -1) if any(opened[c] for c in closing) else ():
             if stack[depth].tag in closing:
                 close_to(depth)
                 break
             if stack[depth].tag in SCOPE:
                 break
         label, declared = _describe(tag, hit.group(3))
-        node = Node(tag, label, declared)
+        node = Node(tag, label, declared, tag in NOT_CONTENT)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}\\s*>|$", re.I).search(page, at)
@@ -157,9 +166,34 @@ def parse(page: str | None) -> Node:
             at = end.end()
         elif tag not in VOID and not hit.group(3).rstrip().endswith("/"):
             stack.append(node)
+            opened[tag] += 1
+    _free_largest_main(root)
     return root
 
 
+def _free_largest_main(root: Node) -> None:
+    """Words do not declare away the article or main part with the most text, nor what holds it."""
+    order: list[tuple[Node, Node | None, bool]] = []
+    todo: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
+    while todo:
+        node, parent, away = todo.pop()
+        away = away or node.by_tag
+        order.append((node, parent, away))
+        todo += [(c, node, away) for c in node.children if isinstance(c, Node)]
+    size, above = Counter(), {}
+    for node, parent, away in reversed(order):
+        above[id(node)] = parent
+        if not away:
+            size[id(node)] += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+            if parent is not None:
+                size[id(parent)] += size[id(node)]
+    mains = [n for n, _, away in order if n.tag in MAIN and not away]
+    node = max(mains, key=lambda n: size[id(n)], default=None)
+    while node is not None:
+        node.declared = node.by_tag
+        node = above[id(node)]
+
+
 def _paths(root: Node) -> Iterator[tuple[Node, Node | None]]:
     """Elements with their parents, parents first, each with its path hash; no recursion, so depth is no matter."""
     root.path = 1

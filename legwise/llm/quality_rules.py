@@ -2,10 +2,10 @@
 
 Every text gets exact counts, and from them four integer rates. The rates of a
 (language, source) group are summarised by quantile sketches: counts over bins of
-equal width, which merge by addition, so a group is summed before any shuffle and a
-small group can borrow the merged sketch of its language, or of all rows. A rule's limit is
-the group's median and ``WIDTH`` times the distance between its quartiles, at least
-``LEAST`` bins, so that a group of equal texts does not turn away its neighbours.
+equal width, which merge by addition, so a group is summed before any shuffle. To each group's
+sketch those of its language and of all rows are added, each with the weight of ``PRIOR_DOCS`` texts, which steadies small
+groups and fades in large ones. Most texts have a rate of zero, so the limit is read off the rest: its
+median and ``WIDTH`` times the distance between its quartiles, at least a bin.
 
 DataFrame functions only. The repeated windows of a text are found by sorting its
 window hashes inside the row: no word leaves its row.
@@ -30,10 +30,11 @@ RATES = {
     "repeat_rate": ("n_repeat_words", "n_words", 1000, (1,)),
     "word_length": ("word_chars", "n_words", 10, (1, -1)),
 }
-LEAST = {"symbol_rate": 10, "line_rate": 100, "repeat_rate": 50, "word_length": 5}
 WIDTH = 6
 TOP_BIN = 2000
-GROUP_DOCS = 50
+PRIOR_DOCS = 50
+#: One text in the fixed-point weights of the merged sketch.
+UNIT = 1_000_000
 MIN_WORDS = 50
 MOST_REPEATED = 50
 
@@ -86,39 +87,44 @@ def sketches(binned: DataFrame) -> DataFrame:
         F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """docs and the bins of the quartiles of each group of a sketch."""
+def _shares(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Weights of the bins of each group of a sketch, ``PRIOR_DOCS`` texts in all."""
     merged = sketch.groupBy(*keys, "rate", "bin").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "rate")  # at most TOP_BIN + 1 rows
-    upto = merged.withColumn("docs", F.sum("n").over(group)).withColumn(
-        "upto", F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-    return upto.groupBy(*keys, "rate").agg(F.first("docs").alias("docs"), *[
-        F.min(F.when(F.col("upto") * 4 >= F.col("docs") * q, F.col("bin"))).alias(f"q{q}") for q in (1, 2, 3)])
+    docs = F.sum("n").over(Window.partitionBy(*keys, "rate"))  # at most TOP_BIN + 1 rows
+    return merged.select(*keys, "rate", "bin", F.floor(F.col("n") / docs * (PRIOR_DOCS * UNIT)).cast("bigint").alias("w"))
+
+
+def merged_sketches(sketch: DataFrame) -> DataFrame:
+    """(lang, source, rate, bin, w): each group's sketch with those of its language and of all rows."""
+    columns = ["lang", "source", "rate", "bin", "w"]
+    own = sketch.select("lang", "source", "rate", "bin", (F.col("n") * UNIT).alias("w"))
+    groups = sketch.select("lang", "source").distinct()
+    tongue, whole = _shares(sketch, ["lang"]).withColumnRenamed("lang", "of"), _shares(sketch, [])
+    lent = groups.join(tongue, F.col("lang").eqNullSafe(F.col("of"))).select(*columns)
+    # every group takes all bins of the whole, at most (TOP_BIN + 1) x rates
+    bins = whole.agg(F.collect_list(F.struct("rate", "bin", "w")).alias("b"))
+    common = groups.withColumn("b", bins.scalar()).select("lang", "source", F.inline("b")).select(*columns)
+    return own.unionByName(lent).unionByName(common).groupBy("lang", "source", "rate", "bin").agg(F.sum("w").alias("w"))
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """(lang, source) and the highest and lowest allowed bin of each rate.
-
-    A group with fewer than ``GROUP_DOCS`` texts takes the limits of its language, a small
-    language those of all rows.
-    """
-    own, tongue, whole = (_quartiles(sketch, k) for k in (["lang", "source"], ["lang"], []))
-    named = own.alias("o").join(
-        tongue.alias("t"), F.col("o.lang").eqNullSafe(F.col("t.lang")) & (F.col("o.rate") == F.col("t.rate"))
-    ).join(whole.alias("w"), F.col("o.rate") == F.col("w.rate"))
-
-    def pick(name: str) -> Column:
-        return F.when(F.col("o.docs") >= GROUP_DOCS, F.col(f"o.{name}")).when(
-            F.col("t.docs") >= GROUP_DOCS, F.col(f"t.{name}")).otherwise(F.col(f"w.{name}"))
-
-    least = F.coalesce(*[F.when(F.col("rate") == r, F.lit(n)) for r, n in LEAST.items()])
-    spread = named.select(
-        F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), F.col("o.rate").alias("rate"),
-        pick("q2").alias("middle"), (pick("q3") - pick("q1")).alias("width"))
-    reach = F.lit(WIDTH) * F.greatest("width", least)
-    return spread.groupBy("lang", "source").agg(*[
-        F.max(F.when(F.col("rate") == r, F.col("middle") + sign * reach)).alias(f"{r}_{'high' if sign > 0 else 'low'}")
+    """(lang, source) and the highest and lowest allowed bin of each rate."""
+    keys = ["lang", "source", "rate"]
+    group = Window.partitionBy(*keys)  # at most TOP_BIN rows
+    upto = merged_sketches(sketch).where(F.col("bin") > 0).withColumn("all", F.sum("w").over(group)).withColumn(
+        "upto", F.sum("w").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+    quartiles = upto.groupBy(*keys).agg(*[
+        F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bin"))).alias(f"q{q}") for q in (1, 2, 3)])
+    reach = F.lit(WIDTH) * F.greatest(F.col("q3") - F.col("q1"), F.lit(1))
+    found = quartiles.groupBy("lang", "source").agg(*[
+        F.max(F.when(F.col("rate") == r, F.col("q2") + sign * reach)).alias(f"{r}_{'high' if sign > 0 else 'low'}")
         for r, (*_, signs) in RATES.items() for sign in signs])
+    # a rate that is zero in all rows
+    none = {f"{r}_high": F.coalesce(F.col(f"{r}_high"), F.lit(WIDTH)) for r in RATES}
+    groups = sketch.select(F.col("lang").alias("l"), F.col("source").alias("s")).distinct()
+    return groups.join(found, F.col("l").eqNullSafe(F.col("lang")) & F.col("s").eqNullSafe(F.col("source")), "left").withColumns(
+        none | {"word_length_low": F.coalesce("word_length_low", F.lit(-WIDTH))}).drop("lang", "source").withColumnsRenamed(
+        {"l": "lang", "s": "source"})
 
 
 def judge(docs: DataFrame) -> DataFrame:

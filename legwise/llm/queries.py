@@ -153,21 +153,28 @@ binned AS (
 rates AS (
   SELECT lang, source, unnest(['symbol_rate', 'line_rate', 'repeat_rate', 'word_length']) AS rate,
     unnest([symbol_rate, line_rate, repeat_rate, word_length]) AS bin FROM binned),
-own AS (SELECT lang, source, rate, count(*) AS docs, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2,
-        quantile_disc(bin, 0.75) AS q3 FROM rates GROUP BY ALL),
-tongue AS (SELECT lang, rate, count(*) AS docs, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2,
-           quantile_disc(bin, 0.75) AS q3 FROM rates GROUP BY ALL),
-whole AS (SELECT rate, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2,
-          quantile_disc(bin, 0.75) AS q3 FROM rates GROUP BY ALL),
-picked AS (
-  SELECT o.lang, o.source, o.rate,
-    CASE WHEN o.docs >= 50 THEN o.q1 WHEN t.docs >= 50 THEN t.q1 ELSE w.q1 END AS q1,
-    CASE WHEN o.docs >= 50 THEN o.q2 WHEN t.docs >= 50 THEN t.q2 ELSE w.q2 END AS q2,
-    CASE WHEN o.docs >= 50 THEN o.q3 WHEN t.docs >= 50 THEN t.q3 ELSE w.q3 END AS q3
-  FROM own o JOIN tongue t ON o.lang IS NOT DISTINCT FROM t.lang AND o.rate = t.rate JOIN whole w ON o.rate = w.rate),
+sketch AS (SELECT lang, source, rate, bin, count(*) AS n FROM rates GROUP BY ALL),
+tongue AS (SELECT lang, rate, bin, sum(n) AS n FROM sketch GROUP BY ALL),
+whole AS (SELECT rate, bin, sum(n) AS n FROM sketch GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM sketch),
+merged AS (
+  SELECT lang, source, rate, bin, n * 1000000 AS w FROM sketch
+  UNION ALL SELECT g.lang, g.source, rate, bin, w FROM groups g JOIN (
+    SELECT lang, rate, bin, floor(n::DOUBLE / sum(n) OVER (PARTITION BY lang, rate)::DOUBLE * 50000000)::BIGINT AS w FROM tongue) t
+    ON g.lang IS NOT DISTINCT FROM t.lang
+  UNION ALL SELECT g.lang, g.source, rate, bin, w FROM groups g, (
+    SELECT rate, bin, floor(n::DOUBLE / sum(n) OVER (PARTITION BY rate)::DOUBLE * 50000000)::BIGINT AS w FROM whole)),
+upto AS (
+  SELECT lang, source, rate, bin, sum(w) OVER g AS u, sum(w) OVER (PARTITION BY lang, source, rate) AS t
+  FROM (SELECT lang, source, rate, bin, sum(w) AS w FROM merged WHERE bin > 0 GROUP BY ALL)
+  WINDOW g AS (PARTITION BY lang, source, rate ORDER BY bin)),
+quartiles AS (
+  SELECT lang, source, rate, min(bin) FILTER (4 * u >= t) AS q1, min(bin) FILTER (4 * u >= 2 * t) AS q2,
+    min(bin) FILTER (4 * u >= 3 * t) AS q3 FROM upto GROUP BY ALL),
 bounds AS (
-  SELECT lang, source, rate, q2, 6 * greatest(q3 - q1, CASE rate WHEN 'symbol_rate' THEN 10 WHEN 'line_rate' THEN 100
-    WHEN 'repeat_rate' THEN 50 ELSE 5 END) AS reach FROM picked),
+  SELECT g.lang, g.source, r.rate, coalesce(q2, 0) AS q2, 6 * greatest(coalesce(q3 - q1, 0), 1) AS reach
+  FROM groups g CROSS JOIN (SELECT unnest(['symbol_rate', 'line_rate', 'repeat_rate', 'word_length']) AS rate) r
+  LEFT JOIN quartiles q ON g.lang IS NOT DISTINCT FROM q.lang AND g.source IS NOT DISTINCT FROM q.source AND r.rate = q.rate),
 pairs AS (
   SELECT r, lang, source, unnest(['symbol_rate', 'line_rate', 'repeat_rate', 'word_length']) AS rate,
     unnest([symbol_rate, line_rate, repeat_rate, word_length]) AS bin FROM binned),

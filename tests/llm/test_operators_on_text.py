@@ -107,6 +107,10 @@ def test_page_text_parts():
     assert page_text.main_text(page) == "T & x one twothree four i j"
     assert page_text.main_text("<nav>a</nav><article><h1>H</h1><p>b&nbsp; c<aside>d</aside></article><p>e") == "H b c"
     assert page_text.main_text(None) == page_text.main_text("") == ""
+    for page in ('<div class="content has-sidebar"><nav>n</nav><article>Text</article></div>', '<main class="page with-sidebar">Text</main>',
+                 '<article class="post share-enabled">Text</article>', '<article><p id="related-work">Text</p></article>',
+                 '<article>Text<div id="comments">no</div></article><div class="sidebar"><article>x</article></div>'):
+        assert page_text.main_text(page) == "Text"
     assert page_text.main_text("no tags &lt;here&gt;") == "no tags <here>"
     assert page_text.main_text("<div>" * 5000 + "deep") == "deep"
 
@@ -216,6 +220,15 @@ def test_search(spark):
     assert binary_search.search(few, few, k=10).count() == 9
 
 
+def test_hostile_pages_take_no_square_of_their_length():
+    import time
+
+    started = time.time()
+    assert page_text.main_text("<i>" * 20_000 + "x" + "</b>" * 20_000) == "x"
+    assert page_text.main_text("<a x=" + "y" * 3_000_000 + ">t") == "t"
+    assert time.time() - started < 5
+
+
 # ---------------------------------------------------------------- quality
 def slow_counts(text):
     text = text or ""
@@ -237,10 +250,24 @@ def test_quality_counts(odd, docs, empty):
 
 
 def test_quality_limits_follow_the_group(spark):
+    """The same text is kept where symbols are common and turned away where they are rare."""
     plain = " ".join(f"w{i}" for i in range(80))
-    data = [(i, f"{plain} {i}", "en", "a") for i in range(60)] + [(99, "# " * 70 + plain, "en", "a")]
-    got = quality_rules.judge(rows(spark, data, "doc_id bigint, text string, lang string, source string")).collect()
-    assert {r.doc_id for r in got if not r.kept} == {99}
+    data = [(1000 * g + i, f"{plain} {i} " + "#" * (i % 4 * (1 + 20 * g)), "en", "ab"[g]) for g in (0, 1) for i in range(200)]
+    data += [(5000 + g, plain + " #" * 60, "en", "ab"[g]) for g in (0, 1)]
+    made = rows(spark, data, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality_rules.judge(made).collect()}
+    assert [d for d, kept in got.items() if not kept] == [5000]
+    found = {r.source: r.symbol_rate_high for r in quality_rules.limits(
+        quality_rules.sketches(quality_rules._bins(quality_rules.measure(made)))).collect()}
+    assert found["b"] > 2 * found["a"]
+
+
+def test_quality_sketch_takes_parents_with_a_fixed_weight(spark):
+    sketch = rows(spark, [("en", "a", "line_rate", 5, 200), ("en", "b", "line_rate", 9, 600), ("de", "a", "line_rate", 1, 200)],
+                  "lang string, source string, rate string, bin int, n bigint")
+    got = {(r.lang, r.source, r.bin): r.w / quality_rules.UNIT for r in quality_rules.merged_sketches(sketch).collect()}
+    assert got[("en", "a", 5)] == 200 + 50 * 0.25 + 50 * 0.2 and got[("en", "a", 9)] == 50 * 0.75 + 50 * 0.6
+    assert got[("de", "a", 1)] == 200 + 50 + 50 * 0.2 and len(got) == 9
 
 
 # ---------------------------------------------------------------- toxicity
