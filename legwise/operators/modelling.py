@@ -92,10 +92,11 @@ def fit_patiently(learner, train: DataFrame, valid: DataFrame, patience: int = P
     A fit is the same, round by round, whatever its length; so the kept model is a fit of the best length.
     """
     most, rounds = learner.getMaxIter(), patience + 14
+    loss = (learner.getLossType(),) if isinstance(learner, GBTRegressor) else ()
     while True:
         rounds = min(rounds, most)
         model = learner.copy({learner.maxIter: rounds}).fit(train)
-        losses = model.evaluateEachIteration(valid)
+        losses = model.evaluateEachIteration(valid, *loss)
         best, ended = patient_round(losses, patience)
         if ended or rounds == most:
             break
