@@ -510,3 +510,17 @@ def u4(t):
 def u5(t):
     a = t.customer.select(F.col("c_custkey").alias("k"))
     return a.subtract(t.orders.where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("k")))
+
+
+@query("A12_distinct_over_days", f"""
+WITH {FLIGHTS}, e AS (SELECT MAX(day) AS last FROM flights)
+SELECT carrier_code, COUNT(DISTINCT tail_number) AS n_exact, TRUE AS within_bound FROM flights, e WHERE day BETWEEN last - 13 AND last GROUP BY 1
+""")
+def a12c(t):
+    """Distinct airframes of the last fourteen days from daily sketches, held against the exact count."""
+    last = t.flights.agg(F.max("day")).scalar()
+    told = A.distinct_between(A.distinct_sketches(t.flights.where("tail_number IS NOT NULL"), ["carrier_code"], "day", "tail_number"),
+                              ["carrier_code"], "day", F.date_sub(last, 13), last)
+    exact = t.flights.where(F.col("day") >= F.date_sub(last, 13)).groupBy("carrier_code").agg(F.count_distinct("tail_number").alias("n_exact"))
+    return exact.join(told, "carrier_code").select("carrier_code", "n_exact", (
+        F.abs(F.col("n_distinct") - F.col("n_exact")) <= 0.04 * F.col("n_exact") + 1).alias("within_bound"))

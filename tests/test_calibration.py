@@ -61,3 +61,17 @@ def test_join_as_of(spark):
     got = {r["id"]: r["found"] for r in attach_as_of(f, v, ["k"], ["who"], "on", "since", {"x": "found"}).collect()}
     want = {i: max(((d, x) for (w, d), x in versions.items() if w == k and on and d <= on), default=(None, None))[1] for i, k, on in facts}
     assert got == want
+
+
+def test_daily_distinct_sketches_unite(spark):
+    from legwise.operators.aggregates import distinct_between, distinct_sketches
+
+    df = spark.range(60_000).select((F.col("id") % 3).alias("k"), F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 20).cast("int")).alias("d"),
+                                    F.pmod(F.xxhash64("id"), F.lit(9000)).alias("v"))
+    kept = distinct_sketches(df, ["k"], "d", "v")
+    assert kept.count() == 60
+    for first, last in ((1, 20), (4, 9), (7, 7)):
+        span = [F.lit(dt.date(2024, 1, n)) for n in (first, last)]
+        got = {r["k"]: r["n_distinct"] for r in distinct_between(kept, ["k"], "d", *span).collect()}
+        for r in df.where(F.col("d").between(*span)).groupBy("k").agg(F.count_distinct("v").alias("n")).collect():
+            assert abs(got[r["k"]] - r["n"]) <= 0.04 * r["n"] + 1
