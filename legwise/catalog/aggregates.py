@@ -17,6 +17,7 @@ from legwise.operators.joins import attach, attach_roles
 from legwise.operators.explanation import example_picks
 from legwise.operators.ordering import positions, top_k
 from legwise.operators.quantiles import exact_medians, exact_quantiles, median_of, smallest_mode
+from legwise.operators.wide import correlation_pairs
 
 
 def r6(*names):
@@ -266,7 +267,7 @@ PAIRS = [(a, b) for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1:]]
 @query("A21_correlation_matrix", " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, ROUND(corr({a}, {b}), 6) AS r FROM lineitem" for a, b in PAIRS))
 def a21(t):
-    return A.correlation_pairs(t.lineitem, NUMERIC).select("a", "b", *r6("r"))
+    return correlation_pairs(t.lineitem, NUMERIC).select("a", "b", *r6("r"))
 
 
 @query("A22_strongest_correlate", "WITH c AS (" + " UNION ALL ".join(
@@ -274,7 +275,7 @@ def a21(t):
     for b in NUMERIC if b != "l_extendedprice")
     + ") SELECT feature, ROUND(r, 6) AS r FROM c ORDER BY ABS(r) DESC LIMIT 1")
 def a22(t):
-    pairs = A.correlation_pairs(t.lineitem, NUMERIC)
+    pairs = correlation_pairs(t.lineitem, NUMERIC)
     target = F.lit("l_extendedprice")
     about = pairs.where((F.col("a") == target) | (F.col("b") == target)).select(
         F.when(F.col("a") == target, F.col("b")).otherwise(F.col("a")).alias("feature"), "r")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,23 +110,6 @@ def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
         F.max(F.when(inside, F.col(value))).alias("whisker_high"))
 
 
-def correlation_pairs(df: DataFrame, columns: list[str], chunk: int = 200) -> DataFrame:
-    """Pearson correlation of every pair of columns, over the rows where both are known.
-
-    The pairs are those of columns, not of rows; wide tables go in several passes.
-    """
-    pairs = list(combinations(columns, 2))
-    out = None
-    for start in range(0, len(pairs), chunk):
-        part = pairs[start:start + chunk]
-        row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        long = row.select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(part)])))
-        out = long if out is None else out.unionByName(long)
-    return out
-
-
 def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     """Share of missing values per column, one pass."""
     row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])

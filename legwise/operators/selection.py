@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from legwise.operators.aggregates import correlation_pairs
-from legwise.operators.joins import attach
 from legwise.operators.ordering import average_ranks
-from legwise.operators.quantiles import exact_quantiles
+from legwise.operators.wide import column_quantiles, correlation_pairs, label_histograms
+from legwise.session import settle
 
 # Correlation limit, penalty of a pruned feature, final feature count, step share.
 MAX_CORRELATION = 0.95
@@ -21,18 +20,12 @@ MI_BINS = 10
 def mutual_information(df: DataFrame, features: list[str], label: str, bins: int = MI_BINS) -> DataFrame:
     """Mutual information in nats between each feature, in quantile bins, and a 0/1 label.
 
-    All rows count. Equal values share a bin and missing values have their own.
+    All rows count. Equal values share a bin and missing values have their own. Bins are counted
+    inside the tasks; no row is unfolded by column.
     """
-    pairs = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
-    long = df.select(F.col(label).cast("int").alias("y"), F.inline(pairs))
-    inner = {f"q{i}": i / bins for i in range(1, bins)}
-    edges = exact_quantiles(long, ["feature"], F.col("x"), inner).select(
-        "feature", F.array_distinct(F.array(*inner)).alias("edges"))
-    # one row per feature name, so the broadcast is bounded by the width of the table
-    slotted = attach(long, F.broadcast(edges), ["feature"], ["feature"], {"edges": "edges"})
-    slot = F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter("edges", lambda e: e < F.col("x"))))
-    cells = slotted.groupBy("feature", slot.alias("bin"), "y").agg(F.count(F.lit(1)).alias("n"))
+    rows = settle(df.select(label, *features))
+    edges = column_quantiles(rows, features, [i / bins for i in range(1, bins)])
+    cells = label_histograms(rows, features, {f: sorted(set(e)) for f, e in edges.items()}, label)
     n = F.sum("n").over(Window.partitionBy("feature"))
     nx = F.sum("n").over(Window.partitionBy("feature", "bin"))
     ny = F.sum("n").over(Window.partitionBy("feature", "y"))
