@@ -188,7 +188,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM measured JOIN verdict USING (r)
 """
 
-_SENTENCE = r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+"
+_ENDS = ".!?\\n\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4"
+_SENTENCE = rf"[^{_ENDS}]*[{_ENDS}]+[\x20\x09-\x0D]*|[^{_ENDS}]+"
 
 SQL["op10_substring_dedup"] = rf"""
 WITH base AS (
@@ -197,12 +198,17 @@ sent AS (
   SELECT doc_id, i, s[i] AS raw, trim(translate(s[i], chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ')) AS t,
     len(regexp_extract_all(s[i], '{_WORD}')) AS n
   FROM (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS i FROM base)),
-runs AS (
-  SELECT a.doc_id, a.i, a.t AS t1, b.t AS t2 FROM sent a JOIN sent b ON a.doc_id = b.doc_id AND b.i = a.i + 1
-  WHERE a.n + b.n >= 10),
+summed AS (SELECT *, sum(n) OVER w AS upto, lead(n) OVER w AS next_n FROM sent WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+spots AS (
+  SELECT doc_id, i, i + 1 AS j FROM summed WHERE n + next_n >= 10
+  UNION ALL SELECT a.doc_id, a.i, b.i FROM summed a ASOF JOIN (SELECT doc_id, i, upto FROM summed WHERE n > 0) b
+    ON a.doc_id = b.doc_id AND b.upto >= a.upto - a.n + 30 WHERE coalesce(a.n + a.next_n, 0) < 10
+  UNION SELECT doc_id, i, i FROM summed WHERE n >= 25),
+named AS (SELECT doc_id, list(t ORDER BY i) AS ts FROM sent GROUP BY doc_id),
 later AS (
-  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY t1, t2 ORDER BY doc_id, i) AS k FROM runs) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest([i, i + 1]) AS i FROM later)),
+  SELECT doc_id, i, j FROM (
+    SELECT doc_id, i, j, row_number() OVER (PARTITION BY ts[i:j] ORDER BY doc_id, i) AS k FROM spots JOIN named USING (doc_id)) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(generate_series(i, j)) AS i FROM later)),
 rest AS (
   SELECT s.doc_id, string_agg(raw, '' ORDER BY s.i) FILTER (g.i IS NULL) AS text, count(g.i) AS n_removed
   FROM sent s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.i = g.i GROUP BY s.doc_id)

@@ -1,17 +1,20 @@
 """Repeated passages removed by hashing every run of consecutive sentences.
 
 A text is cut into sentences without losing a character: a sentence ends after
-its end marks or line ends and the blanks behind them. Every run of ``RUN``
-consecutive sentences with at least ``RUN_WORDS`` words is hashed; runs found
-more than once in the whole table are repeated passages. The first occurrence, by
-doc_id and then by place, stays; every sentence covered by another occurrence goes.
-
-Two passes keep the shuffles small: a count per 64-bit hash finds the candidates,
-then only candidate runs are compared by 128 bits and ordered. Counts and minima are
+its end marks or line ends and the blanks behind them. A run from a sentence is this one and the next
+if both have ``RUN_WORDS`` words, else the shortest run of consecutive sentences with ``LONG_WORDS`` words; a
+single sentence of ``LONE_WORDS`` words is a run too. Runs found more than once in the whole table are
+repeated passages. The first occurrence, by doc_id and then by place, stays; every sentence
+covered by another occurrence goes.
+
+Texts are cut and hashed once, into a written table of runs. Two passes over it keep the shuffles small: a count
+per 64-bit hash finds the candidates, then only candidate runs are compared by 128 bits, made from
+two hashes of each sentence with different seeds, and ordered. Counts and minima are
 combined before the shuffle, so a passage in a third of all rows is no hot group.
 
 Defined cases: a null text stays null and an empty one empty; a text shorter than
-a run is never changed; rows that agree in doc_id and text are one document; rows
+a run is never changed; words are what blanks divide, so in scripts without blanks a run is
+``LONG_WORDS`` sentences; rows that agree in doc_id and text are one document; rows
 without doc_id come last, in the order of their texts' hashes; all columns are
 kept as they are, apart from the text.
 """
@@ -22,10 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legwise.llm.text import BLANK
+from legwise.session import settle
 
-RUN = 2
 RUN_WORDS = 10
-SENTENCE = rf"[^.!?\n]*[.!?\n]+[{BLANK}]*|[^.!?\n]+"
+LONG_WORDS = 30
+LONE_WORDS = 25
+ENDS = ".!?\\n\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4"
+SENTENCE = rf"[^{ENDS}]*[{ENDS}]+[{BLANK}]*|[^{ENDS}]+"
 
 
 def sentences(text: Column) -> Column:
@@ -41,44 +47,56 @@ def _key(docs: DataFrame, text: str) -> DataFrame:
         F.coalesce(F.xxhash64(docs[text]), F.lit(0)).alias("version"))
 
 
-def runs(keyed: DataFrame, text: str, run: int, run_words: int) -> DataFrame:
-    """(doc, version, place, h, h2) of every run that is long enough."""
-    cut = keyed.select("doc", "version", sentences(F.col(f"row.`{text}`")).alias("s")).select(
+def runs(keyed: DataFrame, text: str) -> DataFrame:
+    """(doc, version, place, size, h, h2) of every run: its first sentence, number of sentences and two hashes."""
+    cut = keyed.select("doc", "version", sentences(F.col(f"row.`{text}`")).alias("s")).where(F.size("s") > 0)
+    plain = lambda x: F.trim(F.translate(x, "\t\n\x0b\f\r", " "))
+    cut = cut.select(
         "doc", "version",
-        F.transform("s", lambda x: F.struct(
-            F.xxhash64(F.trim(F.translate(x, "\t\n\x0b\f\r", " "))).alias("h"),
-            F.regexp_count(x, F.lit(f"[^{BLANK}]+")).alias("n"))).alias("s"))
-    spots = F.sequence(F.lit(0), F.size("s") - F.lit(run))
-    hashed = F.transform(F.when(F.size("s") >= run, spots), lambda i: F.struct(
-        i.alias("place"),
-        F.xxhash64(*[F.get(F.col("s"), i + j)["h"] for j in range(run)]).alias("h"),
-        F.xxhash64(F.lit("again"), *[F.get(F.col("s"), i + j)["h"] for j in range(run)]).alias("h2"),
-        sum((F.get(F.col("s"), i + j)["n"] for j in range(run)), F.lit(0)).alias("n")))
-    return cut.select("doc", "version", F.inline(F.filter(hashed, lambda r: r["n"] >= run_words))).drop("n")
-
-
-def covered(keyed: DataFrame, text: str = "text", run: int = RUN, run_words: int = RUN_WORDS) -> DataFrame:
+        F.transform("s", lambda x: F.xxhash64(plain(x))).alias("one"),
+        F.transform("s", lambda x: F.xxhash64(F.lit("again"), plain(x))).alias("two"),
+        F.transform("s", lambda x: F.regexp_count(x, F.lit(f"[^{BLANK}]+"))).alias("n"))
+    n = lambda i: F.get(F.col("n"), i)
+    # every sentence but a blank first one has a word, which bounds how far a run can reach
+    reach = lambda i: F.aggregate(
+        F.slice("n", i + 1, F.lit(LONG_WORDS + 1)), F.struct(F.lit(0).alias("n"), F.lit(0).alias("size")),
+        lambda got, more: F.when(got["n"] >= LONG_WORDS, got).otherwise(
+            F.struct((got["n"] + more).alias("n"), (got["size"] + 1).alias("size"))),
+        lambda got: F.when(got["n"] >= LONG_WORDS, got["size"]))
+    places = F.sequence(F.lit(0), F.size("n") - 1)
+    spots = F.concat(
+        F.transform(places, lambda i: F.struct(
+            i.alias("place"), F.when(n(i) + n(i + 1) >= RUN_WORDS, F.lit(2)).otherwise(reach(i)).alias("size"))),
+        F.transform(places, lambda i: F.struct(
+            i.alias("place"), F.when(n(i) >= LONE_WORDS, F.lit(1)).alias("size"))))
+    hashed = F.transform(F.filter(spots, lambda r: r["size"].isNotNull()), lambda r: F.struct(
+        r["place"].alias("place"), r["size"].alias("size"),
+        F.xxhash64(F.slice("one", r["place"] + 1, r["size"])).alias("h"),
+        F.xxhash64(F.slice("two", r["place"] + 1, r["size"])).alias("h2")))
+    return cut.select("doc", "version", F.inline(hashed))
+
+
+def covered(keyed: DataFrame, text: str = "text") -> DataFrame:
     """(doc, version, gone): places of the sentences that non-first repeated runs cover."""
-    found = runs(keyed, text, run, run_words)
+    found = settle(runs(keyed, text))
     often = found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     suspects = found.join(often, "h", "left_semi").distinct()
     first = suspects.groupBy("h", "h2").agg(
         F.min(F.struct("doc", "version", "place")).alias("first"), F.count("*").alias("times")).where("times > 1")
     later = suspects.join(first, ["h", "h2"]).where(
         F.struct("doc", "version", "place") > F.col("first"))
-    places = F.sequence(F.col("place"), F.col("place") + F.lit(run - 1))
+    places = F.sequence(F.col("place"), F.col("place") + F.col("size") - 1)
     return later.select("doc", "version", F.explode(places).alias("place")).groupBy("doc", "version").agg(
         F.collect_set("place").alias("gone"))
 
 
-def drop_repeated(docs: DataFrame, text: str = "text", run: int = RUN, run_words: int = RUN_WORDS,
-                  counts: bool = False) -> DataFrame:
+def drop_repeated(docs: DataFrame, text: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``.
 
     ``counts`` adds n_sentences and n_removed at the end.
     """
     keyed = _key(docs, text)
-    joined = keyed.join(covered(keyed, text, run, run_words), ["doc", "version"], "left")
+    joined = keyed.join(covered(keyed, text), ["doc", "version"], "left")
     words = F.col(f"row.`{text}`").cast("string")
     cut = joined.withColumn("s", F.when(F.col("gone").isNotNull(), sentences(words)))
     kept = F.array_except(F.sequence(F.lit(0), F.size("s") - 1), F.col("gone"))

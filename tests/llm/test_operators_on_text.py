@@ -468,18 +468,25 @@ def test_exponent_meets_both_conditions(spark):
 def slow_spans(items):
     import re
 
+    ends = ".!?\n\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4"
     cut = {}
     for doc, text in items:
         cut[doc, text] = [(m, m.translate(str.maketrans("\t\n\x0b\f\r", " " * 5)).strip(" "), len(m.encode().split()))
-                          for m in re.findall(r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+", text or "")]
+                          for m in re.findall(rf"[^{ends}]*[{ends}]+[\x20\x09-\x0D]*|[^{ends}]+", text or "")]
     runs = collections.defaultdict(list)
     order = sorted(cut, key=lambda k: (k[0] is None, k[0] or 0))
     for key in order:
         s = cut[key]
-        for i in range(len(s) - 1):
-            if s[i][2] + s[i + 1][2] >= 10:
-                runs[s[i][1], s[i + 1][1]].append((key, i))
-    gone = {(k, j) for found in runs.values() for k, i in found[1:] for j in (i, i + 1)}
+        for i in range(len(s)):
+            stops = [i + 1] if s[i][2] >= 25 else []
+            if i + 1 < len(s) and s[i][2] + s[i + 1][2] >= 10:
+                stops.append(i + 2)
+            else:
+                long = [j for j in range(i + 1, min(len(s), i + 40) + 1) if sum(x[2] for x in s[i:j]) >= 30]
+                stops += long[:1]
+            for stop in set(stops):
+                runs[tuple(x[1] for x in s[i:stop])].append((key, i, stop))
+    gone = {(k, j) for found in runs.values() for k, i, stop in found[1:] for j in range(i, stop)}
     return {k: None if k[1] is None else "".join(m for i, (m, *_) in enumerate(s) if (k, i) not in gone) for k, s in cut.items()}
 
 
@@ -492,6 +499,20 @@ def test_spans_of_odd_rows(odd, empty):
     assert spans.drop_repeated(empty, counts=True).count() == 0
 
 
+def test_spans_of_short_long_and_other_sentences(spark):
+    short = "Ja! Nein. Und du? Wir auch. " * 3 + "".join(f"Wort {i}. So geht {i}! " for i in range(12))
+    long = "one sentence " + " ".join(f"w{i}" for i in range(30)) + ". "
+    other = "".join(f"\u5b57{i} \u8bcd{i} \u53e5{i}\u3002" for i in range(12))
+    made = rows(spark, [(d, f"Start {d} of its own. {x}End {d}.") for d, x in enumerate([short, short, long, long, other, other])],
+                "doc_id bigint, text string")
+    items = [(r.doc_id, r.text) for r in made.collect()]
+    got = {r.doc_id: r.text for r in spans.drop_repeated(made).collect()}
+    want = slow_spans(items)
+    assert got == {d: want[d, t] for d, t in items}
+    assert long not in got[3] and long in got[2] and got[2] == items[2][1]
+    assert len(got[1]) < 80 and len(got[5]) < 60 and got[3].startswith("Start 3 of its own. ") and got[3].endswith("End 3.")
+
+
 def test_spans(docs):
     want = slow_spans([(r.doc_id, r.text) for r in docs.collect()])
     text = {r.doc_id: r.text for r in docs.collect()}
