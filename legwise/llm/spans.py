@@ -10,7 +10,9 @@ covered by another occurrence goes.
 Texts are cut and hashed once, into a written table of runs. Two passes over it keep the shuffles small: a count
 per 64-bit hash finds the candidates, then only candidate runs are compared by 128 bits, made from
 two hashes of each sentence with different seeds, and ordered. Counts and minima are
-combined before the shuffle, so a passage in a third of all rows is no hot group.
+combined before the shuffle, and the occurrences of a frequent run are dealt to parts before each join, so a
+passage in a third of all rows is no hot group. The frequent runs are fewer than ``HOT_RUNS``, as each holds more
+than that share of all occurrences; so their list may be broadcast.
 
 Defined cases: a null text stays null and an empty one empty; a text shorter than
 a run is never changed; words are what blanks divide, so in scripts without blanks a run is
@@ -30,6 +32,8 @@ from legwise.session import settle
 RUN_WORDS = 10
 LONG_WORDS = 30
 LONE_WORDS = 25
+HOT_ROWS = 20_000
+HOT_RUNS = 5_000
 ENDS = ".!?\\n\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4"
 SENTENCE = rf"[^{ENDS}]*[{ENDS}]+[{BLANK}]*|[^{ENDS}]+"
 
@@ -79,11 +83,19 @@ def runs(keyed: DataFrame, text: str) -> DataFrame:
 def covered(keyed: DataFrame, text: str = "text") -> DataFrame:
     """(doc, version, gone): places of the sentences that non-first repeated runs cover."""
     found = settle(runs(keyed, text))
-    often = found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    suspects = found.join(often, "h", "left_semi").distinct()
+    often = settle(found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"))
+    full = max(HOT_ROWS, found.count() // HOT_RUNS)
+    hot = F.broadcast(often.where(F.col("times") > full).select("h", F.ceil(F.col("times") / full).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    every_part = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
+    dealt = found.join(hot, "h", "left").withColumn(
+        "part", F.pmod(F.xxhash64("doc", "version", "place"), parts).cast("int")).drop("parts")
+    asked = often.join(hot, "h", "left").select("h", every_part)
+    suspects = dealt.join(asked, ["h", "part"], "left_semi").distinct()
     first = suspects.groupBy("h", "h2").agg(
         F.min(F.struct("doc", "version", "place")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    later = suspects.join(first, ["h", "h2"]).where(
+    first = first.join(hot, "h", "left").select("h", "h2", "first", every_part)
+    later = suspects.join(first, ["h", "part", "h2"]).where(
         F.struct("doc", "version", "place") > F.col("first"))
     places = F.sequence(F.col("place"), F.col("place") + F.col("size") - 1)
     return later.select("doc", "version", F.explode(places).alias("place")).groupBy("doc", "version").agg(
