@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from legwise.catalog.frames import SCORED
 from legwise.catalog.registry import fitted_once, query
 from legwise.functions.base import flag
-from legwise.functions.text import narrative
+from legwise.functions.text import default_label, narrative
 from legwise.operators import explanation as X
 from legwise.operators import modelling as M
 from legwise.operators import selection as L
+from legwise.operators.joins import attach
 from legwise.operators.evaluation import baseline_deltas, regression_quality
 from legwise.operators.quantiles import median_of
 from legwise.operators.splits import expanding_folds, halves_by_time
@@ -134,6 +135,22 @@ def m1(t):
     return model.transform(prepare(valid)).select("key", vector_to_array("features").alias("x"))
 
 
+MOMENTS = ", ".join(f"AVG({f}) AS m{i}, stddev_samp({f}) AS d{i}" for i, f in enumerate(NUMBERS))
+
+
+@query("M1_scaled_window", f"""
+WITH x AS (SELECT *, l_shipdate::DATE AS day FROM lineitem), s AS (SELECT {MOMENTS} FROM x WHERE day <= DATE '1999-06-30')
+{" UNION ALL ".join(f"SELECT '{f}' AS feature, COUNT(*) AS n, ROUND(AVG(({f} - m{i}) / d{i}) + 1e-9, 6) AS mean_scaled, ROUND(stddev_pop(({f} - m{i}) / d{i}), 6) AS deviation_scaled FROM x, s WHERE day > DATE '1999-06-30'" for i, f in enumerate(NUMBERS))}
+""")
+def m1b(t):
+    """The scaled numbers of the validation window; location and scale come from the training window."""
+    scaled = m1(t).select(F.posexplode("x").alias("place", "z")).where(F.col("place") < len(NUMBERS))
+    return scaled.groupBy("place").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("z") + 1e-9, 6).alias("mean_scaled"),
+        F.round(F.stddev_pop("z"), 6).alias("deviation_scaled")).select(
+        F.get(F.array(*map(F.lit, NUMBERS)), F.col("place")).alias("feature"), "n", "mean_scaled", "deviation_scaled")
+
+
 @query("M2_logistic_regression")
 def m2(t):
     train, valid = train_valid(t)
@@ -173,14 +190,15 @@ def m4c(t):
 
 
 VALID_SQL = """WITH x AS (SELECT (l_returnflag = 'R')::INT AS label FROM lineitem WHERE l_shipdate::DATE > DATE '1999-06-30')
-SELECT COUNT(*) AS n, SUM(label)::BIGINT AS positives, TRUE AS all_scored, TRUE AS in_range FROM x"""
+SELECT COUNT(*) AS n, SUM(label)::BIGINT AS positives, TRUE AS all_scored, TRUE AS in_range, TRUE AS not_constant FROM x"""
 
 
 def scored_whole(predicted):
-    """One row on the scores of a table: none missing, all chances."""
+    """One row on the scores of a table: none missing, all chances, more than one value."""
     return predicted.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"),
                          (F.count("p") == F.count(F.lit(1))).alias("all_scored"),
-                         F.bool_and(F.col("p").between(0.0, 1.0)).alias("in_range"))
+                         F.bool_and(F.col("p").between(0.0, 1.0)).alias("in_range"),
+                         (F.min("p") < F.max("p")).alias("not_constant"))
 
 
 @query("M3_forest_scores_whole_window", VALID_SQL)
@@ -376,3 +394,67 @@ def x5(t):
     return t.scored.join(picks, "id").withColumn("top", empty).select(
         "tag", "id", "score", "label", F.round("delay", 4).alias("delay"),
         narrative(F.col("top"), F.col("score")).alias("sentence"))
+
+
+# A linear score on numbers of a flight: expression on an event, coefficient, mean.
+DRIVERS = {
+    "upstream_delay_min": ("k", 0.02, 50.0),
+    "scheduled_turnaround_min": ("20 + event_id % 70", -0.01, 55.0),
+    "seats": ("70 + event_id * 3 % 160", -0.004, 150.0),
+    "schedule_padding_min": ("event_id * 7 % 40", -0.02, 19.0),
+    "scheduled_block_min": ("40 + event_id * 11 % 1400", 0.001, 700.0),
+    "origin_mean_delay_min_7d": ("event_id % 23", 0.03, 11.0),
+    "carrier_volume_7d": ("event_id * 13 % 3000", -0.0002, 1500.0),
+}
+UNITS = {f: (label.lower(), unit) for f, label, unit in X.LABELS}
+REASONED_SQL = SCORED + ", driven AS (SELECT event_id AS id, list_sort([" + ", ".join(
+    f"{{'s': -ABS({w}::DOUBLE * (({e})::DOUBLE - {m}::DOUBLE)), 'f': '{f}', 'c': {w}::DOUBLE * (({e})::DOUBLE - {m}::DOUBLE), "
+    f"'t': '{UNITS[f][0]} (' || format('{{:,}}', ({e})::BIGINT) || ' {UNITS[f][1]})'}}" for f, (e, w, m) in DRIVERS.items()
+) + """])[:6] AS top FROM (SELECT event_id, (props::JSON->>'k')::INT AS k FROM events)),
+parts AS (SELECT id, top, list_filter(top, lambda e: e.c > 0)[:3] AS ups, list_filter(top, lambda e: e.c < 0)[:2] AS downs FROM driven),
+reasoned AS (SELECT id, len(ups)::INT AS n_up, len(downs)::INT AS n_down, CASE WHEN len(ups) > 0 THEN ' Driven up by: ' || array_to_string(list_transform(ups, lambda e: e.t), '; ') || '.' ELSE '' END
+  || CASE WHEN len(downs) > 0 THEN ' Offset by: ' || array_to_string(list_transform(downs, lambda e: e.t), '; ') || '.' ELSE '' END AS reasons FROM parts)
+"""
+
+
+def reasoned(t):
+    """Scored rows with the six strongest of seven contributions."""
+    event = t.events.select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
+    numbers = event.select(F.col("event_id").alias("id"), *[F.expr(e).cast("double").alias(f) for f, (e, _, _) in DRIVERS.items()])
+    rows = t.scored.join(numbers, "id")
+    return rows.withColumn("top", X.strongest(X.linear_contributions({f: (w, m) for f, (_, w, m) in DRIVERS.items()}), 6))
+
+
+@query("C36_narrative_of_many_reasons", f"WITH {REASONED_SQL} SELECT id, n_up, n_down, {SENTENCE} || reasons AS sentence FROM scored JOIN reasoned USING (id)")
+def c36b(t):
+    """At most three reasons that raise the risk and two that lower it, strongest first."""
+    signed = lambda up: F.size(F.filter("top", lambda e: e["contribution"] > 0 if up else e["contribution"] < 0))
+    return reasoned(t).select("id", F.least(signed(True), F.lit(3)).alias("n_up"), F.least(signed(False), F.lit(2)).alias("n_down"),
+                              narrative(F.col("top"), F.col("score")).alias("sentence"))
+
+
+@query("X5_example_reasons", f"""
+WITH {REASONED_SQL}, r AS (SELECT id, score, ROW_NUMBER() OVER (ORDER BY score DESC, id) AS place, COUNT(*) OVER () AS n FROM scored)
+SELECT CASE place WHEN 1 THEN 'highest_risk' WHEN n THEN 'lowest_risk' ELSE 'typical' END AS tag, id, n_up + n_down AS n_reasons, {SENTENCE} || reasons AS sentence FROM r JOIN reasoned USING (id) WHERE place IN (1, n // 2 + 1, n)
+""")
+def x5b(t):
+    from legwise.catalog.aggregates import o6
+
+    told = c36b(t).join(F.broadcast(o6(t).select("tag", "id")), "id")  # three rows
+    return told.select("tag", "id", (F.col("n_up") + F.col("n_down")).alias("n_reasons"), "sentence")
+
+
+# Declared features with and without a registered label.
+SHOWN = [*(f for f, _, _ in X.LABELS), "origin_capacity", "is_red_eye", "dest_hour_arrivals", "season"]
+
+
+@query("C35_registered_labels", f"""
+WITH known(f, label, unit) AS (VALUES {", ".join(f"('{f}', '{label}', '{unit}')" for f, label, unit in X.LABELS)}),
+x AS (SELECT event_id, {SHOWN}[event_id % {len(SHOWN)} + 1] AS feature FROM events)
+SELECT event_id, feature, COALESCE(label, upper(feature[1]) || lower(replace(feature[2:], '_', ' '))) AS label, COALESCE(unit, '') AS unit FROM x LEFT JOIN known ON f = feature
+""")
+def c35b(t):
+    rows = t.events.select("event_id", F.get(F.array(*map(F.lit, SHOWN)), (F.col("event_id") % len(SHOWN)).cast("int")).alias("feature"))
+    named = attach(rows, X.label_dimension(t.spark), ["feature"], ["feature"], {"label": "_label", "unit": "_unit"})
+    return named.select("event_id", "feature", F.coalesce("_label", default_label(F.col("feature"))).alias("label"),
+                        F.coalesce("_unit", F.lit("")).alias("unit"))
