@@ -53,13 +53,16 @@ def _key(docs: DataFrame, text: str) -> DataFrame:
 
 def runs(keyed: DataFrame, text: str) -> DataFrame:
     """(doc, version, place, size, h, h2) of every run: its first sentence, number of sentences and two hashes."""
-    cut = keyed.select("doc", "version", sentences(F.col(f"row.`{text}`")).alias("s")).where(F.size("s") > 0)
-    plain = lambda x: F.trim(F.translate(x, "\t\n\x0b\f\r", " "))
+    even = F.col(f"row.`{text}`").cast("string")
+    for blank in "\t\x0b\f\r":  # these never end a sentence, so the cuts stay where they are
+        even = F.replace(even, F.lit(blank), F.lit(" "))
+    cut = keyed.select("doc", "version", F.transform(
+        sentences(even), lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" ")))).alias("s")).where(F.size("s") > 0)
     cut = cut.select(
         "doc", "version",
-        F.transform("s", lambda x: F.xxhash64(plain(x))).alias("one"),
-        F.transform("s", lambda x: F.xxhash64(F.lit("again"), plain(x))).alias("two"),
-        F.transform("s", lambda x: F.regexp_count(x, F.lit(f"[^{BLANK}]+"))).alias("n"))
+        F.transform("s", lambda x: F.xxhash64(x)).alias("one"),
+        F.transform("s", lambda x: F.xxhash64(F.lit("again"), x)).alias("two"),
+        F.transform("s", lambda x: F.regexp_count(x, F.lit("[^ ]+"))).alias("n"))
     n = lambda i: F.get(F.col("n"), i)
     # every sentence but a blank first one has a word, which bounds how far a run can reach
     reach = lambda i: F.aggregate(
