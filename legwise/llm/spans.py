@@ -32,7 +32,7 @@ from legwise.session import settle
 RUN_WORDS = 10
 LONG_WORDS = 30
 LONE_WORDS = 25
-HOT_ROWS = 20_000
+HOT_ROWS = 2_000
 HOT_RUNS = 5_000
 ENDS = ".!?\\n\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4"
 SENTENCE = rf"[^{ENDS}]*[{ENDS}]+[{BLANK}]*|[^{ENDS}]+"

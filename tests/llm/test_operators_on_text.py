@@ -513,7 +513,7 @@ def test_spans_of_short_long_and_other_sentences(spark):
     assert len(got[1]) < 80 and len(got[5]) < 60 and got[3].startswith("Start 3 of its own. ") and got[3].endswith("End 3.")
 
 
-@pytest.mark.parametrize("hot_rows", [20_000, 2])
+@pytest.mark.parametrize("hot_rows", [2_000, 2])
 def test_spans(docs, monkeypatch, hot_rows):
     monkeypatch.setattr(spans, "HOT_ROWS", hot_rows)
     want = slow_spans([(r.doc_id, r.text) for r in docs.collect()])
