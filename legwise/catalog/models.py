@@ -15,7 +15,7 @@ from legwise.operators.joins import attach
 from legwise.operators.evaluation import baseline_deltas, regression_quality
 from legwise.operators.quantiles import median_of
 from legwise.operators.splits import expanding_folds, halves_by_time
-from legwise.session import fresh_path, settle
+from legwise.session import fresh_path, settle, spread
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 CATEGORIES = ["l_linestatus"]
@@ -162,7 +162,7 @@ def m2(t):
 def m3(t):
     train, valid = train_valid(t)
     fitted = M.fit_forest(train, NUMBERS, CATEGORIES, "label")
-    return fitted.predict(valid).select("key", "label", "p")
+    return fitted.predict(spread(valid)).select("key", "label", "p")
 
 
 @query("M4_boosted_trees")
@@ -170,7 +170,7 @@ def m3(t):
 def m4(t):
     train, valid = train_valid(t)
     fitted = M.fit_boosted(train, valid, NUMBERS, CATEGORIES, "label")
-    return fitted.predict(valid).select("key", "label", "p", F.lit(fitted.rounds).alias("rounds"))
+    return fitted.predict(spread(valid)).select("key", "label", "p", F.lit(fitted.rounds).alias("rounds"))
 
 
 @query("M4_loss_per_round")
@@ -246,7 +246,7 @@ def m5(t):
 @fitted_once
 def m6(t):
     train, valid = train_valid(t)
-    train, valid = settle(train), settle(valid)
+    train, valid = settle(spread(train)), settle(spread(valid))
     candidates = M.in_parallel([
         lambda: M.fit_logistic(train, NUMBERS, CATEGORIES, "label"), lambda: M.fit_forest(train, NUMBERS, CATEGORIES, "label"),
         *[lambda name=name: M.fit_boosted(train, valid, NUMBERS, CATEGORIES, "label", preset=name) for name in M.BOOSTED]])

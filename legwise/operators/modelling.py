@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from legwise.operators import evaluation as E
 from legwise.operators.projections import apply_codes, fit_codes
 from legwise.operators.trees import BinnedGBTClassifier, BinnedGBTRegressor, first_rounds
-from legwise.session import settle, shared_dir
+from legwise.session import settle, shared_dir, spread
 
 # Seed, pooling limit, candidate settings, search grid, calibration gain.
 SEED = 42
@@ -213,12 +213,12 @@ def _fit_trees(name: str, learner, train: DataFrame, valid: DataFrame | None, nu
         learner.sharing()
     prepare = tree_vector(train, numeric, categorical)
     label = learner.getLabelCol()
-    rows = settle(prepare(train).select("features", label))
+    rows = settle(spread(prepare(train).select("features", label)))
     losses = ()
     if valid is None:
         model = learner.fit(rows)
     else:
-        model, losses = fit_patiently(learner, rows, settle(prepare(valid).select("features", label)), patience)
+        model, losses = fit_patiently(learner, rows, settle(spread(prepare(valid).select("features", label))), patience)
     if isinstance(learner, BinnedGBTClassifier):
         learner.release()
     return Fitted(name, lambda df: _probability(model.transform(prepare(df))).drop("features"),
@@ -323,11 +323,11 @@ def fit_minutes(train: DataFrame, valid: DataFrame | None, numeric: list[str], c
     prepare = tree_vector(train, numeric, categorical)
     learner = BinnedGBTRegressor(labelCol=target, featuresCol="features", seed=SEED, lossType=loss, stepSize=0.1,
                                  maxIter=rounds, maxDepth=depth).sharing()
-    rows, losses = settle(prepare(train).select("features", target)), ()
+    rows, losses = settle(spread(prepare(train).select("features", target))), ()
     if valid is None:
         model = learner.fit(rows)
     else:
-        model, losses = fit_patiently(learner, rows, settle(prepare(valid).select("features", target)))
+        model, losses = fit_patiently(learner, rows, settle(spread(prepare(valid).select("features", target))))
     learner.release()
     return Fitted(f"minutes_{loss}", lambda df: model.transform(prepare(df)).drop("features"),
                   model, [*numeric, *categorical], time.time() - started, len(model.treeWeights), tuple(losses))

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Fixed value: rows that one task may well pass over many times, as fits do.
+TASK_ROWS = 50_000
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -72,3 +74,12 @@ def settle(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to tasks of about ``TASK_ROWS``.
+
+    A task reads at least a row group, so a file of one row group is the work of one task, however many rows it has.
+    """
+    parts = -(-df.count() // TASK_ROWS)
+    return df.repartition(parts) if parts > 1 else df
