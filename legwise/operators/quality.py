@@ -20,6 +20,7 @@ from legwise.operators.quantiles import exact_medians
 from legwise.operators.windows import (
     UNKNOWN_CONDITION, first_rows, forward_fill, hourly_grid, interpolate_columns,
 )
+from legwise.session import settle
 
 # Plausible delay, block time and distance ranges.
 DELAY_RANGE_MIN = (-120.0, 1440.0)
@@ -127,7 +128,8 @@ def clean_weather(weather: DataFrame, airports: DataFrame, order: str) -> tuple[
         "airport_code": code(F.col("airport_code")),
         "obs_time_utc": parse_timestamp(F.col("obs_time_utc").cast("string")),
     })
-    unique = first_rows(typed, ["airport_code", "obs_time_utc"], [order])
+    # the audit, the grid and the medians go on from the written observations: at most one per station and hour
+    unique = settle(first_rows(typed, ["airport_code", "obs_time_utc"], [order]))
     known = keep_known(unique, "airport_code", airports, "airport_code")
     without_marks = null_sentinels(known, measures)
     bounded = null_implausible(without_marks, wx.PHYSICAL_BOUNDS)
@@ -191,7 +193,8 @@ def clean_flights(flights: DataFrame, airports: DataFrame, aircraft: DataFrame,
                   order: str) -> tuple[DataFrame, DataFrame]:
     """Accepted flights with repaired values, and the audit of every rule."""
     judged = judge_flights(flights, airports, order)
-    tagged = mark_known(judged, "tail_number", aircraft, "tail_number", "tail_known")
+    # judged once: the medians, the cleaned table and the audit go on from the written rows
+    tagged = settle(mark_known(judged, "tail_number", aircraft, "tail_number", "tail_known"))
     bad_distance = (F.col("distance_km") <= 0) | (F.col("distance_km") > MAX_DISTANCE_KM)
     # distances are repaired from every flight that passed the time rules
     timely = tagged.where(F.col("_verdict").isNull() | (F.col("_verdict") == "missing target"))

@@ -165,7 +165,15 @@ def derive_features(integrated: DataFrame, until: str | None = None, settled: bo
         "route": schedule.route_key(F.col("origin"), F.col("destination")),
         "_local": local,
     })
-    wide = f.withColumns(clock.calendar_fields(F.col("_local")) | clock.hour_bands(F.col("_local"))
+    seen = f.where(F.col("date") <= F.lit(until).cast("date")) if until else f
+    normals = seen.withColumn("month", F.month("_local").cast("tinyint")).groupBy("origin", "month").agg(
+        F.avg("dep_wx_temperature_c").alias("_normal_c"))
+    sides = _hour_tables(f) | _day_tables(f, until, ready) | {"month_normal": (normals, ["origin", "month"])}
+    # the sides are joined while the rows are narrow: each join copies a row, and beyond 100 columns Spark generates no code for it
+    wide = f.withColumn("month", F.month("_local").cast("tinyint"))
+    for side, keys in sides.values():
+        wide = attach(wide, ready(side), keys, keys, {c: c for c in side.columns if c not in keys})
+    wide = wide.withColumns(clock.calendar_fields(F.col("_local")) | clock.hour_bands(F.col("_local"))
                          | clock.cycles(F.col("_local")) | clock.season_fields(F.col("_local"))
                          | clock.holiday_fields(F.col("days_from_major_holiday")))
     wide = wide.withColumns(weather.weather_fields("dep_wx_", "dep") | weather.weather_fields("arr_wx_", "arr"))
@@ -178,13 +186,6 @@ def derive_features(integrated: DataFrame, until: str | None = None, settled: bo
                                  F.col("scheduled_turnaround_min"), F.col("leg_number"))
         | schedule.airframe_fields(F.col("aircraft_age_years"), F.col("category"))
         | space.geo_fields())
-
-    seen = f.where(F.col("date") <= F.lit(until).cast("date")) if until else f
-    normals = seen.withColumn("month", F.month("_local").cast("tinyint")).groupBy("origin", "month").agg(
-        F.avg("dep_wx_temperature_c").alias("_normal_c"))
-    sides = _hour_tables(f) | _day_tables(f, until, ready) | {"month_normal": (normals, ["origin", "month"])}
-    for side, keys in sides.values():
-        wide = attach(wide, ready(side), keys, keys, {c: c for c in side.columns if c not in keys})
     wide = wide.withColumns({
         "dep_temp_anomaly": F.col("dep_wx_temperature_c") - F.col("_normal_c"),
         "route_popularity_30d": F.coalesce(F.col("route_volume_30d"), F.lit(0.0)),
