@@ -7,12 +7,11 @@ single sentence of ``LONE_WORDS`` words is a run too. Runs found more than once
 repeated passages. The first occurrence, by doc_id and then by place, stays; every sentence
 covered by another occurrence goes.
 
-Texts are cut and hashed once, into a written table of runs. Two passes over it keep the shuffles small: a count
-per 64-bit hash finds the candidates, then only candidate runs are compared by 128 bits, made from
-two hashes of each sentence with different seeds, and ordered. Counts and minima are
-combined before the shuffle, and the occurrences of a frequent run are dealt to parts before each join, so a
-passage in a third of all rows is no hot group. The frequent runs are fewer than ``HOT_RUNS``, as each holds more
-than that share of all occurrences; so their list may be broadcast.
+Texts are cut and hashed once, into a written table of runs with two 64-bit hashes, the halves of one of 128 bits. A sample
+of its rows names the frequent runs, and their first occurrences, found by minima combined before the shuffle, travel by
+broadcast; so a passage in a third of all rows is no hot group. The frequent runs are fewer than about twice
+``HOT_RUNS``, as each holds more than about half that share of all occurrences. All other runs are dealt once, by
+their hashes, and ranked within their group. The sample only decides which way a run goes, both ways find the same.
 
 Defined cases: a null text stays null and an empty one empty; a text shorter than
 a run is never changed; words are what blanks divide, so in scripts without blanks a run is
@@ -23,10 +22,15 @@ kept as they are, apart from the text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from legwise.llm.text import BLANK
+from legwise.llm.text import BLANK, slices, table_batch, utf8
 from legwise.session import settle
 
 RUN_WORDS = 10
@@ -34,6 +38,9 @@ LONG_WORDS = 30
 LONE_WORDS = 25
 HOT_ROWS = 2_000
 HOT_RUNS = 5_000
+SAMPLED = 200  # expected rows of a run in the sample from which it counts as frequent
+TEXTS = 500
+NAMES = ["doc", "version", "place", "size", "h", "h2"]
 ENDS = ".!?\\n\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4"
 SENTENCE = rf"[^{ENDS}]*[{ENDS}]+[{BLANK}]*|[^{ENDS}]+"
 
@@ -51,55 +58,69 @@ def _key(docs: DataFrame, text: str) -> DataFrame:
         F.coalesce(F.xxhash64(docs[text]), F.lit(0)).alias("version"))
 
 
+def _spots(n: list[int]) -> list[tuple[int, int]]:
+    """(place, size) of the runs in a text whose sentences have ``n`` words."""
+    found = []
+    for i, words in enumerate(n):
+        if words >= LONE_WORDS:
+            found.append((i, 1))
+        if i + 1 < len(n) and words + n[i + 1] >= RUN_WORDS:
+            found.append((i, 2))
+            continue
+        # every sentence but a blank first one has a word, which bounds how far a run can reach
+        total = 0
+        for j in range(i, min(len(n), i + LONG_WORDS + 1)):
+            total += n[j]
+            if total >= LONG_WORDS:
+                found.append((i, j + 1 - i))
+                break
+    return found
+
+
 def runs(keyed: DataFrame, text: str) -> DataFrame:
     """(doc, version, place, size, h, h2) of every run: its first sentence, number of sentences and two hashes."""
-    even = F.col(f"row.`{text}`").cast("string")
-    for blank in "\t\x0b\f\r":  # these never end a sentence, so the cuts stay where they are
-        even = F.replace(even, F.lit(blank), F.lit(" "))
-    cut = keyed.select("doc", "version", F.transform(
-        sentences(even), lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" ")))).alias("s")).where(F.size("s") > 0)
-    cut = cut.select(
-        "doc", "version",
-        F.transform("s", lambda x: F.xxhash64(x)).alias("one"),
-        F.transform("s", lambda x: F.xxhash64(F.lit("again"), x)).alias("two"),
-        F.transform("s", lambda x: F.regexp_count(x, F.lit("[^ ]+"))).alias("n"))
-    n = lambda i: F.get(F.col("n"), i)
-    # every sentence but a blank first one has a word, which bounds how far a run can reach
-    reach = lambda i: F.aggregate(
-        F.slice("n", i + 1, F.lit(LONG_WORDS + 1)), F.struct(F.lit(0).alias("n"), F.lit(0).alias("size")),
-        lambda got, more: F.when(got["n"] >= LONG_WORDS, got).otherwise(
-            F.struct((got["n"] + more).alias("n"), (got["size"] + 1).alias("size"))),
-        lambda got: F.when(got["n"] >= LONG_WORDS, got["size"]))
-    places = F.sequence(F.lit(0), F.size("n") - 1)
-    spots = F.concat(
-        F.transform(places, lambda i: F.struct(
-            i.alias("place"), F.when(n(i) + n(i + 1) >= RUN_WORDS, F.lit(2)).otherwise(reach(i)).alias("size"))),
-        F.transform(places, lambda i: F.struct(
-            i.alias("place"), F.when(n(i) >= LONE_WORDS, F.lit(1)).alias("size"))))
-    hashed = F.transform(F.filter(spots, lambda r: r["size"].isNotNull()), lambda r: F.struct(
-        r["place"].alias("place"), r["size"].alias("size"),
-        F.xxhash64(F.slice("one", r["place"] + 1, r["size"])).alias("h"),
-        F.xxhash64(F.slice("two", r["place"] + 1, r["size"])).alias("h2")))
-    return cut.select("doc", "version", F.inline(hashed))
+    out = "doc bigint, version bigint, place int, size int, h bigint, h2 bigint"
+
+    def run(batches):
+        # made here, so that tasks need nothing of the driver's session
+        cut, even = re.compile(SENTENCE), bytes.maketrans(b"\t\n\x0b\f\r", b"     ")
+        schema = pa.schema([(c, pa.int32() if c in ("place", "size") else pa.int64()) for c in NAMES])
+        for batch in slices(batches, TEXTS):
+            rows, places, sizes, hashes = [], [], [], []
+            for row, words in enumerate(utf8(batch.column(2))):
+                if not words:
+                    continue
+                s = [x.encode().translate(even).strip(b" ") for x in cut.findall(words.decode(errors="replace"))]
+                spots = _spots([len(x.split()) for x in s])
+                rows.append((row, len(spots)))
+                places += [i for i, _ in spots]
+                sizes += [size for _, size in spots]
+                # no sentence holds a line end any more, so it divides them
+                hashes += [xxhash.xxh3_128_digest(b"\n".join(s[i:i + size])) for i, size in spots]
+            row = pa.array(np.repeat(*np.array(rows, np.int64).reshape(-1, 2).T))
+            halves = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            yield table_batch(schema, doc=batch.column(0).take(row), version=batch.column(1).take(row), place=places, size=sizes,
+                              h=halves[:, 0], h2=halves[:, 1])
+
+    return keyed.select("doc", "version", F.col(f"row.`{text}`").cast("string").alias("text")).mapInArrow(run, out)
 
 
 def covered(keyed: DataFrame, text: str = "text") -> DataFrame:
     """(doc, version, gone): places of the sentences that non-first repeated runs cover."""
     found = settle(runs(keyed, text))
-    often = settle(found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"))
     full = max(HOT_ROWS, found.count() // HOT_RUNS)
-    hot = F.broadcast(often.where(F.col("times") > full).select("h", F.ceil(F.col("times") / full).cast("int").alias("parts")))
-    parts = F.coalesce("parts", F.lit(1))
-    every_part = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
-    dealt = found.join(hot, "h", "left").withColumn(
-        "part", F.pmod(F.xxhash64("doc", "version", "place"), parts).cast("int")).drop("parts")
-    asked = often.join(hot, "h", "left").select("h", every_part)
-    suspects = dealt.join(asked, ["h", "part"], "left_semi").distinct()
-    first = suspects.groupBy("h", "h2").agg(
-        F.min(F.struct("doc", "version", "place")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    first = first.join(hot, "h", "left").select("h", "h2", "first", every_part)
-    later = suspects.join(first, ["h", "part", "h2"]).where(
-        F.struct("doc", "version", "place") > F.col("first"))
+    share = min(1.0, SAMPLED / full)
+    named = found.sample(share, seed=42).groupBy("h", "h2").agg(F.count("*").alias("times")).where(
+        F.col("times") > full * share)
+    named = settle(named.select("h", "h2"))
+    hot = F.broadcast(settle(found.join(F.broadcast(named), ["h", "h2"]).groupBy("h", "h2").agg(
+        F.min(F.struct("doc", "version", "place")).alias("first"))))
+    marked = found.join(hot, ["h", "h2"], "left")
+    ranked = marked.where("first IS NULL").withColumn(
+        "rank", F.rank().over(Window.partitionBy("h", "h2").orderBy("doc", "version", "place")))
+    spans = ["doc", "version", "place", "size"]
+    later = ranked.where("rank > 1").select(*spans).unionByName(
+        marked.where(F.struct("doc", "version", "place") > F.col("first")).select(*spans))
     places = F.sequence(F.col("place"), F.col("place") + F.col("size") - 1)
     return later.select("doc", "version", F.explode(places).alias("place")).groupBy("doc", "version").agg(
         F.collect_set("place").alias("gone"))

@@ -520,3 +520,11 @@ def test_spans(docs, monkeypatch, hot_rows):
     text = {r.doc_id: r.text for r in docs.collect()}
     got = {r.doc_id: r.text for r in spans.drop_repeated(docs).collect()}
     assert got == {d: want[d, text[d]] for d in text}
+
+
+def test_spans_deal_runs_once(docs):
+    found = spans.covered(spans._key(docs, "text"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the table of runs is the widest one; every shuffle of it costs half the input on disk
+    assert plan.count("Exchange hashpartitioning(h#") == 1
+    assert "regexp_extract_all" not in spans.runs(spans._key(docs, "text"), "text")._jdf.queryExecution().executedPlan().toString()
