@@ -170,7 +170,8 @@ def derive_features(integrated: DataFrame, until: str | None = None, settled: bo
         F.avg("dep_wx_temperature_c").alias("_normal_c"))
     sides = _hour_tables(f) | _day_tables(f, until, ready) | {"month_normal": (normals, ["origin", "month"])}
     # the sides are joined while the rows are narrow: each join copies a row, and beyond 100 columns Spark generates no code for it
-    wide = f.withColumn("month", F.month("_local").cast("tinyint"))
+    # so is what the rotation says of a flight: this join shuffles the rows
+    wide = f.withColumn("month", F.month("_local").cast("tinyint")).join(_rotation(f, ready, slot), "flight_id", "left")
     for side, keys in sides.values():
         wide = attach(wide, ready(side), keys, keys, {c: c for c in side.columns if c not in keys})
     wide = wide.withColumns(clock.calendar_fields(F.col("_local")) | clock.hour_bands(F.col("_local"))
@@ -193,11 +194,10 @@ def derive_features(integrated: DataFrame, until: str | None = None, settled: bo
         F.col("origin_hour_departures"), F.col("dest_hour_arrivals"), F.col("origin_hourly_capacity"),
         F.col("dest_hourly_capacity"), F.col("origin_num_runways"), F.col("origin")))
 
-    done = wide.join(_rotation(f, ready, slot), "flight_id", "left")
-    absent = missing_columns(done, ALL_FEATURES)
+    absent = missing_columns(wide, ALL_FEATURES)
     if absent:
         raise ValueError(f"declared but not built: {absent}")
-    return keep_columns(done, [*ID_COLUMNS, *ALL_FEATURES])
+    return keep_columns(wide, [*ID_COLUMNS, *ALL_FEATURES])
 
 
 def model_rows(features: DataFrame) -> DataFrame:

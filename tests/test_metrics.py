@@ -1,5 +1,7 @@
 """Metrics of fitted candidates, recomputed by plain SQL over their written score tables."""
 
+import threading
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +55,19 @@ def test_metrics_are_those_of_plain_sql(spark, kind):
     assert got["roc_auc"] > 0.6
     best = con.execute(f"SELECT label FROM '{path.removeprefix('file:')}/*.parquet' ORDER BY p DESC, key LIMIT 150").fetchall()
     assert got["lift_top_decile"] == pytest.approx(sum(x for x, in best) / 150 / got["base_rate"], abs=1e-9)
+
+
+def test_candidates_are_judged_side_by_side(spark, monkeypatch):
+    met, plain = threading.Barrier(2, timeout=60), M.quality_row
+
+    def judged(*args):
+        met.wait()
+        return plain(*args)
+
+    monkeypatch.setattr(M, "quality_row", judged)
+    valid = spark.range(200).select(F.col("id").alias("key"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    score = lambda divisor: lambda df: df.withColumn("p", (F.col("key") % divisor) / F.lit(divisor))
+    made = [M.Fitted(name, score(divisor), None, [], 1.0, rounds) for name, divisor, rounds in (("blunt", 7, None), ("sharp", 3, 4))]
+    got = M.compare(made, valid, "label", "key").collect()
+    assert {r["model"]: r["rounds"] for r in got} == {"blunt": None, "sharp": 4}
+    assert got[0]["pr_auc"] >= got[1]["pr_auc"]
