@@ -8,10 +8,10 @@ repeated passages. The first occurrence, by doc_id and then by place, stays; eve
 covered by another occurrence goes.
 
 Texts are cut and hashed once, into a written table of runs with two 64-bit hashes, the halves of one of 128 bits. A sample
-of its rows names the frequent runs, and their first occurrences, found by minima combined before the shuffle, travel by
-broadcast; so a passage in a third of all rows is no hot group. The frequent runs are fewer than about twice
-``HOT_RUNS``, as each holds more than about half that share of all occurrences. All other runs are dealt once, by
-their hashes, and ranked within their group. The sample only decides which way a run goes, both ways find the same.
+of its rows names the frequent runs, which travel by broadcast. The table is dealt once, by its hashes, and ranked within each
+group; a frequent run is dealt in ``SPOTS`` parts, so a passage in a third of all rows is no hot group, and the first rows of
+its parts are ranked once more. The frequent runs are fewer than about twice ``HOT_RUNS``, as each holds more than about
+half that share of all occurrences. The sample only decides which way a run goes, both ways find the same.
 
 Defined cases: a null text stays null and an empty one empty; a text shorter than
 a run is never changed; words are what blanks divide, so in scripts without blanks a run is
@@ -38,6 +38,7 @@ LONG_WORDS = 30
 LONE_WORDS = 25
 HOT_ROWS = 2_000
 HOT_RUNS = 5_000
+SPOTS = 200  # parts of a frequent run
 SAMPLED = 200  # expected rows of a run in the sample from which it counts as frequent
 TEXTS = 500
 NAMES = ["doc", "version", "place", "size", "h", "h2"]
@@ -105,6 +106,14 @@ def runs(keyed: DataFrame, text: str) -> DataFrame:
     return keyed.select("doc", "version", F.col(f"row.`{text}`").cast("string").alias("text")).mapInArrow(run, out)
 
 
+def _ranked(found: DataFrame, named: DataFrame) -> DataFrame:
+    """Every run with its rank within its group; a group of ``named`` is cut into ``SPOTS`` parts, ranked each by itself."""
+    often = F.broadcast(named.select("h", "h2", F.lit(True).alias("often")))
+    spot = F.when(F.col("often"), F.pmod(F.xxhash64("doc", "version", "place"), F.lit(SPOTS)))
+    return found.join(often, ["h", "h2"], "left").withColumn("spot", spot).drop("often").withColumn(
+        "rank", F.rank().over(Window.partitionBy("h", "h2", "spot").orderBy("doc", "version", "place")))
+
+
 def covered(keyed: DataFrame, text: str = "text") -> DataFrame:
     """(doc, version, gone): places of the sentences that non-first repeated runs cover."""
     found = settle(runs(keyed, text))
@@ -112,15 +121,11 @@ def covered(keyed: DataFrame, text: str = "text") -> DataFrame:
     share = min(1.0, SAMPLED / full)
     named = found.sample(share, seed=42).groupBy("h", "h2").agg(F.count("*").alias("times")).where(
         F.col("times") > full * share)
-    named = settle(named.select("h", "h2"))
-    hot = F.broadcast(settle(found.join(F.broadcast(named), ["h", "h2"]).groupBy("h", "h2").agg(
-        F.min(F.struct("doc", "version", "place")).alias("first"))))
-    marked = found.join(hot, ["h", "h2"], "left")
-    ranked = marked.where("first IS NULL").withColumn(
+    kept = settle(_ranked(found, settle(named)).where((F.col("rank") > 1) | F.col("spot").isNotNull()))
+    # the first rows of the parts: of each frequent run all but one go too
+    heads = kept.where("rank = 1").withColumn(
         "rank", F.rank().over(Window.partitionBy("h", "h2").orderBy("doc", "version", "place")))
-    spans = ["doc", "version", "place", "size"]
-    later = ranked.where("rank > 1").select(*spans).unionByName(
-        marked.where(F.struct("doc", "version", "place") > F.col("first")).select(*spans))
+    later = kept.unionByName(heads).where("rank > 1")
     places = F.sequence(F.col("place"), F.col("place") + F.col("size") - 1)
     return later.select("doc", "version", F.explode(places).alias("place")).groupBy("doc", "version").agg(
         F.collect_set("place").alias("gone"))

@@ -4,6 +4,7 @@ import collections
 import functools
 import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -528,3 +529,22 @@ def test_spans_deal_runs_once(docs):
     # the table of runs is the widest one; every shuffle of it costs half the input on disk
     assert plan.count("Exchange hashpartitioning(h#") == 1
     assert "regexp_extract_all" not in spans.runs(spans._key(docs, "text"), "text")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spans_of_frequent_runs_in_parts(spark, monkeypatch):
+    """All runs are dealt in one pass whose join gives a row for each run; parts of frequent ones find the same first place."""
+    monkeypatch.setattr(spans, "HOT_ROWS", 20)
+    common = "This sentence stands in every one of the texts. It has ten words or more, like its neighbour. "
+    items = [(d % 150, f"Text {d % 150} begins with some words of its own here. {common}{'' if d % 3 else common}The end of {d % 50} is near by now.")
+             for d in range(160)]
+    made = rows(spark, [*items, (None, items[0][1])], "doc_id bigint, text string")
+    found = spans.runs(spans._key(made, "text"), "text")
+    often = found.groupBy("h", "h2").count().where("count > 20")
+    ranked = spans._ranked(found, often)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"HashJoin \[.*\], (\w+), Build", plan) == ["LeftOuter"] and plan.count("Exchange hashpartitioning(h#") == 2  # one counts
+    assert ranked.count() == found.count() and ranked.where("spot IS NOT NULL").count() > 150
+    assert ranked.where("spot IS NOT NULL").select("h", "spot").distinct().count() > 100
+    want = slow_spans([(r.doc_id, r.text) for r in made.collect()])
+    got = spans.drop_repeated(made).collect()
+    assert len(got) == 161 and {(r.doc_id, r.text) for r in got} == {(k[0], t) for k, t in want.items()}
