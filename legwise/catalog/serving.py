@@ -173,7 +173,8 @@ def v2(t):
 @once
 def served(t):
     store, _ = frozen_store(t)
-    good, _ = S.validate_requests(requests_of(t), store["airports"])
+    # judged once: the days asked for and the features go on from the written requests
+    good = settle(S.validate_requests(requests_of(t), store["airports"])[0])
     return settle(S.featurize(good, store, clean_tables(t)["holiday_calendar"], STORED))
 
 

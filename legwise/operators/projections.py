@@ -49,3 +49,15 @@ def model_frame(df: DataFrame, features: dict[str, str]) -> DataFrame:
     return df.select(*[
         (F.col(c).try_cast(kind) if c in df.columns else F.lit(None).cast(kind)).alias(c)
         for c, kind in features.items()])
+
+
+def select_apart(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Select many expressions behind a chain of joins in an operator of its own.
+
+    Spark generates one method for the joins and what follows them; the JVM never compiles one of more than 8,000 bytes, so
+    each row is interpreted. A higher-order function, here around the first column, keeps the select out of that
+    method, and its expressions become many short ones.
+    """
+    first, *rest = columns
+    alone = F.get(F.transform(F.array(columns[first]), lambda x: x), F.lit(0)).alias(first)
+    return df.select(alone, *[columns[c].alias(c) for c in rest])

@@ -81,10 +81,11 @@ def _quantiles(df: DataFrame, keys: list[str], values: dict[str, Column],
     around = placed.groupBy(*group).agg(*[c for i, (x, lo, hi) in enumerate(spots) for c in (
         F.count_if(x < lo).alias(f"_below{i}"), F.max(F.when(x < lo, x)).alias(f"_prev{i}"),
         F.min(F.when(x > hi, x)).alias(f"_next{i}"))])
-    inside = F.filter(
-        F.array(*[F.struct(F.lit(i).alias("_i"), F.when((x >= lo) & (x <= hi), x).alias("_v"))
-                  for i, (x, lo, hi) in enumerate(spots)]), lambda s: s["_v"].isNotNull())
-    counted = placed.select(*group, F.inline(inside)).groupBy(*group, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    inside = F.array(*[F.struct(F.lit(i).alias("_i"), F.when((x >= lo) & (x <= hi), x).alias("_v"))
+                       for i, (x, lo, hi) in enumerate(spots)])
+    # a plain filter on the unfolded values is compiled, one inside the array is not
+    counted = placed.select(*group, F.inline(inside)).where("_v IS NOT NULL").groupBy(*group, "_i", "_v").agg(
+        F.count(F.lit(1)).alias("_c"))
     facts = settle(brackets.join(around, group))
     # the wanted positions as rows beside the bracket's values: a handful per group
     places = [F.struct(

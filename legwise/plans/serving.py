@@ -16,6 +16,7 @@ from legwise.functions.text import code, expected_minutes, flight_label, narrati
 from legwise.operators.calibration import as_column
 from legwise.operators.explanation import linear_contributions, strongest
 from legwise.operators.joins import attach, attach_as_of, nearest_date_gap
+from legwise.operators.projections import select_apart
 from legwise.operators.quality import split_valid
 
 # Last-resort weather, block-time range, demand, and request limits.
@@ -202,7 +203,7 @@ def featurize(requests: DataFrame, store: dict[str, DataFrame], holidays: DataFr
     }
     features |= {c: default(c) for c in columns if c not in features and c not in CODES}
     keep = [c for c in requests.columns if c not in features]
-    return r.select(*keep, *[features[c].alias(c) for c in features])
+    return select_apart(r, {c: F.col(c) for c in keep} | features)
 
 
 def assess(scored: DataFrame, probability: str, threshold: float | Column,

@@ -4,9 +4,12 @@ import re
 
 from pyspark.sql import functions as F
 
+from legwise.catalog import serving
 from legwise.catalog.frames import Tables
 from legwise.catalog.serving import clean_tables, raw_tables
 from legwise.operators import quality
+from legwise.operators.projections import select_apart
+from legwise.operators.quantiles import exact_medians
 from legwise.plans import flights as P
 from legwise.session import settle
 
@@ -43,3 +46,30 @@ def test_flights_are_judged_once(spark, tmp_path, monkeypatch):
     assert any("_verdict" in columns for columns in read)
     assert not re.search(r"events\.parquet", flights._jdf.queryExecution().executedPlan().toString())
     assert flights.count() > 0
+
+
+def test_a_select_apart_is_no_part_of_the_generated_method(spark):
+    df = spark.range(3).select("id", F.array("id").alias("a"), F.lit(None).cast("string").alias("n"))
+    got = select_apart(df, {"n": F.col("n"), "twice": F.col("id") * 2, "a": F.col("a")})
+    assert got.columns == ["n", "twice", "a"] and [f.dataType for f in got.schema] == [df.schema[c].dataType for c in ("n", "id", "a")]
+    assert sorted(map(tuple, got.collect())) == [(None, 2 * i, [i]) for i in range(3)]
+    assert "lambdafunction" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_served_requests_are_judged_once_and_features_selected_apart(spark, tmp_path, monkeypatch):
+    t = made(spark, str(tmp_path))
+    written = []
+    monkeypatch.setattr(serving, "settle", lambda df, go=settle: (written.append(df), go(df))[1])
+    rows = serving.served(t)
+    good, features = written[-2:]
+    assert "origin_weather" in good.columns and "dep_time_decimal" not in good.columns
+    plan = features._jdf.queryExecution().optimizedPlan().toString()
+    assert "events.parquet" not in plan and "array_compact" not in plan and "lambdafunction" in plan
+    assert rows.count() == good.count() > 0
+
+
+def test_values_in_brackets_are_filtered_by_generated_code(spark):
+    df = spark.range(200).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"))
+    medians = exact_medians(df, ["k"], ["v"])
+    assert "lambdafunction" not in medians._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: r.v for r in medians.collect()} == {0: 99.0, 1: 100.0, 2: 99.5}
