@@ -27,7 +27,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from legwise.llm.text import BLANK, slices, table_batch, utf8
@@ -46,11 +46,6 @@ ENDS = ".!?\\n\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4"
 SENTENCE = rf"[^{ENDS}]*[{ENDS}]+[{BLANK}]*|[^{ENDS}]+"
 
 
-def sentences(text: Column) -> Column:
-    """All sentences in order; joined together they are the text."""
-    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-
-
 def _key(docs: DataFrame, text: str) -> DataFrame:
     """The rows as one column, with the names of their document."""
     return docs.select(
@@ -131,6 +126,20 @@ def covered(keyed: DataFrame, text: str = "text") -> DataFrame:
         F.collect_set("place").alias("gone"))
 
 
+def _cutter():
+    """Of a text and the places that go: the text without them (null if none go) and its number of sentences."""
+    def cut(text: pa.Array, gone: pa.Array) -> pa.Array:
+        split, rest, n = re.compile(SENTENCE), [], []
+        for words, places in zip(utf8(text), gone):
+            found = split.findall(words.decode(errors="replace")) if words else []
+            out = set(places.as_py() or ())
+            rest.append("".join(s for i, s in enumerate(found) if i not in out) if out else None)
+            n.append(len(found))
+        return pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(n, pa.int64())], ["rest", "n"])
+
+    return F.arrow_udf(cut, "struct<rest string, n bigint>")
+
+
 def drop_repeated(docs: DataFrame, text: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``.
 
@@ -138,15 +147,12 @@ def drop_repeated(docs: DataFrame, text: str = "text", counts: bool = False) ->
     """
     keyed = _key(docs, text)
     joined = keyed.join(covered(keyed, text), ["doc", "version"], "left")
-    words = F.col(f"row.`{text}`").cast("string")
-    cut = joined.withColumn("s", F.when(F.col("gone").isNotNull(), sentences(words)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("s") - 1), F.col("gone"))
-    rest = F.array_join(F.transform(kept, lambda i: F.get(F.col("s"), i)), "")
+    words, changed = F.col(f"row.`{text}`").cast("string"), F.col("gone").isNotNull()
+    cut = joined.withColumn("cut", _cutter()(words if counts else F.when(changed, words), "gone"))
     shown = [
-        (F.when(F.col("gone").isNull(), words).otherwise(rest) if c == text
+        (F.when(changed, F.col("cut")["rest"]).otherwise(words) if c == text
          else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     if counts:
-        number = F.regexp_count(words, F.lit(SENTENCE))
-        shown += [F.coalesce(number, F.lit(0)).cast("bigint").alias("n_sentences"),
+        shown += [F.coalesce(F.col("cut")["n"], F.lit(0)).cast("bigint").alias("n_sentences"),
                   F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed")]
     return cut.select(*shown)
