@@ -138,7 +138,7 @@ def fit(train: DataFrame, label: str, features: list[str] = SERVED) -> RiskModel
     absent = missing_columns(train, [*features, label])
     if absent:
         raise ValueError(f"columns to learn from are missing: {absent}")
-    rows = settle(modelling.bounded(train).select(*features, F.col(label).cast("int").alias("_label")))
+    rows = settle(train.select(*features, F.col(label).cast("int").alias("_label")))
     facts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in numeric]).first()
     levels = modelling.level_counts(rows, categorical) if categorical else {}
     m = lambda names, more="": [f"m_{c}{more}" for c in names]
