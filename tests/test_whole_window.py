@@ -28,7 +28,7 @@ def test_no_row_is_left_out(many, monkeypatch, fit):
     def met(self, rows):
         raise Met(rows.count())
 
-    for kind in (M.RandomForestClassifier, M.GBTClassifier, M.BinnedGBTClassifier, Pipeline):
+    for kind in (M.RandomForestClassifier, M.BinnedForestClassifier, M.GBTClassifier, M.BinnedGBTClassifier, Pipeline):
         monkeypatch.setattr(kind, "_fit", met)
     with pytest.raises(Met) as found:
         fit(many)
